@@ -14,6 +14,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.numbers import finite, pct_change, percent_scale
 from ..functions.periods import Window, month_index, month_start, quarter_index
@@ -92,15 +93,20 @@ def acceleration_abs(v: Column, s: Series, periods: int = 1, points: bool = Fals
     return (v - s.lag(v, periods)) - (s.lag(v, 1) - s.lag(v, periods + 1))
 
 
+def mean_over(v: Column, frame) -> Column:
+    """Mean over a frame from an exact sum, so that it does not depend on the order of additions."""
+    return F.try_divide(F.sum(v.cast("decimal(28,8)")).over(frame).cast("double"), F.count(v).over(frame))
+
+
 def rolling_avg(v: Column, s: Series, months: int = 3, days: int | None = None) -> Column:
     """Mean over this month and the `months` calendar months before it."""
     if days is not None:
         months = max(1, round(days / 30))
-    return F.avg(v).over(s.months(months))
+    return mean_over(v, s.months(months))
 
 
 def rolling_rows_avg(v: Column, s: Series, window: int = 3) -> Column:
-    return F.avg(v).over(s.rows(window))
+    return mean_over(v, s.rows(window))
 
 
 def std_dev(v: Column, s: Series, window: int = 3) -> Column:
@@ -108,11 +114,11 @@ def std_dev(v: Column, s: Series, window: int = 3) -> Column:
 
 
 def vs_rolling_avg(v: Column, s: Series, window: int = 3) -> Column:
-    return (F.try_divide(v, F.avg(v).over(s.rows(window))) - 1) * 100
+    return (F.try_divide(v, mean_over(v, s.rows(window))) - 1) * 100
 
 
 def seasonality(v: Column, s: Series, window: int = 12) -> Column:
-    return F.try_divide(v, F.avg(v).over(s.rows(window)))
+    return F.try_divide(v, mean_over(v, s.rows(window)))
 
 
 def cumulative_sum(v: Column, s: Series) -> Column:
@@ -124,7 +130,7 @@ def cumulative_sum(v: Column, s: Series) -> Column:
 def rolling_z_score(v: Column, s: Series, window: int = 6) -> Column:
     frame = s.rows(window)
     spread = F.stddev_samp(v).over(frame)
-    return F.when(F.count(v).over(frame) >= 2, F.try_divide(v - F.avg(v).over(frame), spread))
+    return F.when(F.count(v).over(frame) >= 2, F.try_divide(v - mean_over(v, frame), spread))
 
 
 def benchmark_variance(v: Column, benchmark: Column | float | None, as_percentage: bool = True) -> Column:
@@ -225,7 +231,7 @@ def apply_python_feature(
 
     Only for logic that Columns cannot express; a group is one member's periods.
     """
-    schema = frame.schema.add(name, "double")
+    schema = StructType([*frame.schema.fields, StructField(name, DoubleType())])
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("period_start").reset_index(drop=True)
@@ -286,14 +292,14 @@ def add_period_stats(frame: DataFrame, within: Sequence[str] = PERIOD, value: st
     """
     v = F.col(value)
     stats = frame.groupBy(*within).agg(
-        F.avg(v).alias("__mean"), F.stddev_samp(v).alias("__std"),
-        F.sum(v.cast("decimal(28,6)")).cast("double").alias("__total"),
+        F.count(v).alias("__n"), F.stddev_samp(v).alias("__std"),
+        F.sum(v.cast("decimal(28,8)")).cast("double").alias("__total"),
     )
     out = _null_safe(frame, stats, within)
     return out.withColumns({
-        "z_score": F.round(F.try_divide(v - F.col("__mean"), F.col("__std")), 2),
+        "z_score": F.round(F.try_divide(v - F.try_divide(F.col("__total"), F.col("__n")), F.col("__std")), 2),
         "mix": F.round(F.try_divide(v, F.col("__total")) * 100, 2),
-    }).drop("__mean", "__std", "__total")
+    }).drop("__n", "__std", "__total")
 
 
 def add_rank(

@@ -159,7 +159,7 @@ def distinct_members(
     filters: Mapping[str, Any] | None = None,
 ) -> DataFrame:
     """Trimmed, non-empty members of one or more dimensions that occur under the filters."""
-    wanted = list({d.strip().lower(): d.strip() for d in dims if d.strip()}.values())
+    wanted = list(dict.fromkeys(star.dimension(d).name for d in dims if d.strip()))
     query = apply_filters(KpiQuery(star, tables, window=window).group_by(*wanted), filters or {})
     pairs = F.array(*[
         F.struct(

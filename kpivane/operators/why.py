@@ -251,7 +251,9 @@ def top_contributors(values: DataFrame, count: int = 3) -> DataFrame:
     shuffle, so no task receives all members of a dimension.
     """
     keys = ["kpi_name", "dimension"]
-    mean = values.groupBy(*keys).agg(F.avg("kpi_value").alias("mean_value"))
+    mean = values.groupBy(*keys).agg(
+        (F.sum(F.col("kpi_value").cast("decimal(28,8)")).cast("double") / F.count("kpi_value")).alias("mean_value")
+    )
     below = values.join(mean, keys).where("kpi_value < mean_value")
     place = F.row_number().over(W.partitionBy(*keys).orderBy(F.asc_nulls_last("kpi_value"), "dimension_value"))
     return below.withColumn("place", place).where(F.col("place") <= count)
