@@ -14,6 +14,12 @@ def trimmed(value: Column, digits: int = 2) -> Column:
     return F.regexp_replace(text, r"\.?0+$", "") if digits else text
 
 
+def stored_number(value: Column, missing: str = "None") -> Column:
+    """A number with at most two decimals and at least one, never in exponent form."""
+    text = F.regexp_replace(value.cast("decimal(38,2)").cast("string"), r"(\.\d)0$", "$1")
+    return F.coalesce(text, F.lit(missing))
+
+
 def plain_number(value: Column, digits: int = 2) -> Column:
     return F.coalesce(trimmed(value, digits), F.lit("n/a"))
 

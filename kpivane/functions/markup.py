@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import replace_all, rewrite, strip_space, unix_lines
+from .text import bind, replace_all, rewrite, strip_space, unix_lines
 
 # Patterns of the markup format.
 INVISIBLE = "[\ufeff\u200b\u200c\u200d\u2060]"
@@ -53,19 +53,22 @@ def strip_title(text: Column) -> Column:
 
 def normalize_bullets(text: Column) -> Column:
     """`•` for list lines, and no bold left for the next pass to trip over."""
-    clean = unix_lines(strip_invisible(text))
-    out = replace_all(clean, [(LINE_STAR, "• "), (BULLET_STAR, "• "), (r"(?m)^(•\s*)\*(?!\*)", "$1")])
-    out = F.replace(F.regexp_replace(out, r"\*\*([^*]+?)\*\*", "$1"), F.lit("**"), F.lit(""))
-    return F.when(F.trim(clean) == "", clean).otherwise(out)
+    def marked(clean: Column) -> Column:
+        out = replace_all(clean, [(LINE_STAR, "• "), (BULLET_STAR, "• "), (r"(?m)^(•\s*)\*(?!\*)", "$1")])
+        out = F.replace(F.regexp_replace(out, r"\*\*([^*]+?)\*\*", "$1"), F.lit("**"), F.lit(""))
+        return F.when(F.trim(clean) == "", clean).otherwise(out)
+
+    return bind(unix_lines(strip_invisible(text)), marked)
 
 
 def bold_numbers(text: Column) -> Column:
     """Dates, numbers and amounts in bold; text that is bold already stays as it is."""
-    clean = F.replace(unix_lines(text), F.lit("\u2212"), F.lit("-"))
-    ready = replace_all(repair_bold(clean), [(LINE_STAR, "• "), (BULLET_STAR, "• ")])
-    return F.when(F.trim(clean) == "", clean).otherwise(
-        rewrite(ready, BOLD, lambda b: b, lambda p: replace_all(p, BOLD_RULES))
-    )
+    def marked(clean: Column) -> Column:
+        ready = replace_all(repair_bold(clean), [(LINE_STAR, "• "), (BULLET_STAR, "• ")])
+        done = rewrite(ready, BOLD, lambda b: b, lambda p: replace_all(p, BOLD_RULES))
+        return F.when(F.trim(clean) == "", clean).otherwise(done)
+
+    return bind(F.replace(unix_lines(text), F.lit("\u2212"), F.lit("-")), marked)
 
 
 def _members(value: Column) -> Column:
@@ -161,44 +164,49 @@ def _title_line(line: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def _section_row(line: Column) -> Column:
+    """Kind of a trimmed line (bullet, header, paragraph) and how it is shown."""
+    bullet, dashed = line.startswith("•"), line.rlike(r"^[\-*]\s+\S")
+    wrapped, bold = line.rlike(WRAPPED_HEADER), line.rlike(BOLD_LINE)
+
+    def header(shown: Column) -> Column:
+        return F.struct(F.lit("h").alias("kind"), F.concat(F.lit("<sub>"), shown, F.lit("<sub>")).alias("body"))
+
+    def row(kind: str, shown: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), shown.alias("body"))
+
+    return (
+        F.when(bullet, row("b", line))
+        .when(dashed, row("b", F.regexp_replace(line, r"^[\-*]\s+", "• ")))
+        .when(wrapped, header(F.regexp_extract(line, WRAPPED_HEADER, 1)))
+        .when(bold, header(line))
+        .when(_title_line(line), header(F.concat(F.lit("**"), line, F.lit("**"))))
+        .otherwise(row("p", line))
+    )
+
+
 def layout_sections(text: Column) -> Column:
     """Headers, bullet groups and paragraphs with fixed spacing; text without headers keeps its lines."""
-    clean = unix_lines(repair_bold(strip_invisible(F.coalesce(text, F.lit("")))))
-
-    def classify(raw: Column) -> Column:
-        line = strip_space(raw)
-        dashed = line.rlike(r"^[\-*]\s+\S")
-        wrapped = line.rlike(WRAPPED_HEADER)
-        bold, bullet = line.rlike(BOLD_LINE), line.startswith("•")
-        title = ~bullet & _title_line(line)
-        kind = F.when(bullet | dashed, "b").when(wrapped | bold | title, "h").otherwise("p")
-        shown = (
-            F.when(bullet, line)
-            .when(dashed, F.regexp_replace(line, r"^[\-*]\s+", "• "))
-            .when(wrapped, F.regexp_extract(line, WRAPPED_HEADER, 1))
-            .when(bold, line)
-            .when(title, F.concat(F.lit("**"), line, F.lit("**")))
-            .otherwise(line)
+    def spaced(rows: Column) -> Column:
+        """Each line after its separator: one break between bullets, a blank line elsewhere."""
+        before = F.concat(F.array(F.lit("")), F.transform(rows, lambda r: r["kind"]))
+
+        def piece(r: Column, was: Column) -> Column:
+            gap = F.when(was == "", "").when((was == "b") & (r["kind"] == "b"), "\n").otherwise("\n\n")
+            return F.concat(gap, r["body"])
+
+        return F.array_join(F.zip_with(rows, F.slice(before, 1, F.size(rows)), piece), "")
+
+    def laid_out(clean: Column) -> Column:
+        lines = F.filter(F.transform(F.split(clean, "\n"), strip_space), lambda x: x != "")
+        merged = bind(
+            F.transform(lines, _section_row),
+            lambda rows: F.when(F.exists(rows, lambda r: r["kind"] == "h"), spaced(rows)).otherwise(clean),
         )
-        body = F.when(kind == "h", F.concat(F.lit("<sub>"), shown, F.lit("<sub>"))).otherwise(shown)
-        return F.struct(kind.alias("kind"), body.alias("body"), (line == "").alias("blank"))
-
-    rows = F.filter(F.transform(F.split(clean, "\n"), classify), lambda r: ~r["blank"])
-    start = F.struct(F.lit("").alias("kind"), F.lit("").alias("body"))
-    merged = F.aggregate(
-        F.transform(rows, lambda r: F.struct(r["kind"].alias("kind"), r["body"].alias("body"))), start,
-        lambda acc, r: F.struct(
-            r["kind"].alias("kind"),
-            F.concat(
-                acc["body"],
-                F.when(acc["kind"] == "", "").when((acc["kind"] == "b") & (r["kind"] == "b"), "\n").otherwise("\n\n"),
-                r["body"],
-            ).alias("body"),
-        ),
-    )["body"]
-    has_header = F.exists(rows, lambda r: r["kind"] == "h")
-    body = F.regexp_replace(F.when(has_header, merged).otherwise(clean), r"\s+$", "")
-    return F.when(strip_space(clean) == "", "").otherwise(F.concat(body, F.lit("\n")))
+        ended = F.concat(F.regexp_replace(merged, r"\s+$", ""), F.lit("\n"))
+        return F.when(strip_space(clean) == "", "").otherwise(ended)
+
+    return bind(unix_lines(repair_bold(strip_invisible(F.coalesce(text, F.lit(""))))), laid_out)
 
 
 # --- drift check ------------------------------------------------------------------------------

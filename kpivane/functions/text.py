@@ -32,18 +32,24 @@ ROUTE_LABELS = (
 ROUTE_PREFIXES = (*ROUTE_LABELS, rf"Route\s*2\s*{ROUTE_DASH}\s*", rf"Route\s*1\s*{ROUTE_DASH}\s*")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and let `use` refer to it as often as it likes."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def rewrite(
     text: Column, pattern: str, matched: Callable[[Column], Column], plain: Callable[[Column], Column] | None = None
 ) -> Column:
     """Apply one function to every match of a pattern and another to the text between matches."""
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if plain is not None:
-        between = F.transform(between, plain)
-    pieces = F.zip_with(
-        between, F.transform(found, matched), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
-    )
-    return F.array_join(pieces, "")
+    def pieces(whole: Column) -> Column:
+        between = F.split(whole, pattern, -1)
+        if plain is not None:
+            between = F.transform(between, plain)
+        found = F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), matched)
+        joined = F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.array_join(joined, "")
+
+    return bind(text, pieces)
 
 
 def replace_all(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -58,8 +64,11 @@ def unix_lines(text: Column) -> Column:
 
 def humanize_labels(text: Column) -> Column:
     """`Word_Word` tokens as capitalised words."""
-    words = rewrite(text, SNAKE_LABEL, lambda t: F.initcap(F.regexp_replace(t, "_+", " ")))
-    return F.when(F.trim(text) == "", text).otherwise(words)
+    def words(whole: Column) -> Column:
+        named = rewrite(whole, SNAKE_LABEL, lambda t: F.initcap(F.regexp_replace(t, "_+", " ")))
+        return F.when(F.trim(whole) == "", whole).otherwise(named)
+
+    return bind(text, words)
 
 
 def humanize_metrics(label: Column) -> Column:
@@ -71,23 +80,25 @@ def humanize_metrics(label: Column) -> Column:
 def name_metrics(text: Column, label: Column | None = None) -> Column:
     """Vague `KPI` wording replaced by the metric's name, or by general words for several metrics."""
     raw = F.trim(F.coalesce(label if label is not None else F.lit(""), F.lit("")))
-    shown = humanize_metrics(raw)
-    single = (raw != "") & ~raw.contains(",") & (F.length(raw) <= 240) & (shown != "")
-    first = F.trim(F.element_at(F.split(shown, ","), 1))
-    named = F.when(first != "", first).otherwise("the metrics")
 
     def quoted(value: Column) -> Column:
         return F.regexp_replace(value, r"([\\$])", r"\\$1")
 
-    def swap(source: Column, pattern: str, one: Column, many: Column) -> Column:
-        return F.regexp_replace(source, F.lit(rf"(?i){pattern}"), quoted(F.when(single, one).otherwise(many)))
-
-    out = swap(text, r"\bcurrent KPIs?\b", F.concat(F.lit("current "), shown), F.lit("current reading"))
-    out = swap(out, r"\bprior KPIs?\b", F.concat(F.lit("prior "), shown), F.lit("prior reading"))
-    out = swap(out, r"\bmain KPIs?\b", shown, named)
-    out = swap(out, r"\bthe KPIs?\b", shown, named)
-    out = F.regexp_replace(out, r"(?i)\bKPIs\b", "metrics")
-    return swap(out, r"\bKPI\b", shown, F.lit("metric"))
+    def swapped(name: Column) -> Column:
+        single = (raw != "") & ~raw.contains(",") & (F.length(raw) <= 240) & (name != "")
+        first = F.trim(F.element_at(F.split(name, ","), 1))
+        named = F.when(single, name).when(first != "", first).otherwise("the metrics")
+        out = text
+        for pattern, new in (
+            (r"\bcurrent KPIs?\b", F.concat(F.lit("current "), F.when(single, name).otherwise("reading"))),
+            (r"\bprior KPIs?\b", F.concat(F.lit("prior "), F.when(single, name).otherwise("reading"))),
+            (r"\bmain KPIs?\b", named), (r"\bthe KPIs?\b", named), (r"\bKPIs\b", F.lit("metrics")),
+            (r"\bKPI\b", F.when(single, name).otherwise("metric")),
+        ):
+            out = F.regexp_replace(out, F.lit(f"(?i){pattern}"), quoted(new))
+        return out
+
+    return bind(humanize_metrics(raw), swapped)
 
 
 def polish(text: Column, label: Column | None = None) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.display import metric_text, plain_number
+from ..functions.display import metric_text, plain_number, stored_number
 from ..functions.numbers import direction
 from ..functions.periods import period_label
 from .signals import stable_id
@@ -63,10 +63,6 @@ def driver_label() -> Column:
                       F.lit(""))
 
 
-def change_cell(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit("None"))
-
-
 def why_line() -> Column:
     """A WHY row as one labelled line."""
     return F.concat(
@@ -74,7 +70,7 @@ def why_line() -> Column:
         F.lit(" | driver_metric "), or_dash("dep_kpi_label"),
         F.lit(" (dependent_driver_id="), or_dash("dep_kpi_name"),
         F.lit(") | driver_slice "), clean("dimension_name"), F.lit(" — "), clean("dimension_value"),
-        F.lit(" | change_pct="), change_cell("change_pct"), F.lit("%"),
+        F.lit(" | change_pct="), stored_number(F.col("change_pct")), F.lit("%"),
         F.lit(" | current="), metric_text(driver_label(), F.col("current_value")),
         F.lit(" | prev="), metric_text(driver_label(), F.col("prev_value")),
         F.lit(" | Rationale: "), F.coalesce(F.col("rationale"), F.lit("")),
@@ -96,7 +92,7 @@ def why_payload_line() -> Column:
         F.when(F.col("dimension_value") != "", F.col("dimension_value")).otherwise("n/a"),
         F.when(clean("dep_kpi_name") != "", clean("dep_kpi_name")).otherwise("null"),
         metric_text(driver_label(), F.col("current_value")), metric_text(driver_label(), F.col("prev_value")),
-        F.coalesce(F.col("change_pct").cast("string"), F.lit("n/a")), one_line(F.col("rationale")),
+        stored_number(F.col("change_pct"), "n/a"), one_line(F.col("rationale")),
     )
 
 

@@ -94,8 +94,8 @@ def acceleration_abs(v: Column, s: Series, periods: int = 1, points: bool = Fals
 
 
 def mean_over(v: Column, frame) -> Column:
-    """Mean over a frame from an exact sum, so that it does not depend on the order of additions."""
-    return F.try_divide(F.sum(v.cast("decimal(28,8)")).over(frame).cast("double"), F.count(v).over(frame))
+    """Mean over a frame in exact decimals, so that it does not depend on the order of additions."""
+    return F.avg(v.cast("decimal(28,8)")).over(frame).cast("double")
 
 
 def rolling_avg(v: Column, s: Series, months: int = 3, days: int | None = None) -> Column:

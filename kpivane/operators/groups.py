@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.display import clipped, signed_percent
+from ..functions.display import clipped, signed_percent, stored_number
 from ..sources.config import inline_rows
 
 # Characters kept of each text field in a summary block.
@@ -125,7 +125,7 @@ def insight_blocks(insights: DataFrame) -> DataFrame:
 def signal_blocks(signals: DataFrame) -> DataFrame:
     """Text block of each signal with its signed change."""
     def text(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("string"), F.lit("None"))
+        return stored_number(F.col(name))
 
     change = signed_percent(F.col("current_kpi_value"), F.col("prev_kpi_value"))
     block = F.concat(

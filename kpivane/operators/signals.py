@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.numbers import breaches, pct_change_abs
 from ..functions.periods import Window, window_text
 from ..sources.config import SIGNAL_ALIASES, Job, SignalDef, inline_rows, signal_defs_frame
+from ..sources.stage import settled
 from .features import (
     FEATURES, add_period_stats, add_rank, add_series_features, benchmark_variance, feature_def,
     feature_key, kpi_series,
 )
 from .model import SELF, CatalogueError, Star, is_self
-from .query import job_filters, kpis_long
-from .snapshot import snapshot
+from .query import grouped_long, job_filters
+from .snapshot import Comparison, filtered_star
 
 FEATURE_COLUMNS = (
     "kpi_name", "dimension", "dimension_value", "feature_name", "kpi_value", "prior_value", "feature_value",
@@ -77,23 +78,30 @@ def feature_table(
 ) -> DataFrame:
     """Requested features of some KPIs by some dimensions, as one long table.
 
-    Snapshot features share one scan; cross-section features reuse its current values; series
-    features come from one monthly scan that reaches back as far as the longest of them needs.
-    Nothing is computed for a feature that was not asked for.
+    Snapshot features share one scan. Cross-section features read its current values several
+    times, so these are written once instead of scanning the facts again. Series features come
+    from one monthly scan that reaches back as far as the longest of them needs. Nothing is
+    computed for a feature that was not asked for.
     """
     wanted = list(dict.fromkeys(feature_key(f) for f in features))
     compared = [f for f in wanted if feature_def(f).kind in ("snapshot", "acceleration")]
     series = [f for f in wanted if feature_def(f).kind == "series"]
     cross = [f for f in wanted if feature_def(f).kind == "cross"]
+    plan = Comparison(star, kpis, window, compared)
+    wide = grouped_long(filtered_star(star, tables, dims, plan.windows, filters), star, dims, plan.aggregates())
+    if cross or series:
+        wide = settled(wide)
+    now = wide.select("dimension", "dimension_value", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("kpi_name"), F.col(f"{k}__0").alias("kpi_value")) for k in kpis
+    ]))).where("kpi_value is not null")
     parts = []
     if compared:
-        parts.append(snapshot(star, tables, kpis, dims, window, compared, filters).select(*FEATURE_COLUMNS))
-    if cross or series:
-        now = kpis_long(star, tables, kpis, dims, window, filters)
-        if cross:
-            parts.append(cross_section(now, cross, benchmark))
-        if series:
-            parts.append(_series_part(star, tables, kpis, dims, window, filters, series, now))
+        parts.append(wide.select("dimension", "dimension_value", plan.rows()).where(
+            "kpi_value is not null and feature_value is not null").select(*FEATURE_COLUMNS))
+    if cross:
+        parts.append(cross_section(now, cross, benchmark))
+    if series:
+        parts.append(_series_part(star, tables, kpis, dims, window, filters, series, now))
     if not parts:
         raise CatalogueError("no feature was requested")
     out = parts[0]

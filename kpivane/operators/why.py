@@ -16,6 +16,7 @@ from .query import KpiQuery, dim_key, grouped_long, grouping_bits, keep_members,
 from .signals import stable_id
 from .snapshot import Comparison, filtered_star
 
+ROUTE_A, ROUTE_B = "dimension", "dependency"
 WHY_COLUMNS = (
     "why_id", "signal_id", "run_timestamp", "kpi_name", "dimension_name", "dimension_value", "signal_name",
     "dep_kpi_name", "dep_kpi_label", "rationale", "current_value", "prev_value", "change_pct", "period",
@@ -95,18 +96,13 @@ def rationale(subject: Column, member: Column, change: Column, points: Column) -
     return F.concat(subject, F.lit(" "), member, moved, magnitude(change, points))
 
 
-def point_flags(spark: SparkSession, star: Star) -> DataFrame:
-    return inline_rows(spark, [(k.name, k.points) for k in star.kpis], "flag_kpi string, points boolean")
-
-
-def dependencies(spark: SparkSession, star: Star, kpis: Sequence[str]) -> DataFrame:
-    rows = [(k, dep) for k in kpis for dep in star.kpi(k).depends_on]
-    return inline_rows(spark, rows, "parent_kpi string, dependent_kpi string")
-
-
-def valid_pairs(spark: SparkSession, star: Star, kpis: Sequence[str]) -> DataFrame:
-    rows = [(k, d) for k in kpis for d in star.dims_of(k)]
-    return inline_rows(spark, rows, "valid_kpi string, valid_dimension string")
+def targets(spark: SparkSession, star: Star, kpis: Sequence[str]) -> DataFrame:
+    """What to look up for a signal of each KPI: itself by other dimensions, and each dependency."""
+    rows = [(k, k, ROUTE_A, star.kpi(k).points, star.dims_of(k)) for k in kpis]
+    rows += [(k, dep, ROUTE_B, star.kpi(dep).points, ()) for k in kpis for dep in star.kpi(k).depends_on]
+    return inline_rows(
+        spark, rows, "parent_kpi string, target_kpi string, route string, points boolean, valid_dims array<string>"
+    )
 
 
 def with_upper_bound(signals: DataFrame, defs: DataFrame) -> DataFrame:
@@ -118,71 +114,46 @@ def with_upper_bound(signals: DataFrame, defs: DataFrame) -> DataFrame:
     ).drop("__upper")
 
 
-def _still_breaching() -> Column:
-    return breaches(F.col("s.operator"), F.col("d.feature_value"), F.col("s.threshold_value"), F.col("s.threshold2"))
-
-
-def _finish(rows: DataFrame, run_at: Column) -> DataFrame:
-    return rows.withColumns({
-        "why_id": stable_id(*[F.col(c) for c in ("signal_id", "dep_kpi_name", "dimension_name", "dimension_value")]),
-        "run_timestamp": run_at,
-        "period": F.concat(F.col("period_start").cast("string"), F.lit(" to "), F.col("period_end").cast("string")),
-        "current_value": F.round("current_value", 2),
-        "prev_value": F.round("prev_value", 2),
-    }).select(*WHY_COLUMNS)
-
+def match(signals: DataFrame, drill: DataFrame, star: Star, kpis: Sequence[str], run_at: Column) -> DataFrame:
+    """WHY rows of both routes from one join of signals with their drill values.
 
-def route_a(signals: DataFrame, drill: DataFrame, star: Star, kpis: Sequence[str], run_at: Column) -> DataFrame:
-    """The signal's member by every other valid dimension, kept where the same threshold still fires."""
-    spark = signals.sparkSession
+    Route A keeps other valid dimensions, route B the dependent KPIs on the signal's own member
+    under the dependent KPI's own format; in both the signal's threshold must still fire.
+    """
+    own = F.col("d.drill_dimension").isNull()
     on = (
-        (F.col("s.kpi_name") == F.col("d.kpi_name")) & (F.col("s.dimension") == F.col("d.dimension"))
+        (F.col("t.target_kpi") == F.col("d.kpi_name")) & (F.col("s.dimension") == F.col("d.dimension"))
         & (F.col("s.dimension_value") == F.col("d.dimension_value"))
         & (F.col("s.feature_name") == F.col("d.feature_name"))
     )
-    rows = (
-        signals.alias("s").join(drill.where("drill_dimension is not null").alias("d"), on)
-        .where(_still_breaching() & F.col("d.drill_value").isNotNull())
-        .join(valid_pairs(spark, star, kpis),
-              (F.col("s.kpi_name") == F.col("valid_kpi")) & (F.col("d.drill_dimension") == F.col("valid_dimension")))
-        .join(point_flags(spark, star), F.col("s.kpi_name") == F.col("flag_kpi"))
-        .select(
-            "s.signal_id", "s.kpi_name", F.col("d.drill_dimension").alias("dimension_name"),
-            F.col("d.drill_value").alias("dimension_value"), "s.signal_name",
-            F.lit(None).cast("string").alias("dep_kpi_name"), F.lit(None).cast("string").alias("dep_kpi_label"),
-            rationale(F.concat(F.lit("Cross-dimension "), F.col("d.drill_dimension")), F.col("d.drill_value"),
-                      F.col("d.feature_value"), F.col("points")).alias("rationale"),
-            F.col("d.kpi_value").alias("current_value"), F.col("d.prior_value").alias("prev_value"),
-            F.col("d.feature_value").alias("change_pct"), "s.period_start", "s.period_end",
-        )
+    fitting = F.when(F.col("t.route") == ROUTE_B, own).otherwise(
+        ~own & F.col("d.drill_value").isNotNull() & F.array_contains("t.valid_dims", F.col("d.drill_dimension"))
     )
-    return _finish(rows, run_at)
-
-
-def route_b(signals: DataFrame, drill: DataFrame, star: Star, kpis: Sequence[str], run_at: Column) -> DataFrame:
-    """Each dependent KPI on the signal's own member, under the dependent KPI's own format."""
-    spark = signals.sparkSession
-    on = (
-        (F.col("dependent_kpi") == F.col("d.kpi_name")) & (F.col("s.dimension") == F.col("d.dimension"))
-        & (F.col("s.dimension_value") == F.col("d.dimension_value"))
-        & (F.col("s.feature_name") == F.col("d.feature_name"))
+    still = breaches(F.col("s.operator"), F.col("d.feature_value"), F.col("s.threshold_value"), F.col("s.threshold2"))
+    by_dependency = F.col("t.route") == ROUTE_B
+    joined = (
+        signals.alias("s").join(targets(signals.sparkSession, star, kpis).alias("t"),
+                                F.col("s.kpi_name") == F.col("t.parent_kpi"))
+        .join(drill.alias("d"), on).where(fitting & still)
     )
-    rows = (
-        signals.alias("s").join(dependencies(spark, star, kpis), F.col("s.kpi_name") == F.col("parent_kpi"))
-        .join(drill.where("drill_dimension is null").alias("d"), on)
-        .where(_still_breaching())
-        .join(point_flags(spark, star), F.col("dependent_kpi") == F.col("flag_kpi"))
-        .select(
-            "s.signal_id", "s.kpi_name", F.col("s.dimension").alias("dimension_name"),
-            F.col("s.dimension_value"), "s.signal_name", F.col("dependent_kpi").alias("dep_kpi_name"),
-            F.concat(F.col("s.kpi_name"), F.lit(" by "), F.col("s.dimension")).alias("dep_kpi_label"),
-            rationale(F.concat(F.lit("Dependent KPI "), F.col("dependent_kpi")), F.col("s.dimension_value"),
-                      F.col("d.feature_value"), F.col("points")).alias("rationale"),
-            F.col("d.kpi_value").alias("current_value"), F.col("d.prior_value").alias("prev_value"),
-            F.col("d.feature_value").alias("change_pct"), "s.period_start", "s.period_end",
-        )
+    dimension = F.coalesce("d.drill_dimension", "s.dimension")
+    member = F.coalesce("d.drill_value", "s.dimension_value")
+    subject = F.when(by_dependency, F.concat(F.lit("Dependent KPI "), F.col("t.target_kpi"))).otherwise(
+        F.concat(F.lit("Cross-dimension "), F.col("d.drill_dimension"))
     )
-    return _finish(rows, run_at)
+    rows = joined.select(
+        "s.signal_id", "s.kpi_name", dimension.alias("dimension_name"), member.alias("dimension_value"),
+        "s.signal_name", F.when(by_dependency, F.col("t.target_kpi")).alias("dep_kpi_name"),
+        F.when(by_dependency, F.concat("s.kpi_name", F.lit(" by "), "s.dimension")).alias("dep_kpi_label"),
+        rationale(subject, member, F.col("d.feature_value"), F.col("t.points")).alias("rationale"),
+        F.round("d.kpi_value", 2).alias("current_value"), F.round("d.prior_value", 2).alias("prev_value"),
+        F.col("d.feature_value").alias("change_pct"), "s.period_start", "s.period_end",
+    )
+    return rows.withColumns({
+        "why_id": stable_id(*[F.col(c) for c in ("signal_id", "dep_kpi_name", "dimension_name", "dimension_value")]),
+        "run_timestamp": run_at,
+        "period": F.concat(F.col("period_start").cast("string"), F.lit(" to "), F.col("period_end").cast("string")),
+    }).select(*WHY_COLUMNS)
 
 
 def explain(
@@ -208,7 +179,7 @@ def explain(
     mine = signals.where(
         (F.col("period_start") == F.lit(window.start)) & (F.col("period_end") == F.lit(window.end))
     )
-    return route_a(mine, drill, star, kpis, run_at).unionByName(route_b(mine, drill, star, kpis, run_at))
+    return match(mine, drill, star, kpis, run_at)
 
 
 def consolidated(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_features, queries_kpi, queries_signals  # noqa: F401
+from . import queries_clusters, queries_features, queries_kpi, queries_signals, queries_store, queries_text  # noqa: F401
 from .registry import QUERIES, SQL, runner
 
 

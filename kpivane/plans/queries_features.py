@@ -41,7 +41,7 @@ def with_feature(t: Tables, name: str, function, kpi: str = "order_value", **par
 
 
 def _feature(name: str, expr: str, kpi: str = "order_value") -> str:
-    return f"{_series(kpi)}\nSELECT *, round({expr}, 2) AS {name} FROM ser"
+    return f"{_series(kpi)}\nSELECT *, {q.r2(expr)} AS {name} FROM ser"
 
 
 def _lag(n: int = 1) -> str:

@@ -12,6 +12,7 @@ from ..operators import signals as sg
 from ..operators import why as wy
 from ..operators.snapshot import snapshot
 from ..sources import config as cf
+from ..sources.stage import settled
 from ..sources.tables import Tables
 from . import sql as q
 from .registry import query
@@ -33,9 +34,18 @@ def base_signals(t: Tables) -> DataFrame:
     return sg.detect_jobs(t.spark, [ORDERS], t, BASE_JOBS, DEFINITIONS, APRIL, F.lit(RUN_AT))
 
 
+def stored_signals(t: Tables) -> DataFrame:
+    """The same, written once: explanation and clusters read signals many times."""
+    return settled(base_signals(t))
+
+
+def stored_whys(t: Tables, signals: DataFrame) -> DataFrame:
+    return settled(base_whys(t, signals))
+
+
 def base_whys(t: Tables, signals: DataFrame | None = None) -> DataFrame:
     """WHY rows of both windows."""
-    signals = base_signals(t) if signals is None else signals
+    signals = stored_signals(t) if signals is None else signals
     monthly = wy.explain(signals, ORDERS, t, SIGNAL_KPIS, SIGNAL_DIMS, APRIL, ["mom_growth_pct", "yoy_growth_pct"], F.lit(RUN_AT))
     weekly = wy.explain(signals, ORDERS, t, ["order_value"], ["segment"], WEEK, ["wow_growth_pct"], F.lit(RUN_AT))
     return monthly.unionByName(weekly)
@@ -377,21 +387,18 @@ def entity_signals(t: Tables) -> DataFrame:
 @query("why_route_a", f"WITH {WHYS} SELECT {_W} FROM why WHERE dep_kpi_name IS NULL AND signal_name <> 'weekly_growth'")
 def why_route_a(t: Tables) -> DataFrame:
     """Monthly and yearly signals by every other dimension."""
-    return _monthly_route(t, wy.route_a)
+    return _monthly(t).where("dep_kpi_name is null")
 
 
 @query("why_route_b", f"WITH {WHYS} SELECT {_W} FROM why WHERE dep_kpi_name IS NOT NULL AND signal_name <> 'weekly_growth'")
 def why_route_b(t: Tables) -> DataFrame:
     """Monthly and yearly signals by dependent KPI."""
-    return _monthly_route(t, wy.route_b)
+    return _monthly(t).where("dep_kpi_name is not null")
 
 
-def _monthly_route(t: Tables, route) -> DataFrame:
-    signals = base_signals(t).where(F.col("period_start") == F.lit(APRIL.start))
-    others = list(dict.fromkeys(d for k in SIGNAL_KPIS for d in ORDERS.dims_of(k)))
-    drill = wy.drill_values(ORDERS, t, [*SIGNAL_KPIS, "avg_order_value"], SIGNAL_DIMS, others, APRIL,
-                            ["mom_growth_pct", "yoy_growth_pct"])
-    return route(signals, drill, ORDERS, SIGNAL_KPIS, F.lit(RUN_AT)).select(*WHY_SHOWN)
+def _monthly(t: Tables) -> DataFrame:
+    return wy.explain(base_signals(t), ORDERS, t, SIGNAL_KPIS, SIGNAL_DIMS, APRIL, ["mom_growth_pct", "yoy_growth_pct"],
+                      F.lit(RUN_AT)).select(*WHY_SHOWN)
 
 
 @query("why_all", f"WITH {WHYS} SELECT {_W} FROM why")
@@ -453,7 +460,7 @@ def why_pending(t: Tables) -> DataFrame:
 @query("why_rerun", f"""WITH {WHYS} SELECT {_W} FROM why""")
 def why_rerun(t: Tables) -> DataFrame:
     """Some signals explained again: their rows go, are computed anew, and nothing else changes."""
-    signals = base_signals(t)
+    signals = stored_signals(t)
     again = ledger(signals)
     old = base_whys(t, signals)
     fresh = base_whys(t, signals.join(again, "signal_id", "left_semi"))

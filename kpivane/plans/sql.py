@@ -97,6 +97,11 @@ def scale100(x: str) -> str:
     return f"(CASE WHEN abs({x}) <= 1.0000001 THEN {x} * 100 ELSE {x} END)"
 
 
+def r2(x: str) -> str:
+    """Two decimals, ties away from zero, decided on the decimal form."""
+    return f"CAST(round(CAST({x} AS DECIMAL(30,6)), 2) AS DOUBLE)"
+
+
 def pct_abs(cur: str, prior: str) -> str:
     return f"(({cur} - {prior}) / nullif(abs({prior}), 0) * 100)"
 
