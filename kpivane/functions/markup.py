@@ -65,7 +65,10 @@ def bold_numbers(text: Column) -> Column:
     """Dates, numbers and amounts in bold; text that is bold already stays as it is."""
     def marked(clean: Column) -> Column:
         ready = replace_all(repair_bold(clean), [(LINE_STAR, "• "), (BULLET_STAR, "• ")])
-        done = rewrite(ready, BOLD, lambda b: b, lambda p: replace_all(p, BOLD_RULES))
+        done = rewrite(
+            ready, BOLD, lambda b: b,
+            lambda p: F.when(p.rlike(r"\d"), replace_all(p, BOLD_RULES)).otherwise(p),
+        )
         return F.when(F.trim(clean) == "", clean).otherwise(done)
 
     return bind(F.replace(unix_lines(text), F.lit("\u2212"), F.lit("-")), marked)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -67,29 +68,35 @@ class Job:
     features: tuple[str, ...] = ()
 
 
-def _literal(value, type_: T.DataType) -> Column:
+def _literal(value: Any, type_: T.DataType) -> str:
+    """A configuration value as a SQL literal."""
     if value is None:
-        return F.lit(None).cast(type_)
+        return "NULL"
     if isinstance(type_, T.ArrayType):
-        items = [_literal(v, type_.elementType) for v in value]
-        return F.array(*items).cast(type_)
+        return f"array({', '.join(_literal(v, type_.elementType) for v in value)})"
     if isinstance(type_, T.MapType):
-        if not value:
-            return F.map_from_arrays(F.array().cast(T.ArrayType(type_.keyType)), F.array().cast(T.ArrayType(type_.valueType)))
-        flat = [c for k, v in value.items() for c in (_literal(k, type_.keyType), _literal(v, type_.valueType))]
-        return F.create_map(*flat)
-    return F.lit(value).cast(type_)
+        pairs = [x for k, v in value.items() for x in (_literal(k, type_.keyType), _literal(v, type_.valueType))]
+        return f"map({', '.join(pairs)})"
+    if isinstance(type_, T.BooleanType):
+        return str(bool(value)).upper()
+    if isinstance(type_, T.DateType):
+        return f"DATE'{value.isoformat()}'"
+    if isinstance(type_, T.DoubleType):
+        return f"{float(value)!r}D"
+    if isinstance(type_, T.StringType):
+        return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(int(value))
 
 
 def inline_rows(spark: SparkSession, rows: Sequence[Sequence], ddl: str) -> DataFrame:
-    """Configuration rows as literals in the plan: no Python worker, and a size Spark knows."""
-    schema = _schema(ddl)
-    structs = [
-        F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(row, schema.fields)]) for row in rows
-    ]
-    if not structs:
-        return spark.createDataFrame([], schema)
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """Configuration rows as an inline table: no Python worker, and a size Spark knows."""
+    fields = _schema(ddl).fields
+    if not rows:
+        return spark.createDataFrame([], _schema(ddl))
+    values = ", ".join(f"({', '.join(_literal(v, f.dataType) for v, f in zip(row, fields))})" for row in rows)
+    names = ", ".join(f"c{i}" for i in range(len(fields)))
+    typed = ", ".join(f"CAST(c{i} AS {f.dataType.simpleString()}) AS {f.name}" for i, f in enumerate(fields))
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS rows({names})")
 
 
 def signal_defs_frame(spark: SparkSession, defs: Sequence[SignalDef]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Tables:
-    """`tables("orders")` reads `<root>/orders.parquet`; pruning and pushdown stay with Spark."""
+    """`tables("orders")` reads `<root>/orders.parquet`; pruning and pushdown stay with Spark.
+
+    A table's schema is read from its footers once, not at every mention.
+    """
 
     spark: SparkSession
     root: str
+    known: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name not in self.known:
+            self.known[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self.known[name]
 
 
 def typed(column: Column, type_name: str) -> Column:
