@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.numbers import finite, pct_change, percent_scale
 from ..functions.periods import Window, month_index, month_start, quarter_index
+from ..sources.stage import settled
 from .model import Star
 from .query import KpiQuery, grouped_long
 
@@ -308,9 +309,13 @@ def add_rank(
     value: str = "kpi_value",
     ascending: bool = False,
     bounded: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """Minimum rank and `rank / count * 100` among the members of a period.
 
+    `stored=True` says that the frame is a stored table. Otherwise the bucketed way, which reads
+    its input several times, writes it once first.
+
     NULL with fewer than two values. `bounded=True` is for groups known to be small and uses one
     window per group. Otherwise the rank is exact without bringing a group together: equal values
     are counted first, values fall into buckets that keep their order, bucket totals give each
@@ -325,7 +330,7 @@ def add_rank(
             "__n": F.count(v).over(group),
         })
     else:
-        ranked = _bucketed_rank(frame, list(within), value, ascending)
+        ranked = _bucketed_rank(frame if stored else settled(frame), list(within), value, ascending)
     enough = F.col("__n") >= 2
     return ranked.withColumns({
         "rank": F.when(enough, F.col("__rank").cast("double")),

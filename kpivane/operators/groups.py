@@ -88,19 +88,17 @@ def window_from_rows(insights: DataFrame, label: str) -> DataFrame:
 
 
 def window_or_default(found: DataFrame, label: str, start: Column | None, end: Column | None) -> DataFrame:
-    """The stored window when it has both dates, else the configured default."""
-    base = found.sparkSession.range(1).select(F.lit(label).alias("period"))
-    joined = base.join(found.withColumnRenamed("period", "__p"), F.col("period") == F.col("__p"), "left")
-    stored = F.col("period_start").isNotNull() & F.col("period_end").isNotNull()
-    fallback = start is not None and end is not None
-    source = F.when(stored, "stored")
-    source = source.otherwise("default") if fallback else source.otherwise(F.raise_error(f"no window for '{label}'"))
-    return joined.select(
-        "period",
-        F.when(stored, F.col("period_start")).otherwise(start if fallback else F.lit(None)).alias("period_start"),
-        F.when(stored, F.col("period_end")).otherwise(end if fallback else F.lit(None)).alias("period_end"),
-        source.alias("source"),
+    """The stored window when it has both dates, else the configured default, else no row."""
+    stored = found.where("period_start is not null and period_end is not null").select(
+        F.lit(1).alias("choice"), "period", "period_start", "period_end", F.lit("stored").alias("source")
     )
+    if start is not None and end is not None:
+        default = found.sparkSession.range(1).select(
+            F.lit(2).alias("choice"), F.lit(label).alias("period"), start.alias("period_start"),
+            end.alias("period_end"), F.lit("default").alias("source"),
+        )
+        stored = stored.unionByName(default)
+    return stored.orderBy("choice").limit(1).drop("choice")
 
 
 def insight_blocks(insights: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def cross_section(now: DataFrame, features: Sequence[str], benchmark: float | No
     frame = now
     value: dict[str, Column] = {}
     if {"rank", "rank_pct"} & set(features):
-        frame = add_rank(frame, within=keys)
+        frame = add_rank(frame, within=keys, stored=True)
         value |= {"rank": F.col("rank"), "rank_pct": F.col("rank_pct")}
     if {"z_score", *MIX_NAMES} & set(features):
         frame = add_period_stats(frame, within=keys)
@@ -157,6 +158,48 @@ def canonical(names: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(cleaned))
 
 
+@dataclass(frozen=True)
+class JobPlan:
+    """Jobs that share a star, a window and filters, and so one aggregation."""
+
+    star: Star
+    window: Window
+    filters: tuple[tuple[str, tuple[str, ...]], ...]
+    jobs: tuple[Job, ...]
+
+    @property
+    def kpis(self) -> list[str]:
+        return list(dict.fromkeys(j.kpi_name for j in self.jobs))
+
+    @property
+    def dims(self) -> list[str]:
+        return list(dict.fromkeys(SELF if is_self(d) else d for j in self.jobs for d in j.dimensions))
+
+    def features(self, defs: Mapping[str, SignalDef]) -> list[str]:
+        names = [n for j in self.jobs for n in canonical(j.signals)]
+        return list(dict.fromkeys(feature_key(defs[n].feature_name) for n in names if n in defs))
+
+
+def plan_jobs(
+    stars: Sequence[Star], jobs: Sequence[Job], defs: Mapping[str, SignalDef], default_window: Window
+) -> list[JobPlan]:
+    """Active jobs with a known signal, grouped by what they can share."""
+    groups: dict[tuple, list[Job]] = {}
+    owners = {k.name: star for star in stars for k in star.kpis}
+    for job in jobs:
+        if not job.is_active or not any(n in defs for n in canonical(job.signals)):
+            continue
+        if (star := owners.get(job.kpi_name)) is None:
+            raise CatalogueError(f"KPI '{job.kpi_name}' of job {job.job_id} is in no star")
+        own = job.period_start is not None and job.period_end is not None
+        window = Window(job.period_start, job.period_end) if own else default_window
+        filters = job_filters(star, job.kpi_name, dict(job.filters))
+        key = (star.name, window, tuple(sorted((k, tuple(v)) for k, v in filters.items())))
+        groups.setdefault(key, []).append(job)
+    by_name = {s.name: s for s in stars}
+    return [JobPlan(by_name[n], w, f, tuple(group)) for (n, w, f), group in groups.items()]
+
+
 def detect_jobs(
     spark: SparkSession,
     stars: Sequence[Star],
@@ -169,51 +212,33 @@ def detect_jobs(
 ) -> DataFrame:
     """Signals of all active jobs.
 
-    Jobs that share a star, a window and filters are answered by one aggregation over all their
-    KPIs and dimensions. The number of aggregations follows the distinct settings, not the jobs.
+    The number of aggregations follows the distinct settings of the jobs, not the jobs.
     """
     by_name = {d.signal_name: d for d in defs}
-    plans: dict[tuple, list[Job]] = {}
-    for job in jobs:
-        if not job.is_active or not any(n in by_name for n in canonical(job.signals)):
-            continue
-        star = next((s for s in stars if any(k.name == job.kpi_name for k in s.kpis)), None)
-        if star is None:
-            raise CatalogueError(f"KPI '{job.kpi_name}' of job {job.job_id} is in no star")
-        own = job.period_start is not None and job.period_end is not None
-        window = Window(job.period_start, job.period_end) if own else default_window
-        filters = job_filters(star, job.kpi_name, dict(job.filters))
-        key = (star.name, window, tuple(sorted((k, tuple(v)) for k, v in filters.items())))
-        plans.setdefault(key, []).append(job)
-    parts = [
-        _detect_plan(spark, next(s for s in stars if s.name == name), tables, group, by_name, window,
-                     dict(filters), detected_at, benchmark)
-        for (name, window, filters), group in plans.items()
-    ]
-    if not parts:
+    plans = plan_jobs(stars, jobs, by_name, default_window)
+    if not plans:
         raise CatalogueError("no active job has a known signal")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = None
+    for plan in plans:
+        part = _detect_plan(spark, plan, tables, by_name, detected_at, benchmark)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _detect_plan(spark, star, tables, jobs, by_name, window, filters, detected_at, benchmark) -> DataFrame:
-    kpis = list(dict.fromkeys(j.kpi_name for j in jobs))
-    dims = list(dict.fromkeys(SELF if is_self(d) else d for j in jobs for d in j.dimensions))
-    rows, features = [], []
-    for job in jobs:
-        for name in canonical(job.signals):
-            if (found := by_name.get(name)) is None:
-                continue
-            features.append(found.feature_name)
-            rows += [(job.job_id, job.kpi_name, SELF if is_self(d) else d, name) for d in job.dimensions]
-    values = feature_table(star, tables, kpis, dims, window, features, filters, benchmark)
+def _detect_plan(
+    spark: SparkSession, plan: JobPlan, tables: Callable[[str], DataFrame], by_name: Mapping[str, SignalDef],
+    detected_at: Column, benchmark: float | None,
+) -> DataFrame:
+    rows = [
+        (job.job_id, job.kpi_name, SELF if is_self(d) else d, name)
+        for job in plan.jobs for name in canonical(job.signals) if name in by_name for d in job.dimensions
+    ]
+    values = feature_table(plan.star, tables, plan.kpis, plan.dims, plan.window, plan.features(by_name),
+                           dict(plan.filters), benchmark)
     wanted = inline_rows(spark, rows, "job_id int, kpi_name string, dimension string, signal_name string")
-    names = {r[3] for r in rows}
-    defs = signal_defs_frame(spark, [by_name[n] for n in sorted(names)])
+    defs = signal_defs_frame(spark, [by_name[n] for n in sorted({r[3] for r in rows})])
     hits = detect(values, defs).join(wanted, ["kpi_name", "dimension", "signal_name"])
-    return signal_rows(hits, F.lit(window.start), F.lit(window.end), detected_at)
+    return signal_rows(hits, F.lit(plan.window.start), F.lit(plan.window.end), detected_at)
 
 
 def entity_counts(signals: DataFrame, dimension: str, at_least: int = 1) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import clusters as cl
 from ..operators import groups as gr
 from ..sources.tables import Tables
 from . import sql as q
-from .queries_signals import HISTORY, SIGNALS, WHYS, base_signals, base_whys, signal_history, stored_signals, stored_whys
+from .queries_signals import HISTORY, SIGNALS, WHYS, base_signals, signal_history, stored_signals, stored_whys
 from .registry import query
 from .retail import GROUPS
 
@@ -134,7 +134,7 @@ SELECT k, max(n) AS window_count, (SELECT min(period_start) FROM w x WHERE x.k =
 FROM r WHERE rn <= 3 GROUP BY k""")
 def signal_windows(t: Tables) -> DataFrame:
     """Distinct windows of each signal and of each KPI."""
-    whys = base_whys(t)
+    whys = stored_whys(t, stored_signals(t))
     keyed = whys.select(F.explode(F.array("signal_id", "kpi_name")).alias("k"), "period_start", "period_end")
     return cl.windows_of(keyed, ["k"])
 

@@ -14,6 +14,7 @@ from ..operators.snapshot import snapshot
 from ..sources import config as cf
 from ..sources.stage import settled
 from ..sources.tables import Tables
+from . import run
 from . import sql as q
 from .registry import query
 from .retail import APRIL, DEFINITIONS, JOBS, LINES, ORDERS, STARS, WEEK
@@ -210,9 +211,9 @@ SELECT m || '/' || st AS job_id, m AS segment_filter, CAST(CAST(e - 6 AS DATE) A
   CAST(e - 6 AS DATE) AS period_start, e AS period_end FROM seg, w WHERE m <> 'MACHINERY' AND st <> 'P'""")
 def job_period_push(t: Tables) -> DataFrame:
     """The data's last week written into every job's filters, other keys kept."""
-    end = t("orders").agg(F.max("o_orderdate").cast("date").alias("last_day"))
-    jobs = cf.expand_jobs(segment_jobs(t)).where("dimension_name = 'region'").crossJoin(F.broadcast(end))
-    pushed = cf.push_period(jobs, F.date_sub("last_day", 6), F.col("last_day"))
+    last = t("orders").agg(F.max("o_orderdate").cast("date").alias("last_day")).scalar()
+    jobs = cf.expand_jobs(segment_jobs(t)).where("dimension_name = 'region'")
+    pushed = cf.push_period(jobs, F.date_sub(last, 6), last)
     return pushed.select(
         "job_id", F.array_join(F.element_at("filters", "segment"), ",").alias("segment_filter"),
         F.array_join(F.element_at("filters", "period"), ",").alias("period_filter"), "period_start", "period_end")
@@ -473,3 +474,13 @@ def why_missing_ids(t: Tables) -> DataFrame:
     signals = signal_history(t)
     asked = ledger(signals).unionByName(ledger(signals).select(F.concat(F.lit("x"), "signal_id").alias("signal_id")))
     return wy.missing_ids(asked, signals)
+
+
+@query("run_summary", f"""WITH {WHYS}, cl AS (SELECT DISTINCT s.dimension, s.dimension_value, w.period_start, w.period_end FROM why w JOIN sig s USING (signal_id) WHERE s.dimension IN ('priority', 'segment'))
+SELECT 'signals' AS stage, (SELECT count(*) FROM sig) AS "rows" UNION ALL SELECT 'whys', (SELECT count(*) FROM why)
+UNION ALL SELECT 'standard', (SELECT count(*) FROM (SELECT DISTINCT kpi_name, dimension FROM sig))
+UNION ALL SELECT 'dimensional', (SELECT count(*) FROM cl)
+UNION ALL SELECT 'rollup', (SELECT count(*) FROM (SELECT DISTINCT s.kpi_name, w.period_start FROM sig s LEFT JOIN why w ON w.kpi_name = s.kpi_name))""")
+def run_summary(t: Tables) -> DataFrame:
+    """The whole run, with the rows each stage wrote."""
+    return run.run(t.spark, [ORDERS], t, BASE_JOBS, DEFINITIONS, APRIL, F.lit(RUN_AT), ["priority", "segment"]).counts()

@@ -65,9 +65,9 @@ def summary_upsert(t: Tables) -> DataFrame:
 @query("current_period_state", "SELECT 1 AS id, CAST(max(o_orderdate) AS DATE) - 6 AS period_start, CAST(max(o_orderdate) AS DATE) AS period_end FROM orders")
 def current_period_state(t: Tables) -> DataFrame:
     """The reporting window as a one-row table, here the data's last week."""
-    last = t("orders").agg(F.max("o_orderdate").cast("date").alias("d"))
-    one = st.current_period(t.spark, F.lit(None).cast("date"), F.lit(None).cast("date"), None, F.lit(None).cast("timestamp"))
-    return one.select("id").crossJoin(F.broadcast(last)).select("id", F.date_sub("d", 6).alias("period_start"), F.col("d").alias("period_end"))
+    last = t("orders").agg(F.max("o_orderdate").cast("date").alias("d")).scalar()
+    return st.current_period(t.spark, F.date_sub(last, 6), last, "last week", F.lit(datetime(2001, 8, 2))).select(
+        "id", "period_start", "period_end")
 
 
 @query("signal_page", f"WITH {HISTORY} SELECT {_H} FROM hist ORDER BY detected_at DESC, signal_id LIMIT 100 OFFSET 150")
