@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from ..operators.why import pending
 
 BEFORE_FIRST = -1
-LEDGER_SCHEMA = StructType.fromDDL("signal_id string, batch bigint")
+LEDGER_SCHEMA = "signal_id string, batch bigint"
 
 
 def explain_new_signals(
