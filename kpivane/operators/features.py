@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ..functions.numbers import finite, pct_change, percent_scale
 from ..functions.periods import Window, month_index, month_start, quarter_index
 from ..sources.stage import settled
-from .model import Star
+from .model import Star, Value
 from .query import KpiQuery, grouped_long
 
 MEMBER = ("kpi_name", "dimension", "dimension_value")
@@ -257,7 +257,7 @@ def kpi_series(
         query = query.member(name, tuple(values))
     wide = grouped_long(
         query.filtered(), star, dims,
-        [star.kpi(k).measure.over().alias(k) for k in kpis],
+        [Value(k, star.kpi(k).measure) for k in kpis],
         extra_keys=[bucket(F.col(star.date_column))],
     )
     rows = F.array(*[F.struct(F.lit(k).alias("kpi_name"), F.col(k).alias("kpi_value")) for k in kpis])

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.periods import Window
+
 SELF = "SELF"
 SELF_MEMBER = "ALL"
 # Names that mean "no dimension, the whole portfolio".
@@ -18,6 +20,29 @@ def is_self(name: str | None) -> bool:
     return (name or "").strip().upper() in SELF_NAMES
 
 
+@dataclass(frozen=True)
+class Part:
+    """A piece of a measure that can be added up in steps: an exact sum, a row count or a key."""
+
+    kind: str
+    expr: str
+    scale: int = 0
+
+    def input(self, hit: Column | None) -> Column:
+        """Value of one row, NULL where the row does not count."""
+        if self.kind == "rows":
+            condition = F.expr(self.expr)
+            return F.when(condition if hit is None else hit & condition, F.lit(1))
+        value = F.expr(self.expr)
+        if self.kind == "total":
+            value = value.cast(f"decimal(18,{self.scale})")
+        return value if hit is None else F.when(hit, value)
+
+    def whole(self, value: Column) -> Column:
+        """Aggregate of row values in one step."""
+        return {"total": F.sum, "rows": F.count, "distinct": F.count_distinct}[self.kind](value)
+
+
 class Measure:
     """An aggregate that can be restricted to the rows where a predicate holds.
 
@@ -25,12 +50,16 @@ class Measure:
     row yields NULL, never zero.
     """
 
-    def over(self, hit: Column | None = None) -> Column:
+    def parts(self) -> tuple[Part, ...]:
         raise NotImplementedError
 
+    def finish(self, got: Callable[[Part], Column]) -> Column:
+        """The measure from its aggregated parts."""
+        raise NotImplementedError
 
-def _only(hit: Column | None, value: Column) -> Column:
-    return value if hit is None else F.when(hit, value)
+    def over(self, hit: Column | None = None) -> Column:
+        """The measure as one aggregate expression."""
+        return self.finish(lambda part: part.whole(part.input(hit)))
 
 
 @dataclass(frozen=True)
@@ -40,22 +69,24 @@ class Total(Measure):
     expr: str
     scale: int = 2
 
-    def over(self, hit: Column | None = None) -> Column:
-        value = F.expr(self.expr).cast(f"decimal(18,{self.scale})")
-        return F.sum(_only(hit, value)).cast("double")
+    def parts(self) -> tuple[Part, ...]:
+        return (Part("total", self.expr, self.scale),)
+
+    def finish(self, got: Callable[[Part], Column]) -> Column:
+        return got(self.parts()[0]).cast("double")
 
 
 @dataclass(frozen=True)
 class Rows(Measure):
     """Number of rows, optionally only those that satisfy a condition."""
 
-    where: str | None = None
+    where: str = "true"
 
-    def over(self, hit: Column | None = None) -> Column:
-        if self.where is not None:
-            condition = F.expr(self.where)
-            hit = condition if hit is None else hit & condition
-        return F.nullif(F.count(_only(hit, F.lit(1))), F.lit(0)).cast("double")
+    def parts(self) -> tuple[Part, ...]:
+        return (Part("rows", self.where),)
+
+    def finish(self, got: Callable[[Part], Column]) -> Column:
+        return F.nullif(got(self.parts()[0]), F.lit(0)).cast("double")
 
 
 @dataclass(frozen=True)
@@ -64,8 +95,11 @@ class Distinct(Measure):
 
     key: str
 
-    def over(self, hit: Column | None = None) -> Column:
-        return F.nullif(F.count_distinct(_only(hit, F.expr(self.key))), F.lit(0)).cast("double")
+    def parts(self) -> tuple[Part, ...]:
+        return (Part("distinct", self.key),)
+
+    def finish(self, got: Callable[[Part], Column]) -> Column:
+        return F.nullif(got(self.parts()[0]), F.lit(0)).cast("double")
 
 
 @dataclass(frozen=True)
@@ -75,8 +109,23 @@ class Ratio(Measure):
     top: Measure
     bottom: Measure
 
-    def over(self, hit: Column | None = None) -> Column:
-        return F.try_divide(F.coalesce(self.top.over(hit), F.lit(0.0)), self.bottom.over(hit))
+    def parts(self) -> tuple[Part, ...]:
+        return (*self.top.parts(), *self.bottom.parts())
+
+    def finish(self, got: Callable[[Part], Column]) -> Column:
+        return F.try_divide(F.coalesce(self.top.finish(got), F.lit(0.0)), self.bottom.finish(got))
+
+
+@dataclass(frozen=True)
+class Value:
+    """A measure under a name, optionally for one window only."""
+
+    alias: str
+    measure: Measure
+    window: Window | None = None
+
+    def aggregate(self, day: Column) -> Column:
+        return self.measure.over(None if self.window is None else self.window.covers(day)).alias(self.alias)
 
 
 @dataclass(frozen=True)

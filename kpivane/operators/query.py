@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import date
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import Window
-from .model import SELF, SELF_MEMBER, CatalogueError, Dimension, Star, is_self
+from .model import SELF, SELF_MEMBER, CatalogueError, Dimension, Part, Star, Value, is_self
 
 # A longer member list is joined instead of being spelled out in the filter.
 INLINE_MEMBERS = 200
@@ -170,56 +170,103 @@ def job_filters(star: Star, kpi: str, filters: dict[str, Sequence[str]]) -> dict
     return {k: v for k, v in filters.items() if k.strip().lower() in valid}
 
 
+def group_values(
+    frame: DataFrame,
+    star: Star,
+    keys: Mapping[str, Column],
+    sets: Sequence[Sequence[str]],
+    values: Sequence[Value],
+    always: Mapping[str, Column] | None = None,
+    compact: bool = True,
+) -> DataFrame:
+    """Values for several sets of keys from one scan, with the set's `__gid`.
+
+    With more than one set the rows are first added up by all keys together, which is done before
+    the shuffle and leaves one row per combination that occurs; only these are repeated for each
+    set. Sums and counts add up exactly, and a distinct count stays exact because its key joins
+    the first step. `compact=False` is for keys with so many members that the first step would
+    not shrink the data; then only the needed inputs are computed before rows are repeated.
+    """
+    always = dict(always or {})
+    day = F.col(star.date_column)
+    names = [*always, *keys]
+    if len(sets) == 1:
+        chosen = {**always, **{k: keys[k] for k in sets[0]}}
+        one = frame.groupBy(*[c.alias(n) for n, c in chosen.items()]).agg(*[v.aggregate(day) for v in values])
+        return one.withColumn("__gid", F.lit(grouping_bits(names, list(chosen))))
+
+    slots: dict[tuple[Part, Window | None], str] = {}
+    for v in values:
+        for part in v.measure.parts():
+            slots.setdefault((part, v.window), f"__p{len(slots)}")
+    counted = {part.expr for part, _ in slots if part.kind == "distinct"}
+    compact = compact and len(counted) <= 1
+
+    def row_value(part: Part, window: Window | None) -> Column:
+        hit = None if window is None else window.covers(day)
+        if compact and part.kind == "distinct":
+            return Part("rows", "true").input(hit)
+        return part.input(hit)
+
+    inputs = {name: row_value(part, window) for (part, window), name in slots.items()}
+    flat = frame.select(
+        *[c.alias(n) for n, c in {**always, **keys}.items()],
+        *[F.expr(e).alias("__key") for e in counted if compact],
+        *[c.alias(n) for n, c in inputs.items()],
+    )
+    if compact:
+        first = {n: (F.sum if part.kind == "total" else F.count)(n) for (part, _), n in slots.items()}
+        flat = flat.groupBy(*names, *(["__key"] if counted else [])).agg(*[c.alias(n) for n, c in first.items()])
+        merged = {
+            n: F.count_distinct(F.when(F.col(n) > 0, F.col("__key"))) if part.kind == "distinct" else F.sum(n)
+            for (part, _), n in slots.items()
+        }
+    else:
+        merged = {n: part.whole(F.col(n)) for (part, _), n in slots.items()}
+    grouped = flat.groupingSets(
+        [[F.col(n) for n in [*always, *s]] for s in sets], *[F.col(n) for n in names]
+    ).agg(F.grouping_id().alias("__gid"), *[c.alias(n) for n, c in merged.items()])
+    finished = [
+        v.measure.finish(lambda part, w=v.window: F.col(slots[part, w])).alias(v.alias) for v in values
+    ]
+    return grouped.select(*names, "__gid", *finished)
+
+
+def shrinks(star: Star, dims: Sequence[str]) -> bool:
+    """Categories have few members; day and key dimensions may have as many as there are rows."""
+    return all(star.dimension(d).kind == "text" for d in dims)
+
+
 def grouped_long(
     frame: DataFrame,
     star: Star,
     dims: Sequence[str],
-    aggregates: Sequence[Column],
-    *,
-    sets: Sequence[Sequence[str]] | None = None,
+    values: Sequence[Value],
     extra_keys: Sequence[Column] = (),
 ) -> DataFrame:
-    """Aggregate one scan by several dimensions at once.
+    """Values by several dimensions at once: extra keys `__k0..`, `dimension`, `dimension_value`, values.
 
-    `GROUPING SETS` gives one Expand and one shuffle for all dimensions instead of one scan
-    each. Result: extra keys, `dimension`, `dimension_value`, aggregates. `SELF` stands for the
-    total. Members are text so that dimensions of different types can share a column.
+    `SELF` stands for the total. Members are text so that dimensions of different types can share
+    a column.
     """
-    chosen = list(dims)
-    real = [d for d in chosen if not is_self(d)]
-    extra_names = [f"__k{i}" for i in range(len(extra_keys))]
-    keyed = frame.select(
-        *[c.alias(n) for c, n in zip(extra_keys, extra_names)],
-        *[dim_key(star.dimension(d)).cast("string").alias(f"__d_{d}") for d in real],
-        "*",
-    )
-    columns = [F.col(f"__d_{d}") for d in real]
-    keys = [F.col(n) for n in extra_names]
-    groups = sets if sets is not None else [[] if is_self(d) else [d] for d in chosen]
-    if len(groups) == 1 and len(groups[0]) <= 1:
-        only = groups[0]
-        name = only[0] if only else SELF
-        member = F.col(f"__d_{name}") if only else F.lit(SELF_MEMBER)
-        grouped = keyed.groupBy(*keys, *[F.col(f"__d_{d}") for d in only]).agg(*aggregates)
-        return grouped.select(
-            *keys, F.lit(name).alias("dimension"), member.alias("dimension_value"),
-            *[F.col(c) for c in grouped.columns if not c.startswith(("__k", "__d_"))],
-        )
-    grouped = keyed.groupingSets(
-        [[*keys, *[F.col(f"__d_{d}") for d in g]] for g in groups], *keys, *columns
-    ).agg(F.grouping_id().alias("__gid"), *aggregates)
+    real = list(dict.fromkeys(d for d in dims if not is_self(d)))
+    sets = [[d] for d in real] + ([[]] if any(is_self(d) for d in dims) else [])
+    keys = {d: dim_key(star.dimension(d)).cast("string") for d in real}
+    always = {f"__k{i}": c for i, c in enumerate(extra_keys)}
+    grouped = group_values(frame, star, keys, sets, values, always, shrinks(star, real))
     label: Column | None = None
-    member = None
-    for group in groups:
-        gid = grouping_bits(real, group)
-        test = F.col("__gid") == gid
+    member: Column | None = None
+    for group in sets:
+        test = F.col("__gid") == grouping_bits([*always, *real], [*always, *group])
         name = group[0] if group else SELF
-        value = F.col(f"__d_{name}") if group else F.lit(SELF_MEMBER)
+        value = F.col(name) if group else F.lit(SELF_MEMBER)
         label = F.when(test, F.lit(name)) if label is None else label.when(test, F.lit(name))
         member = F.when(test, value) if member is None else member.when(test, value)
+    if len(sets) == 1:
+        label = F.lit(sets[0][0] if sets[0] else SELF)
+        member = F.col(sets[0][0]) if sets[0] else F.lit(SELF_MEMBER)
     return grouped.select(
-        *keys, label.alias("dimension"), member.alias("dimension_value"),
-        *[F.col(c) for c in grouped.columns if not c.startswith(("__k", "__d_", "__gid"))],
+        *always, label.alias("dimension"), member.alias("dimension_value"), *[F.col(v.alias) for v in values]
     )
 
 
@@ -244,7 +291,7 @@ def kpis_long(
     for name, values in (filters or {}).items():
         query = query.member(name, tuple(values))
     wide = grouped_long(
-        query.filtered(), star, dims, [star.kpi(k).measure.over().alias(k) for k in kpis]
+        query.filtered(), star, dims, [Value(k, star.kpi(k).measure) for k in kpis]
     )
     pairs = [(k, d) for k in kpis for d in dims]
     valid = {

@@ -89,7 +89,7 @@ def feature_table(
     series = [f for f in wanted if feature_def(f).kind == "series"]
     cross = [f for f in wanted if feature_def(f).kind == "cross"]
     plan = Comparison(star, kpis, window, compared)
-    wide = grouped_long(filtered_star(star, tables, dims, plan.windows, filters), star, dims, plan.aggregates())
+    wide = grouped_long(filtered_star(star, tables, dims, plan.windows, filters), star, dims, plan.values())
     if cross or series:
         wide = settled(wide)
     now = wide.select("dimension", "dimension_value", F.inline(F.array(*[

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import pct_change_abs, percent_scale, snapshot_change
 from ..functions.periods import Window, acceleration_grain, any_window, prior_window
 from .features import feature_def, feature_key
-from .model import Kpi, Star, is_self
+from .model import Kpi, Star, Value, is_self
 from .query import KpiQuery, grouped_long
 
 
@@ -67,11 +67,9 @@ class Comparison:
         self.needed = {feature_key(f): windows_for(f, window, grain) for f in features}
         self.windows = list(dict.fromkeys([window, *[w for ws in self.needed.values() for w in ws]]))
 
-    def aggregates(self) -> list[Column]:
-        day = F.col(self.star.date_column)
+    def values(self) -> list[Value]:
         return [
-            self.star.kpi(k).measure.over(w.covers(day)).alias(f"{k}__{i}")
-            for k in self.kpis for i, w in enumerate(self.windows)
+            Value(f"{k}__{i}", self.star.kpi(k).measure, w) for k in self.kpis for i, w in enumerate(self.windows)
         ]
 
     def rows(self) -> Column:
@@ -107,7 +105,7 @@ def snapshot(
     """
     plan = Comparison(star, kpis, window, features, grain)
     frame = filtered_star(star, tables, dims, plan.windows, filters)
-    wide = grouped_long(frame, star, dims, plan.aggregates())
+    wide = grouped_long(frame, star, dims, plan.values())
     return wide.select("dimension", "dimension_value", plan.rows()).where(
         "kpi_value is not null and feature_value is not null"
     )

@@ -11,7 +11,7 @@ from ..functions.display import trimmed
 from ..functions.numbers import pct_change_abs, percent_scale
 from ..functions.periods import Window, any_window, tile_prior
 from ..sources.config import inline_rows
-from .model import SELF, Kpi, Star
+from .model import Kpi, Star, Value
 from .query import grouped_long
 from .snapshot import filtered_star
 
@@ -65,10 +65,9 @@ def _tile_rows(star: Star, kpis: Sequence[str], grain: str, prefix: str = "") ->
     return F.inline(F.array(*rows))
 
 
-def _pair(star: Star, kpis: Sequence[str], window: Window, before: Window, prefix: str = "") -> list[Column]:
-    day = F.col(star.date_column)
+def _pair(star: Star, kpis: Sequence[str], window: Window, before: Window, prefix: str = "") -> list[Value]:
     return [
-        star.kpi(k).measure.over(w.covers(day)).alias(f"{prefix}{k}__{s}")
+        Value(f"{prefix}{k}__{s}", star.kpi(k).measure, w)
         for k in kpis for s, w in (("now", window), ("before", before))
     ]
 
@@ -85,7 +84,7 @@ def tiles(
     before = tile_prior(window, grain)
     members = {d: slice_members(v) for d, v in (slices or {}).items() if slice_members(v)}
     frame = filtered_star(star, tables, (), [window, before], members)
-    return frame.agg(*_pair(star, kpis, window, before)).select(_tile_rows(star, kpis, grain))
+    return frame.agg(*[v.aggregate(F.col(star.date_column)) for v in _pair(star, kpis, window, before)]).select(_tile_rows(star, kpis, grain))
 
 
 def requested_tiles(spark: SparkSession, star: Star, rows: DataFrame, requested: Sequence[str]) -> DataFrame:
@@ -110,7 +109,7 @@ def breakdown(
 ) -> DataFrame:
     """KPIs by each dimension; blank members and missing values are dropped."""
     frame = filtered_star(star, tables, dims, [window], filters)
-    wide = grouped_long(frame, star, dims, [star.kpi(k).measure.over().alias(k) for k in kpis])
+    wide = grouped_long(frame, star, dims, [Value(k, star.kpi(k).measure) for k in kpis])
     rows = F.inline(F.array(*[F.struct(F.lit(k).alias("kpi_name"), F.col(k).alias("value")) for k in kpis]))
     return (
         wide.select("dimension", F.trim("dimension_value").alias("dimension_value"), rows)
@@ -129,16 +128,13 @@ def breakdown_windows(
 ) -> DataFrame:
     """The breakdown for several labelled windows (monthly and weekly) from one scan."""
     frame = filtered_star(star, tables, dims, list(windows.values()), filters)
-    day = F.col(star.date_column)
-    aggregates = [
-        star.kpi(k).measure.over(w.covers(day)).alias(f"{label}__{k}") for label, w in windows.items() for k in kpis
-    ]
+    values = [Value(f"{label}__{k}", star.kpi(k).measure, w) for label, w in windows.items() for k in kpis]
     rows = F.inline(F.array(*[
         F.struct(F.lit(label).alias("window"), F.lit(k).alias("kpi_name"), F.col(f"{label}__{k}").alias("value"))
         for label in windows for k in kpis
     ]))
     return (
-        grouped_long(frame, star, dims, aggregates)
+        grouped_long(frame, star, dims, values)
         .select("dimension", F.trim("dimension_value").alias("dimension_value"), rows)
         .where("dimension_value <> '' and value is not null")
         .select("window", "kpi_name", "dimension", "dimension_value", "value")
@@ -153,7 +149,8 @@ def tile_windows(
     spans = [*[w for _, w in windows.values()], *priors.values()]
     frame = filtered_star(star, tables, (), spans)
     wide = frame.agg(*[
-        c for label, (_, w) in windows.items() for c in _pair(star, kpis, w, priors[label], f"{label}__")
+        v.aggregate(F.col(star.date_column))
+        for label, (_, w) in windows.items() for v in _pair(star, kpis, w, priors[label], f"{label}__")
     ])
     parts = [
         wide.select(F.lit(label).alias("window"), _tile_rows(star, kpis, grain, f"{label}__"))

@@ -11,8 +11,8 @@ from ..functions.numbers import breaches
 from ..functions.periods import Window
 from ..sources.config import inline_rows
 from .features import feature_def
-from .model import Star, is_self
-from .query import KpiQuery, dim_key, grouped_long, grouping_bits, keep_members, kpis_long
+from .model import Star, Value, is_self
+from .query import KpiQuery, dim_key, group_values, grouped_long, grouping_bits, keep_members, kpis_long, shrinks
 from .signals import stable_id
 from .snapshot import Comparison, filtered_star
 
@@ -57,18 +57,15 @@ def drill_values(
         (a, b) for i, a in enumerate(real) for b in real[i + 1:] if a in signal_dims or b in signal_dims
     ]
     sets: list[tuple[str, ...]] = [*pairs, *[(d,) for d in signal_dims]]
-    keyed = frame.select(*[dim_key(star.dimension(d)).cast("string").alias(f"__d_{d}") for d in real], "*")
-    columns = {d: F.col(f"__d_{d}") for d in real}
-    wide = keyed.groupingSets([[columns[d] for d in s] for s in sets], *columns.values()).agg(
-        F.grouping_id().alias("__gid"), *plan.aggregates()
-    )
+    keys = {d: dim_key(star.dimension(d)).cast("string") for d in real}
+    wide = group_values(frame, star, keys, sets, plan.values(), compact=shrinks(star, real))
 
     def leg(own: str, other: str | None) -> Column:
         return F.struct(
             F.lit(own).alias("dimension"),
-            columns[own].alias("dimension_value"),
+            F.col(own).alias("dimension_value"),
             F.lit(other).cast("string").alias("drill_dimension"),
-            (columns[other] if other else F.lit(None).cast("string")).alias("drill_value"),
+            (F.col(other) if other else F.lit(None).cast("string")).alias("drill_value"),
         )
 
     legs: Column | None = None
@@ -77,9 +74,8 @@ def drill_values(
             else [leg(group[0], None)]
         test = F.col("__gid") == grouping_bits(real, group)
         legs = F.when(test, F.array(*directed)) if legs is None else legs.when(test, F.array(*directed))
-    values = [c for c in wide.columns if not c.startswith(("__d_", "__gid"))]
     return (
-        wide.select(F.inline(legs), *values)
+        wide.select(F.inline(legs), *[v.alias for v in plan.values()])
         .select("dimension", "dimension_value", "drill_dimension", "drill_value", plan.rows())
         .where("kpi_value is not null and feature_value is not null")
     )
@@ -199,7 +195,7 @@ def consolidated(
     own = dim_key(star.dimension(signal_dim)).cast("string")
     wide = grouped_long(
         query.filtered(), star, [*others, "SELF"],
-        [star.kpi(k).measure.over().alias(k) for k in (kpi, *deps)],
+        [Value(k, star.kpi(k).measure) for k in (kpi, *deps)],
         extra_keys=[own],
     )
     drilled = wide.where("dimension <> 'SELF'").select(

@@ -40,8 +40,9 @@ def with_feature(t: Tables, name: str, function, kpi: str = "order_value", **par
     return ft.add_series_features(series(t, kpi), {name: (function, params)})
 
 
-def _feature(name: str, expr: str, kpi: str = "order_value") -> str:
-    return f"{_series(kpi)}\nSELECT *, {q.r2(expr)} AS {name} FROM ser"
+def _feature(name: str, expr: str, kpi: str = "order_value", mean: bool = False) -> str:
+    shown = q.r2(expr) if mean else f"round({expr}, 2)"
+    return f"{_series(kpi)}\nSELECT *, {shown} AS {name} FROM ser"
 
 
 def _lag(n: int = 1) -> str:
@@ -157,17 +158,17 @@ def _rows(fn: str, n: int) -> str:
     return _mean(frame) if fn == "avg" else f"{fn}(kpi_value) OVER ({_KEY} {frame})"
 
 
-@query("feat_rolling_avg", _feature("rolling_avg", _range_avg(3)))
+@query("feat_rolling_avg", _feature("rolling_avg", _range_avg(3), mean=True))
 def feat_rolling_avg(t: Tables) -> DataFrame:
     return with_feature(t, "rolling_avg", ft.rolling_avg, months=3)
 
 
-@query("feat_rolling_avg_6m", _feature("rolling_avg_6m", _rows("avg", 6)))
+@query("feat_rolling_avg_6m", _feature("rolling_avg_6m", _rows("avg", 6), mean=True))
 def feat_rolling_avg_6m(t: Tables) -> DataFrame:
     return with_feature(t, "rolling_avg_6m", ft.rolling_rows_avg, window=6)
 
 
-@query("feat_rolling_avg_12m", _feature("rolling_avg_12m", _range_avg(12)))
+@query("feat_rolling_avg_12m", _feature("rolling_avg_12m", _range_avg(12), mean=True))
 def feat_rolling_avg_12m(t: Tables) -> DataFrame:
     return with_feature(t, "rolling_avg_12m", ft.rolling_avg, days=365)
 

@@ -98,7 +98,7 @@ def scale100(x: str) -> str:
 
 
 def r2(x: str) -> str:
-    """Two decimals, ties away from zero, decided on the decimal form."""
+    """Two decimals with ties away from zero, for means of amounts, which often end in a five."""
     return f"CAST(round(CAST({x} AS DECIMAL(30,6)), 2) AS DOUBLE)"
 
 
