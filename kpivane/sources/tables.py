@@ -25,6 +25,28 @@ class Tables:
         return self.known[name]
 
 
+@dataclass(frozen=True)
+class CatalogTables:
+    """The same over tables of the session's catalog, which may be partitioned or bucketed."""
+
+    spark: SparkSession
+    database: str = "default"
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.database}.{name}")
+
+
+def save_bucketed(frame: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Store a table in buckets of a join key.
+
+    A fact and a dimension too large to broadcast then join without a shuffle of the fact when
+    both have the same number of buckets. Not for a key of which one value holds a large share
+    of the rows: there the shuffled join, which Spark splits at run time, is the better way.
+    """
+    writer = frame.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def typed(column: Column, type_name: str) -> Column:
     """A text value as the declared type; anything unreadable becomes NULL."""
     if type_name == "boolean":

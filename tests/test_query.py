@@ -7,10 +7,11 @@ from datetime import date
 import pytest
 
 from kpivane.operators.fetch import apply_filters, parse_condition
-from kpivane.operators.model import CatalogueError, Dimension, Kpi, Ratio, Rows, Star, Total, is_self
-from kpivane.operators.query import KpiQuery, kpis_long
-from kpivane.plans.retail import APRIL, LINES, ORDERS
+from kpivane.operators.model import CatalogueError, Dimension, Kpi, Ratio, Rows, Star, Total, Value, is_self
+from kpivane.operators.query import KpiQuery, group_values, kpis_long
+from kpivane.plans.retail import APRIL, LINES, ORDERS, QUARTER
 from kpivane.sources.config import check_catalogue
+from kpivane.sources.tables import CatalogTables, save_bucketed
 
 TOY = Star(
     "toy", "facts", "day", (Dimension("shop", "shop"), Dimension("day", "day", kind="date")),
@@ -151,4 +152,36 @@ def test_a_day_member_reaches_the_scan(tables):
 
 def test_many_dimensions_share_one_scan(tables):
     text = plan(kpis_long(LINES, tables, ["revenue", "quantity"], ["return_flag", "line_status", "SELF"], APRIL), "simple")
-    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 2
+    assert text.rindex("Exchange hashpartitioning") > text.index("Expand")
+
+
+def test_bucketed_tables_join_without_a_shuffle_of_the_fact(spark, tables, tmp_path):
+    save_bucketed(tables("lineitem"), "lineitem", "l_partkey", 4, str(tmp_path / "lineitem"))
+    save_bucketed(tables("part"), "part", "p_partkey", 4, str(tmp_path / "part"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = KpiQuery(LINES, CatalogTables(spark), window=APRIL).with_kpi("revenue").group_by("brand").to_df()
+        plain = KpiQuery(LINES, tables, window=APRIL).with_kpi("revenue").group_by("brand").to_df()
+        assert plan(stored, "simple").count("Exchange hashpartitioning") == 1
+        assert plan(plain, "simple").count("Exchange hashpartitioning") == 3
+        assert rows(stored) == rows(plain)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE lineitem")
+        spark.sql("DROP TABLE part")
+
+
+def test_steps_do_not_change_values(tables):
+    """Adding up by all keys first gives what one step gives, distinct counts and windows included."""
+    dims = ["priority", "segment", "SELF"]
+    frame = KpiQuery(ORDERS, tables, dims=("priority", "segment")).filtered()
+    values = [Value(f"{k}_{i}", ORDERS.kpi(k).measure, w) for k in ("order_value", "customers", "finished_rate", "avg_order_value")
+              for i, w in enumerate((None, APRIL, QUARTER))]
+    keys = {d: ORDERS.dimension(d).column() for d in dims[:2]}
+    sets = [["priority"], ["segment"], ["priority", "segment"], []]
+    one, two = (group_values(frame, ORDERS, keys, sets, values, compact=c) for c in (True, False))
+    assert rows(one) == rows(two) and one.count() > 30
+    text = plan(one, "simple")
+    assert text.index("Expand") < text.rindex("Exchange hashpartitioning")
