@@ -160,6 +160,29 @@ def first_words(text: Column, most: int) -> Column:
     return F.array_join(F.slice(words, 1, most), " ")
 
 
+# Colour marks of a summary line, and the one it gets when it has none.
+COLOUR_MARKS = ("/green", "/red")
+DEFAULT_MARK = "/red"
+
+
+def pointers(items: Column, padding: str, count: int = 5, words: int = 10, coloured: bool = False) -> Column:
+    """Exactly `count` summary lines of at most `words` words; short lists are padded.
+
+    A coloured line keeps its mark; one without gets the default mark, as does the padding.
+    """
+    lines = F.filter(F.transform(items, lambda x: first_words(x, words)), lambda x: x != "")
+    filler = padding
+    if coloured:
+        def marked(line: Column) -> Column:
+            has = F.lit(False)
+            for mark in COLOUR_MARKS:
+                has = has | line.contains(mark)
+            return F.when(has, line).otherwise(F.concat(line, F.lit(f" {DEFAULT_MARK}")))
+
+        lines, filler = F.transform(lines, marked), f"{padding} {DEFAULT_MARK}"
+    return F.slice(F.concat(lines, F.array_repeat(F.lit(filler), count)), 1, count)
+
+
 def mention_period(text: Column, windows: Column) -> Column:
     """Add the period when the text names no ISO date."""
     clean = strip_space(F.coalesce(text, F.lit("")))

@@ -88,17 +88,15 @@ def window_from_rows(insights: DataFrame, label: str) -> DataFrame:
 
 
 def window_or_default(found: DataFrame, label: str, start: Column | None, end: Column | None) -> DataFrame:
-    """The stored window when it has both dates, else the configured default, else no row."""
+    """The stored window when it has both dates, else the configured default, else an error."""
     stored = found.where("period_start is not null and period_end is not null").select(
-        F.lit(1).alias("choice"), "period", "period_start", "period_end", F.lit("stored").alias("source")
+        F.struct("period_start", "period_end", F.lit("stored").alias("source")).alias("w")
     )
+    default = F.raise_error(F.lit(f"no window is stored or configured for '{label}'"))
     if start is not None and end is not None:
-        default = found.sparkSession.range(1).select(
-            F.lit(2).alias("choice"), F.lit(label).alias("period"), start.alias("period_start"),
-            end.alias("period_end"), F.lit("default").alias("source"),
-        )
-        stored = stored.unionByName(default)
-    return stored.orderBy("choice").limit(1).drop("choice")
+        default = F.struct(start.alias("period_start"), end.alias("period_end"), F.lit("default").alias("source"))
+    chosen = stored.agg(F.first("w").alias("w")).select(F.coalesce("w", default).alias("w"))
+    return chosen.select(F.lit(label).alias("period"), "w.period_start", "w.period_end", "w.source")
 
 
 def insight_blocks(insights: DataFrame) -> DataFrame:

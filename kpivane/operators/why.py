@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import breaches
-from ..functions.periods import Window
+from ..functions.periods import Window, window_from_text
 from ..sources.config import inline_rows
 from .features import feature_def
 from .model import Star, Value, is_self
@@ -30,6 +30,22 @@ def explainable(signals: DataFrame, features: Sequence[str]) -> tuple[list[str],
     return known, signals.where(~F.col("feature_name").isin(known))
 
 
+def explained_windows(signals: DataFrame, jobs: DataFrame, as_of: Column) -> DataFrame:
+    """Window each signal is explained over: its job's period, else the one stored with it, else one day.
+
+    A stored window may be dates or only the recorded query text.
+    """
+    periods = jobs.select(
+        "job_id", F.col("period_start").alias("__job_start"), F.col("period_end").alias("__job_end")
+    ).dropDuplicates(["job_id"])
+    start, end = window_from_text(F.col("kpi_query"))
+    own = F.col("__job_start").isNotNull() & F.col("__job_end").isNotNull()
+    return signals.join(periods, "job_id", "left").withColumns({
+        "window_start": F.when(own, F.col("__job_start")).otherwise(F.coalesce(start, as_of)),
+        "window_end": F.when(own, F.col("__job_end")).otherwise(F.coalesce(end, as_of)),
+    }).drop("__job_start", "__job_end")
+
+
 def drill_values(
     star: Star,
     tables: Callable[[str], DataFrame],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -446,6 +446,19 @@ def why_dependency_values(t: Tables) -> DataFrame:
     return wy.dependency_values(LINES, t, "revenue", "brand", "Brand#17", APRIL)
 
 
+@query("why_windows", f"""WITH {HISTORY}, w AS (SELECT *, CAST(date_trunc('month', detected_at) AS DATE) AS m FROM hist)
+SELECT signal_id, CASE WHEN dimension = 'nation' THEN DATE '1998-04-06' WHEN severity = 'info' THEN m ELSE DATE '2001-12-31' END AS window_start,
+  CASE WHEN dimension = 'nation' THEN DATE '1998-04-12' WHEN severity = 'info' THEN last_day(m) ELSE DATE '2001-12-31' END AS window_end FROM w""")
+def why_windows(t: Tables) -> DataFrame:
+    """Window of each explanation: the job's period, else the stored text's, else the as-of day."""
+    signals = signal_history(t).withColumns({
+        "job_id": F.when(F.col("dimension") == "nation", 7).otherwise(9),
+        "kpi_query": F.when(F.col("severity") == "info", F.col("kpi_query")),
+    })
+    return wy.explained_windows(signals, cf.jobs_frame(t.spark, BASE_JOBS), F.lit(date(2001, 12, 31))).select(
+        "signal_id", "window_start", "window_end")
+
+
 def ledger(signals: DataFrame) -> DataFrame:
     """Ids that count as processed: about half, chosen by the id itself."""
     return signals.where(F.substring("signal_id", 1, 1) < "8").select("signal_id")

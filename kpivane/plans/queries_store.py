@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import features as ft
 from ..sources import store as st
+from ..sources.stage import stage_root
 from ..sources.tables import Tables
 from . import sql as q
 from .queries_signals import HISTORY, HISTORY_COLUMNS, WHYS, ledger, signal_history, stored_signals, stored_whys
@@ -176,3 +178,16 @@ def latest_run(t: Tables) -> DataFrame:
 def lacking_actions(t: Tables) -> DataFrame:
     """Insights of one run that still have no action text."""
     return st.lacking_actions(_insights(t), F.lit(date(1998, 4, 1))).select("insight_id")
+
+
+@query("signal_append", f"WITH {HISTORY} SELECT signal_id, kpi_name, feature_value FROM hist WHERE dimension IN ('segment', 'priority')")
+def signal_append(t: Tables) -> DataFrame:
+    """Two appends to one table, the second with unusable ids that are left out."""
+    target = StructType.fromDDL("signal_id string, kpi_name string, feature_value double")
+    signals = signal_history(t)
+    path = f"{stage_root(t.spark).rstrip('/')}/append-{uuid4().hex}"
+    st.append(signals.where("dimension = 'segment'"), path, target)
+    rest = signals.where("dimension in ('priority', 'nation')").withColumn(
+        "signal_id", F.when(F.col("dimension") == "nation", "  ").otherwise(F.col("signal_id")))
+    st.append(st.usable_whys(rest), path, target)
+    return t.spark.read.schema(target).parquet(path)

@@ -120,3 +120,16 @@ def period_mention(t: Tables) -> DataFrame:
     said = F.when(key % 4 == 0, "Sales rose on 1998-04-02").when(key % 4 == 1, "Sales rose").when(key % 4 == 2, "Sales rose.").otherwise(" ")
     window = F.when(key % 3 == 0, "n/a (none)").otherwise(day)
     return t("orders").select("o_orderkey", tx.mention_period(said, window).alias("said"))
+
+
+@query("summary_pointers", r"""WITH parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda p:
+  array_to_string(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')[1:10], ' ')), lambda p: p <> '') AS x FROM documents)
+SELECT doc_id, array_to_string(list_concat(x, ['none', 'none', 'none', 'none', 'none'])[1:5], chr(10)) AS plain,
+  array_to_string(list_transform(list_concat(x, ['none', 'none', 'none', 'none', 'none'])[1:5],
+    lambda p: CASE WHEN p LIKE '%/green%' OR p LIKE '%/red%' THEN p ELSE p || ' /red' END), chr(10)) AS coloured FROM parts""")
+def summary_pointers(t: Tables) -> DataFrame:
+    """Five short summary lines per text, plain and with a colour mark."""
+    lines = F.split("text", "\n")
+    return t("documents").select(
+        "doc_id", F.array_join(tx.pointers(lines, "none"), "\n").alias("plain"),
+        F.array_join(tx.pointers(lines, "none", coloured=True), "\n").alias("coloured"))

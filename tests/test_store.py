@@ -131,3 +131,17 @@ def test_correlation_priors_order(spark):
     frame = spark.createDataFrame([("K", 0.2, True), ("k", None, True), ("k", 0.05, True), ("k", 0.01, False), ("x", 0.01, True)],
                                   "target_kpi string, p_value double, is_active boolean")
     assert [r.p_value for r in st.correlation_priors(frame, [" k"]).collect()] == [0.05, None]
+
+
+def test_window_falls_back_or_fails(spark):
+    rows = [("a", date(2024, 4, 1), None), ("b", date(2024, 4, 1), date(2024, 4, 7)), (" b ", date(2024, 3, 30), date(2024, 4, 2))]
+    frame = spark.createDataFrame(rows, "period string, period_start date, period_end date")
+    start, end = F.lit(date(2024, 1, 1)), F.lit(date(2024, 1, 7))
+
+    def window(label, a=start, b=end):
+        return tuple(gr.window_or_default(gr.window_from_rows(frame, label), label, a, b).first())
+
+    assert window("b") == ("b", date(2024, 3, 30), date(2024, 4, 7), "stored")
+    assert window("a") == ("a", date(2024, 1, 1), date(2024, 1, 7), "default")
+    with pytest.raises(Exception, match="no window"):
+        window("a", None, None)

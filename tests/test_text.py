@@ -155,3 +155,10 @@ def test_job_leaves_blank_fields(spark):
     got = {r.insight_id: r for r in mk.reformat_insights(frame).collect()}
     assert (got[1].title, got[1].insight, got[1].why) == ("T", "", None)
     assert (got[2].title, got[2].insight, got[2].why) == ("", "West **5.5**", "A\n• b\n")
+
+
+def test_pointers(spark):
+    frame = spark.createDataFrame([(["one two three", " ", "up /green now"],)], "x array<string>")
+    plain, marked = frame.select(tx.pointers(F.col("x"), "none", 3, 2), tx.pointers(F.col("x"), "none", 4, 3, True)).first()
+    assert plain == ["one two", "up /green", "none"]
+    assert marked == ["one two three /red", "up /green now", "none /red", "none /red"]
