@@ -15,6 +15,8 @@ from .model import SELF, SELF_MEMBER, CatalogueError, Dimension, Part, Star, Val
 
 # A longer member list is joined instead of being spelled out in the filter.
 INLINE_MEMBERS = 200
+# With more keys the combinations approach the rows, and adding up by all keys first gains nothing.
+COMPACT_KEYS = 6
 ISO_DAY = re.compile(r"^\s*(\d{4}-\d{2}-\d{2})([T ].*)?$")
 
 HAVING: dict[str, Callable[[Column, float, float | None], Column]] = {
@@ -200,7 +202,7 @@ def group_values(
         for part in v.measure.parts():
             slots.setdefault((part, v.window), f"__p{len(slots)}")
     counted = {part.expr for part, _ in slots if part.kind == "distinct"}
-    compact = compact and len(counted) <= 1
+    compact = compact and len(counted) <= 1 and len(names) <= COMPACT_KEYS
 
     def row_value(part: Part, window: Window | None) -> Column:
         hit = None if window is None else window.covers(day)

@@ -139,7 +139,7 @@ def anomaly_lookup(t: Tables) -> DataFrame:
 @query("signals_of_batch", f"WITH {HISTORY} SELECT {_H} FROM hist WHERE detected_at = (SELECT max(detected_at) FROM hist WHERE detected_at < TIMESTAMP '1998-04-15')")
 def signals_of_batch(t: Tables) -> DataFrame:
     """All signals of one detection time and KPI."""
-    return st.signals_of_batch(signal_history(t), F.lit(datetime(1998, 3, 31)), "Order_Value").select(*HISTORY_COLUMNS)
+    return st.signals_of_batch(signal_history(t), F.lit("1998-03-31").cast("timestamp"), "Order_Value").select(*HISTORY_COLUMNS)
 
 
 @query("whys_for_ids", f"WITH {WHYS} SELECT why_id, signal_id, change_pct FROM why WHERE substr(signal_id, 1, 1) < '8'")

@@ -6,7 +6,7 @@ from tests.support import DATA, session
 
 @pytest.fixture(scope="session")
 def spark():
-    spark = session()
+    spark = session(partitions=2)
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
     spark.stop()

@@ -14,10 +14,10 @@ from pyspark.sql import SparkSession
 DATA = os.environ.get("TESTDATA_ROOT", "/root/testdata")
 
 
-def session(cpus: int | str = 8) -> SparkSession:
+def session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]").appName("kpivane")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
