@@ -50,6 +50,15 @@ def markup_job(t: Tables) -> DataFrame:
     return mk.reformat_insights(narratives(t))
 
 
+@query("markup_titles", r"""SELECT doc_id, regexp_replace(regexp_replace('Doc ' || doc_id || ' ' || replace(string_split(text, chr(10))[1], '*', ''), '\s{2,}', ' ', 'g'),
+  '^\s+|\s+$', '', 'g') AS title FROM documents""")
+def markup_titles(t: Tables) -> DataFrame:
+    """Titles without stars and with single blanks."""
+    first = F.element_at(F.split("text", "\n"), 1)
+    return t("documents").select("doc_id", mk.strip_title(
+        F.concat(F.lit("**Doc** *"), F.col("doc_id").cast("string"), F.lit("*  "), first)).alias("title"))
+
+
 @query("markup_drift", r"""SELECT doc_id, FALSE AS changed_by_markup, TRUE AS changed_by_word,
   trim(regexp_replace(text, '\s+', ' ', 'g')) = '' AS blank FROM documents""")
 def markup_drift(t: Tables) -> DataFrame:
