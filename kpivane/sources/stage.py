@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -9,11 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`); a local one only when none is named."""
+    """The shared folder that the cluster names in `spark.checkpoint.dir`.
+
+    With a `local` master the driver and its tasks are one process, so a temporary folder is made
+    when none is named. Anywhere else that would be a different disk on each machine: an error.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="kpivane-"))
     return context.getCheckpointDir()
 
