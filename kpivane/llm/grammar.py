@@ -21,8 +21,8 @@ from .tokens import encoder, with_end
 from .words import binary_array, slices
 
 BLOCK_IDS = 1 << 19
-ROUNDS = 6
-RULES_A_ROUND = 2048
+ROUNDS = 4
+RULES_A_ROUND = 4096
 LEAST = 4
 FIRST_RULE = 1 << 20
 SLOTS = 1 << 16
