@@ -21,6 +21,7 @@ from .tokens import encoder, with_end
 from .words import binary_array, slices
 
 BLOCK_IDS = 1 << 19
+SLICE_BYTES = 12 << 20
 ROUNDS = 4
 RULES_A_ROUND = 4096
 LEAST = 4
@@ -149,7 +150,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
             return pa.RecordBatch.from_pylist([row], schema=arrow_schema)
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 ids, bounds = with_end(*words.encode(batch.column("text")), end_id)
                 names, begin = batch.column("doc_id").to_pylist(), 0
                 while begin < len(names):

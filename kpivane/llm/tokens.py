@@ -44,10 +44,14 @@ class WordEncoder:
         """Where each word's ids are held, encoding the unknown ones."""
         if len(self.words) > REMEMBERED:
             self.words, self.ids, self.bounds = self.words.slice(0, 0), self.ids[:0], self.bounds[:1]
-        unknown = pc.is_null(pc.index_in(words, value_set=self.words))
-        if pc.any(unknown).as_py():
+        held = pc.index_in(words, value_set=self.words)
+        unknown = pc.is_null(held)
+        fresh = unknown.to_numpy(zero_copy_only=False)
+        places = pc.fill_null(held, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if fresh.any():
+            places[fresh] = len(self.words) + np.arange(fresh.sum())
             self._learn(words.filter(unknown))
-        return pc.index_in(words, value_set=self.words).to_numpy(zero_copy_only=False).astype(np.int64)
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the bounds of each text in it. A null text has no ids."""
