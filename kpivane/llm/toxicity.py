@@ -1,11 +1,11 @@
 """Toxicity by a support vector machine on a gapped subsequence string kernel with Nystrom landmarks.
 
-A text is a string over the letters a to z (case, accents and look-alike digits folded) in which any
-other character is a gap. Two strings are alike when they share subsequences of three letters; one
-that spans more characters counts less. The kernel's landmarks are words of the labelled texts; the
-machine is trained on windows of the labelled texts in the landmarks' feature space. Its decision is
-then a sum over subsequences, so a text is scored in time linear in its length, and a document by its
-worst window: letters set apart by inserted characters or longer words around an insult still match.
+A text is a string over letters (case and look-alike digits folded) in which any other character is a
+gap. Two strings are alike when they share subsequences of three or four letters; one that spans more
+characters counts less. The kernel's landmarks are words of the labelled texts; the machine is trained
+on windows of the labelled texts in the landmarks' feature space. Its decision is then a sum over
+subsequences, so a text is scored in time linear in its length, and a document by its worst window:
+letters set apart by inserted characters or longer words around an insult still match.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -24,29 +25,32 @@ from pyspark.sql import functions as F
 from .labelled import held_out, training_rows, with_texts
 from .words import slices
 
-MOST_ROWS = 3_000
-LANDMARKS = 128
-SPAN = 5
+MOST_ROWS = 2_400
+LANDMARKS = 160
+SPAN = 6
 DECAY = 0.6
 STARTS = 6
+ROUNDS = 4
 WINDOW = STARTS + SPAN
-TRIPLES = 1 << 15
 SPLIT = "\n" * WINDOW
-#: Characters that often stand for a letter.
+#: Characters that often stand for a letter, and letters with signs that count as their own.
 LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "ß": "s"}
-#: Offsets of the second and third letter from the first, and the weight of that span.
-SHAPES = [(i, j, DECAY ** (j + 1)) for j in range(2, SPAN + 1) for i in range(1, j)]
+SIGNED = {"a": 27, "e": 28, "i": 29, "o": 30, "u": 31}
+#: Offsets of the letters after the first, and the weight of that span; for three and for four letters.
+SHAPES = [(rest, DECAY ** (rest[-1] + 1 - len(rest))) for size in (2, 3) for rest in combinations(range(1, SPAN + 1), size)]
+#: Subsequences are numbered by five bits a letter; those of three letters come first.
+NUMBERS = 1 << 20
 
 
 @lru_cache(maxsize=1)
 def alphabet() -> np.ndarray:
-    """Letter number 1 to 26 of each character of the basic plane, 0 for a gap."""
+    """Letter number 1 to 31 of each character of the basic plane, 0 for a gap."""
     table = np.zeros(1 << 16, np.uint8)
     for code in range(1 << 16):
         sign = chr(code)
-        base = LOOK_ALIKE.get(sign) or unicodedata.normalize("NFKD", sign)[:1].lower()
-        if len(base) == 1 and "a" <= base <= "z":
-            table[code] = ord(base) - 96
+        parts = LOOK_ALIKE.get(sign) or unicodedata.normalize("NFKD", sign).lower()
+        if parts and "a" <= parts[0] <= "z" and (len(parts) == 1 or unicodedata.combining(parts[1])):
+            table[code] = SIGNED.get(parts[0], ord(parts[0]) - 96) if len(parts) > 1 else ord(parts[0]) - 96
     return table
 
 
@@ -58,44 +62,49 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return alphabet()[np.where(points < 1 << 16, points, 0)], np.concatenate([[0], np.cumsum(sizes)])
 
 
-def subsequences(codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """For each shape the triple that begins at each start (0 where a letter is missing), and its weight."""
-    for i, j, weight in SHAPES:
-        a, b, c = (codes[starts + k].astype(np.int32) for k in (0, i, j))
-        yield np.where((a > 0) & (b > 0) & (c > 0), a << 10 | b << 5 | c, 0), weight
+def numbered(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """For each shape the number of the subsequence that begins at each position but the last SPAN, and its weight.
+
+    Numbers in which a letter is missing are those of no subsequence of that many letters.
+    """
+    n = len(codes) - SPAN
+    wide = codes.astype(np.int32)
+    for rest, weight in SHAPES:
+        found = wide[:n]
+        for k in rest:
+            found = found << 5 | wide[k : n + k]
+        yield found, weight
 
 
 class Judge(NamedTuple):
-    """`triple` is the machine's weight of each subsequence; a document's worst window goes through a logistic curve."""
+    """Weights of subsequences by number; a document's worst window goes through a logistic curve."""
 
-    triple: np.ndarray
+    number: np.ndarray
+    weight: np.ndarray
     slope: float
     shift: float
 
-    def windows(self, codes: np.ndarray) -> np.ndarray:
-        """The decision for the window at each position but the last WINDOW."""
-        n = len(codes) - SPAN
-        wide = codes.astype(np.int32)
-        each = np.zeros(n, np.float32)
-        for i, j, weight in SHAPES:
-            each += (self.triple * np.float32(weight))[wide[:n] << 10 | wide[i : n + i] << 5 | wide[j : n + j]]
-        sums = np.concatenate([[0], np.cumsum(each, dtype=np.float64)])
-        return sums[STARTS:] - sums[:-STARTS]
-
-    def worst(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: the largest decision and its place, beside the letters of all texts."""
-        codes, begin = letters(texts)
-        found = self.windows(codes)
-        best = np.maximum.reduceat(found, begin[:-1]) if len(texts) else np.zeros(0)
-        place = np.array([b + int(np.argmax(found[b:e])) for b, e in zip(begin[:-1], np.minimum(begin[1:], len(found)), strict=True)], np.int64)
-        return best, place, codes
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        codes, begin = letters(texts)
-        best = np.maximum.reduceat(self.windows(codes), begin[:-1])
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -30, 30)))
+    def table(self) -> np.ndarray:
+        out = np.zeros(NUMBERS, np.float32)
+        out[self.number] = self.weight
+        return out
+
+
+def windows(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The decision, without the bias, for the window at each position but the last WINDOW."""
+    each = np.zeros(len(codes) - SPAN, np.float32)
+    for found, weight in numbered(codes):
+        each += np.float32(weight) * table[found]
+    sums = np.concatenate([[0], np.cumsum(each, dtype=np.float64)])
+    return sums[STARTS:] - sums[:-STARTS]
+
+
+def scores(judge: Judge, table: np.ndarray, texts: list[str]) -> np.ndarray:
+    if not texts:
+        return np.zeros(0)
+    codes, begin = letters(texts)
+    best = np.maximum.reduceat(windows(table, codes), begin[:-1])
+    return 1 / (1 + np.exp(-np.clip(judge.slope * best + judge.shift, -30, 30)))
 
 
 def _seeds(texts: list[str], label: np.ndarray) -> tuple[list[str], list[str]]:
@@ -118,33 +127,65 @@ def _seeds(texts: list[str], label: np.ndarray) -> tuple[list[str], list[str]]:
     return telling, plain
 
 
-def _triples(codes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
-    """(windows x triples) numbers of the subsequences of windows of `count` first letters."""
-    spots = (starts[:, None] + np.arange(count)).ravel()
-    return np.concatenate([t.reshape(len(starts), count) for t, _ in subsequences(codes, spots)], axis=1)
+def _whole(number: np.ndarray, size: int) -> np.ndarray:
+    """Which numbers are subsequences of `size` letters with none missing."""
+    out = number > 0
+    for k in range(size):
+        out &= (number >> 5 * k & 31) > 0
+    return out
 
 
-def _kernel(codes: np.ndarray, starts: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Kernel values of windows against the landmarks, whose features are the columns of `marks`."""
-    weights = np.repeat([w for *_, w in SHAPES], STARTS).astype(np.float32)
-    out = np.zeros((len(starts), marks.shape[1]), np.float32)
-    for i in range(0, len(starts), 512):
-        found = _triples(codes, starts[i : i + 512], STARTS)
-        out[i : i + 512] = np.einsum("wt,wtl->wl", np.where(found > 0, weights, 0).astype(np.float32), marks[found])
+def _landmarks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all subsequences in the words, and their weights in each word, of length one."""
+    rows = []
+    for k, word in enumerate(words):
+        codes, _ = letters([word])
+        for (rest, _), (found, weight) in zip(SHAPES, numbered(codes), strict=True):
+            own = found[_whole(found, len(rest) + 1)]
+            rows.append(np.stack([own, np.full(len(own), k), np.full(len(own), weight)], axis=1))
+    rows = np.concatenate(rows)
+    number, at = np.unique(rows[:, 0].astype(np.int64), return_inverse=True)
+    marks = np.zeros((len(number), len(words)))
+    np.add.at(marks, (at, rows[:, 1].astype(np.int64)), rows[:, 2])
+    return number, marks / np.maximum(np.linalg.norm(marks, axis=0), 1e-9)
+
+
+def _kernel(codes: np.ndarray, starts: np.ndarray, number: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Kernel values of the windows at `starts` against the landmarks."""
+    place = np.full(NUMBERS, -1, np.int32)
+    place[number] = np.arange(len(number))
+    out = np.zeros((len(starts), marks.shape[1]))
+    for i in range(0, len(starts), 2048):
+        spots = starts[i : i + 2048, None] + np.arange(WINDOW)
+        local = codes[np.minimum(spots, len(codes) - 1)].astype(np.int32)
+        hits = []
+        for rest, weight in SHAPES:
+            found = local[:, :STARTS]
+            for k in rest:
+                found = found << 5 | local[:, k : STARTS + k]
+            at = place[found]
+            row, _ = np.nonzero(at >= 0)
+            hits.append((row, at[at >= 0], np.full(len(row), weight)))
+        row, at, weight = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.argsort(row, kind="stable")
+        row, at, weight = row[order], at[order], weight[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+        if len(first):
+            out[i + row[first]] = np.add.reduceat(marks[at] * weight[:, None], first, axis=0)
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, steps: int = 400, shrink: float = 1e-4) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, steps: int = 150, shrink: float = 1e-4) -> np.ndarray:
     """Linear support vector machine (squared hinge, classes balanced) by accelerated gradient; the last weight is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    sign = np.where(y > 0, 1.0, -1.0)
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-    rate = 1 / (2 * np.linalg.eigvalsh((x * share[:, None]).T @ x)[-1] + shrink)
-    w = held = np.zeros(x.shape[1])
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
+    sign = np.where(y > 0, 1, -1).astype(np.float32)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
+    rate = np.float32(1 / (2 * np.linalg.eigvalsh((x * share[:, None]).T @ x)[-1] + shrink))
+    w = held = np.zeros(x.shape[1], np.float32)
     for k in range(steps):
         slack = np.maximum(0, 1 - sign * (x @ held))
-        new = held - rate * (shrink * held - 2 * x.T @ (share * sign * slack))
-        held = new + k / (k + 3) * (new - w)
+        new = held - rate * (np.float32(shrink) * held - 2 * x.T @ (share * sign * slack))
+        held = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
 
@@ -165,16 +206,10 @@ def fit(texts: list[str], label: np.ndarray, prior: float) -> Judge:
     rng = np.random.default_rng(3)
     telling, plain = _seeds(texts, label)
     if not telling or label.min(initial=1) == 1:
-        return Judge(np.zeros(TRIPLES, np.float32), 0.0, float(np.log((prior + 1e-9) / (1 - prior + 1e-9))))
+        return Judge(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, float(np.log((prior + 1e-9) / (1 - prior + 1e-9))))
     words = telling[: LANDMARKS * 3 // 4]
     words += plain[: LANDMARKS - len(words)]
-    marks = np.zeros((TRIPLES, len(words)), np.float32)
-    for k, word in enumerate(words):
-        codes, _ = letters([word])
-        for triple, weight in subsequences(codes, np.arange(len(word))):
-            np.add.at(marks[:, k], triple, weight)
-    marks[0] = 0
-    marks /= np.maximum(np.linalg.norm(marks, axis=0), 1e-9)
+    number, marks = _landmarks(words)
     values, vectors = np.linalg.eigh(marks.T @ marks + 1e-3 * np.eye(len(words)))
     root = vectors @ np.diag(values**-0.5) @ vectors.T
 
@@ -183,7 +218,7 @@ def fit(texts: list[str], label: np.ndarray, prior: float) -> Judge:
     good, bad = [], []
     for i, (text, y) in enumerate(zip(texts, label, strict=True)):
         if not y:
-            bad += (begin[i] + rng.integers(0, max(1, len(text)), 12)).tolist()
+            bad += (begin[i] + rng.integers(0, max(1, len(text)), 6)).tolist()
             continue
         low, at = text.lower(), 0
         for w in low.split() if len(low) == len(text) else []:
@@ -191,13 +226,15 @@ def fit(texts: list[str], label: np.ndarray, prior: float) -> Judge:
             if w in known:
                 good.append(begin[i] + at)
             at += len(w)
-    judge = None
-    for _ in range(4):
+    good = good[:: max(1, len(good) // 10_000)]
+    for _ in range(ROUNDS):
         starts = np.array(good + bad, np.int64)
         y = np.repeat([1, 0], [len(good), len(bad)])
-        w = _machine(_kernel(codes, starts, marks) @ root, y)
-        judge = Judge((marks @ (root @ w[:-1])).astype(np.float32), 1.0, float(w[-1]))
-        best, place, _ = judge.worst(texts)
+        w = _machine(_kernel(codes, starts, number, marks) @ root, y)
+        judge = Judge(number, (marks @ (root @ w[:-1])).astype(np.float32), 1.0, float(w[-1]))
+        found = windows(judge.table(), codes)
+        best = np.maximum.reduceat(found, begin[:-1])
+        place = np.array([a + int(np.argmax(found[a:b])) for a, b in zip(begin[:-1], begin[1:], strict=True)])
         # Each text's worst window decides about it: those of the other texts are the hard cases.
         bad += place[label == 0].tolist()
         good += place[(label == 1) & (best + w[-1] > -0.5)].tolist()
@@ -225,9 +262,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str
     judge = train(docs, labels, label, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = judge.table()
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                found = judge.scores([t or "" for t in batch.column("text").to_pylist()])
+                found = scores(judge, weights, [t or "" for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double")
