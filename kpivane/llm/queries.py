@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stage import settled, stage_root
-from . import grammar, neardup, packing, quality, toxicity
+from . import chat, grammar, hamming, neardup, packing, quality, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +50,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest binary codes of every vector whose id is divisible by 20, among all vectors."""
+    codes = settled(table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code("embedding").alias("code")))
+    return hamming.top_k(codes, codes.where("vec_id % 20 = 0"), 10)
+
+
+@query
+def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of at least 0.93."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as grammar-compressed id files and read back."""
@@ -62,3 +75,26 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered from the perspective of each of its participants."""
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+SQL["op10_chat_perspectives"] = chat.PERSPECTIVES_SQL
+SQL["op5_exact_top_k"] = """
+WITH sound AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS signs
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.signs, v.signs), lambda p: (p[1] <> p[2])::INT)) AS distance
+  FROM sound q JOIN sound v ON q.vec_id <> v.vec_id
+  WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
