@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stage import settled
 from .graph import components
+from .words import runs
 
 SAMPLE = 10_000
 TILE = 2_048
@@ -136,15 +136,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE)
     asks = placed.select(*bucket, *carried, F.lit(True).alias("asks"), own.alias("row"), each.alias("column"))
     asked = placed.select(*bucket, *carried, F.lit(False).alias("asks"), each.alias("row"), own.alias("column"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        nth = int(group["nth"].iloc[0])
-        left, right = group[group["asks"]], group[~group["asks"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "links": [], "to": []})
-        one, two = (np.frombuffer(b"".join(g["bytes"]), np.float32).reshape(len(g), -1).astype(np.float64) for g in (left, right))
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        k1, k2 = (np.stack(g["keys"].to_numpy())[:, :nth] for g in (left, right))
-        copies = right["copies"].to_numpy()
+    def compared(group: pa.RecordBatch) -> pa.RecordBatch:
+        nth = group.column("nth")[0].as_py()
+        asking = group.column("asks")
+        left, right = group.filter(asking), group.filter(pc.invert(asking))
+        a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
+        if not len(a) or not len(b):
+            return pa.RecordBatch.from_pylist([], schema=met_schema)
+        one, two = (_matrix(g.column("bytes")).astype(np.float64) for g in (left, right))
+        k1, k2 = (g.column("keys").flatten().to_numpy().reshape(g.num_rows, -1)[:, :nth] for g in (left, right))
+        copies = right.column("copies").to_numpy()
         one /= np.linalg.norm(one, axis=1, keepdims=True)
         two /= np.linalg.norm(two, axis=1, keepdims=True)
         near = (one @ two.T >= cosine) & (a[:, None] != b[None, :])
@@ -162,9 +163,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE)
                 break
             reach_a, reach_b = new_a, new_b
         some = near.any(axis=1)
-        return pd.DataFrame({"id": a[some], "links": count[some], "to": reach_a[some]})
-
-    met = settled(asks.unionByName(asked).groupBy(*bucket, "row", "column").applyInPandas(compare, "id bigint, links bigint, to bigint"))
+        return pa.RecordBatch.from_arrays([pa.array(x[some].astype(np.int64)) for x in (a, count, reach_a)], schema=met_schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, [*number, "row", "column"]):
+            yield compared(group)
+
+    met_schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
+    # One number stands for the bucket's values, whatever the type of the labels.
+    number = ["nth", "_bucket"]
+    dealt = asks.unionByName(asked).withColumn("_bucket", F.xxhash64(*[F.col(c).cast("string") for c in bucket])).select(
+        *number, "row", "column", *carried, "asks")
+    dealt = dealt.repartition(*number, "row", "column").sortWithinPartitions(*number, "row", "column")
+    met = settled(dealt.mapInArrow(compare, "id bigint, links bigint, to bigint"))
     counted = met.groupBy("id").agg(F.sum("links").alias("_links"))
     comps = components(met, "id", "to")
     joined = (

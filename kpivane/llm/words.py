@@ -95,3 +95,25 @@ def binary_array(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(
         pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)]
     ).cast(pa.binary())
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted batches, one batch for each run of equal `keys` (integers or strings without nulls)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changed = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            column = batch.column(key)
+            changed[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        changed[0] = bool(held) and any(held[-1].column(k)[held[-1].num_rows - 1] != batch.column(k)[0] for k in keys)
+        begin = 0
+        for at in np.flatnonzero(changed).tolist():
+            if at > begin:
+                held.append(batch.slice(begin, at - begin))
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, begin = [], at
+        held.append(batch.slice(begin))
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
