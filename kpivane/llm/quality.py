@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import held_out, training_rows, with_texts
 from .words import slices, split_words, word_hashes
@@ -159,13 +160,27 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str
     n_chars the text's own length stands in. With no labelled rows every score is 0.5. Other columns
     are ignored.
     """
-    machine = train(docs, labels, label, most)
+    scored = scored_rows(_columns(docs), train(docs, labels, label, most))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def scored_rows(docs: DataFrame, machine: Machine) -> DataFrame:
+    """`docs` (with text and n_chars) and `score`, which replaces a column of that name."""
+    plain = docs.drop("score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = machine.scores(inputs(batch.column("text"), batch.column("n_chars")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
+                found = machine.scores(inputs(batch.column("text").cast(pa.string()), batch.column("n_chars")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
 
-    scored = _columns(docs).mapInArrow(run, "doc_id bigint, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "quality", most: int = MOST_ROWS) -> DataFrame:
+    """The rows of `docs` whose score reaches the threshold, with their columns as they are."""
+    sized = docs if "n_chars" in docs.columns else docs.withColumn("n_chars", F.lit(None).cast("bigint"))
+    machine = train(docs, labels, label, most)
+    own = scored_rows(sized.withColumnRenamed("score", "_own_score") if "score" in docs.columns else sized, machine)
+    kept = own.where(F.col("score") >= threshold)
+    return kept.select(*[F.col("_own_score").alias(c) if c == "score" else F.col(c) for c in docs.columns])

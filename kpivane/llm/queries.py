@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stage import settled, stage_root
-from . import chat, grammar, hamming, neardup, packing, quality, toxicity, vectors
+from . import chat, grammar, hamming, mixing, neardup, packing, pii, quality, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +44,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rates and copies of all documents for the default target mix."""
+    return mixing.document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
@@ -57,6 +63,17 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(codes, codes.where("vec_id % 20 = 0"), 10)
 
 
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and the words that reveal it."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    kinds = (*pii.KINDS, "term")
+    return found.select(
+        "doc_id", *[pii.count_of(k, "base").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.span_list("base", kinds), 256).alias("base_sha256"),
+        pii.span_list(F.concat("base", "terms"), kinds).alias("spans"), F.size("terms").cast("bigint").alias("n_term"))
+
+
 @query
 def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of vectors of one label with a cosine of at least 0.93."""
