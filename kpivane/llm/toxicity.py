@@ -31,6 +31,7 @@ SPAN = 6
 DECAY = 0.6
 STARTS = 6
 ROUNDS = 4
+SEED_WINDOWS = 10_000
 WINDOW = STARTS + SPAN
 SPLIT = "\n" * WINDOW
 #: Characters that often stand for a letter, and letters with signs that count as their own.
@@ -110,11 +111,8 @@ def scores(judge: Judge, table: np.ndarray, texts: list[str]) -> np.ndarray:
 def _seeds(texts: list[str], label: np.ndarray) -> tuple[list[str], list[str]]:
     """Words of the toxic texts that others hardly have, by how many texts they tell; and common other words."""
     has = (Counter(), Counter())
-    held = []
     for text, y in zip(texts, label, strict=True):
-        words = {w for w in text.lower().split() if 4 <= len(w) <= 24}
-        held.append(words)
-        has[int(y)].update(words)
+        has[int(y)].update({w for w in text.lower().split() if 4 <= len(w) <= 24})
     n = [max(1, int((label == k).sum())) for k in (0, 1)]
 
     def strength(w: str) -> float:
@@ -150,14 +148,18 @@ def _landmarks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return number, marks / np.maximum(np.linalg.norm(marks, axis=0), 1e-9)
 
 
-def _kernel(codes: np.ndarray, starts: np.ndarray, number: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Kernel values of the windows at `starts` against the landmarks."""
+def _cut(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(windows x WINDOW) letters from each start on."""
+    return codes[np.minimum(starts[:, None] + np.arange(WINDOW), len(codes) - 1)]
+
+
+def _kernel(cut: np.ndarray, number: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Kernel values of windows against the landmarks."""
     place = np.full(NUMBERS, -1, np.int32)
     place[number] = np.arange(len(number))
-    out = np.zeros((len(starts), marks.shape[1]))
-    for i in range(0, len(starts), 2048):
-        spots = starts[i : i + 2048, None] + np.arange(WINDOW)
-        local = codes[np.minimum(spots, len(codes) - 1)].astype(np.int32)
+    out = np.zeros((len(cut), marks.shape[1]), np.float32)
+    for i in range(0, len(cut), 1024):
+        local = cut[i : i + 1024].astype(np.int32)
         hits = []
         for rest, weight in SHAPES:
             found = local[:, :STARTS]
@@ -213,31 +215,38 @@ def fit(texts: list[str], label: np.ndarray, prior: float) -> Judge:
     values, vectors = np.linalg.eigh(marks.T @ marks + 1e-3 * np.eye(len(words)))
     root = vectors @ np.diag(values**-0.5) @ vectors.T
 
-    codes, begin = letters(texts)
     known = set(telling)
-    good, bad = [], []
-    for i, (text, y) in enumerate(zip(texts, label, strict=True)):
+    good: list[np.ndarray] = []
+    bad: list[np.ndarray] = []
+    for text, y in zip(texts, label, strict=True):
+        codes, _ = letters([text])
         if not y:
-            bad += (begin[i] + rng.integers(0, max(1, len(text)), 6)).tolist()
+            starts = rng.integers(0, max(1, len(text)), 6)
+            bad.append(_cut(codes, starts))
             continue
-        low, at = text.lower(), 0
+        low, at, starts = text.lower(), 0, []
         for w in low.split() if len(low) == len(text) else []:
             at = low.index(w, at)
             if w in known:
-                good.append(begin[i] + at)
+                starts.append(at)
             at += len(w)
-    good = good[:: max(1, len(good) // 10_000)]
+        good.append(_cut(codes, np.array(starts, np.int64)))
+    found = np.concatenate(good)
+    good = [found[:: max(1, len(found) // SEED_WINDOWS)]]
     for _ in range(ROUNDS):
-        starts = np.array(good + bad, np.int64)
-        y = np.repeat([1, 0], [len(good), len(bad)])
-        w = _machine(_kernel(codes, starts, number, marks) @ root, y)
+        ones, zeros = np.concatenate(good), np.concatenate(bad)
+        y = np.repeat([1, 0], [len(ones), len(zeros)])
+        w = _machine(_kernel(np.concatenate([ones, zeros]), number, marks) @ root, y)
         judge = Judge(number, (marks @ (root @ w[:-1])).astype(np.float32), 1.0, float(w[-1]))
-        found = windows(judge.table(), codes)
-        best = np.maximum.reduceat(found, begin[:-1])
-        place = np.array([a + int(np.argmax(found[a:b])) for a, b in zip(begin[:-1], begin[1:], strict=True)])
+        table, best, worst = judge.table(), np.zeros(len(texts)), []
+        for i, text in enumerate(texts):
+            codes, _ = letters([text])
+            each = windows(table, codes)
+            best[i] = each.max()
+            worst.append(_cut(codes, np.array([np.argmax(each)])))
         # Each text's worst window decides about it: those of the other texts are the hard cases.
-        bad += place[label == 0].tolist()
-        good += place[(label == 1) & (best + w[-1] > -0.5)].tolist()
+        bad += [worst[i] for i in np.flatnonzero(label == 0)]
+        good += [worst[i] for i in np.flatnonzero((label == 1) & (best + w[-1] > -0.5))]
     slope, shift = _logistic(best, label)
     share = np.clip(label.mean(), 1e-6, 1 - 1e-6)
     shift += np.log((prior + 1e-9) / (1 - prior + 1e-9)) - np.log(share / (1 - share))
