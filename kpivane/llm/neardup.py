@@ -20,48 +20,54 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stage import settled
 from .graph import components
-from .words import mixed, odd_numbers, shingle_sets, slices
+from .words import mixed, odd_numbers, runs, shingle_sets, slices
 
 TILE = 1024
 
 
 class Sketching(NamedTuple):
-    """`bands` x `rows` MinHash samples; at similarity 0.75 a pair shares no band with probability (1 - 0.75^rows)^bands."""
+    """`bands` x `rows` MinHash samples for the bands, and `samples` more in the odd sketch of `bits` bits.
+
+    At similarity 0.75 a pair shares no band with probability (1 - 0.75^rows)^bands.
+    """
 
     shingle: int = 5
     rows: int = 4
     bands: int = 28
-    bits: int = 1024
+    samples: int = 512
+    bits: int = 4096
     percent: int = 75
 
     def sketch_limit(self) -> int:
         """Largest XOR population count kept: 4.5 standard deviations above that of a pair at the threshold."""
-        samples, p = self.rows * self.bands, 1 - self.percent / 100
-        apart = 2 * (samples * p + 4.5 * math.sqrt(samples * p * (1 - p)))
-        mean = self.bits / 2 * (1 - (1 - 2 / self.bits) ** apart)
-        return math.ceil(mean + 4.5 * math.sqrt(self.bits) / 4)
+        p = 1 - self.percent / 100
+        flips = 2 * self.samples * p
+        mean = self.bits / 2 * (1 - (1 - 2 / self.bits) ** flips)
+        # Two flips for each sample that differs; flips that meet in one bit cancel out.
+        return math.ceil(mean + 4.5 * math.sqrt(4 * self.samples * p * (1 - p) + 2 * flips**2 / self.bits))
 
 
 def _sketches(sets: list[np.ndarray], how: Sketching) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (n x bands, int64) and odd sketches (n x bits / 64, int64)."""
-    samples = how.rows * how.bands
-    factor, shift = odd_numbers(31, samples), odd_numbers(37, samples)
-    least = np.zeros((len(sets), samples), np.uint64)
+    banded = how.rows * how.bands
+    samples = banded + how.samples
+    factor, shift = (odd_numbers(seed, samples).astype(np.uint32) for seed in (31, 37))
+    least = np.zeros((len(sets), samples), np.uint32)
     for i, one in enumerate(sets):
-        step = max(1, (1 << 18) // max(1, len(one)))
+        short = (one >> np.uint64(32)).astype(np.uint32)
+        step = max(1, (1 << 17) // max(1, len(one)))
         for j in range(0, samples if len(one) else 0, step):
-            least[i, j : j + step] = (one[None, :] * factor[j : j + step, None] + shift[j : j + step, None]).min(axis=1)
-    weights = odd_numbers(41, samples)
-    bands = (least * weights).reshape(len(sets), how.bands, how.rows).sum(axis=2, dtype=np.uint64)
+            least[i, j : j + step] = (short[None, :] * factor[j : j + step, None] + shift[j : j + step, None]).min(axis=1)
+    weighed = least.astype(np.uint64) * odd_numbers(41, samples)
+    bands = weighed[:, :banded].reshape(len(sets), how.bands, how.rows).sum(axis=2, dtype=np.uint64)
     bands = mixed(bands + np.arange(how.bands, dtype=np.uint64))
-    place = mixed(least * weights + np.arange(samples, dtype=np.uint64)) % np.uint64(how.bits)
+    place = mixed(weighed[:, banded:] + np.arange(how.samples, dtype=np.uint64)) % np.uint64(how.bits)
     flat = np.arange(len(sets))[:, None] * how.bits + place.astype(np.int64)
     parity = np.bincount(flat.ravel(), minlength=len(sets) * how.bits) & 1
     odd = np.packbits(parity.astype(np.uint8).reshape(len(sets), how.bits), axis=1).view(np.int64)
@@ -122,31 +128,36 @@ def _across(shared: DataFrame, comps: DataFrame, classes: DataFrame, how: Sketch
     main = placed.where("id = first").select("key", F.col("component").alias("main"))
     sized = placed.join(main, "key").withColumn("minor", F.col("component") != F.col("main"))
     live = sized.groupBy("key").agg(F.count_if("minor").alias("minors")).where("minors > 0")
-    sized = sized.join(live, "key").join(classes.select(F.col("doc_id").alias("id"), "odd"), "id")
+    sized = sized.join(live, "key").join(classes.select(F.col("doc_id").alias("id"), "odd", "bands"), "id")
     tiles, rows = F.ceil(F.col("members") / TILE).cast("int"), F.ceil(F.col("minors") / TILE).cast("int")
+    carried = ["key", "id", "component", "odd", "bands"]
     own = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    all_of = sized.select("key", "id", "component", "odd", F.lit(False).alias("asks"), own.alias("tile"),
-                          F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"))
+    # The bucket's smallest class has met all others in the first step.
+    all_of = sized.where("id <> first").select(*carried, F.lit(False).alias("asks"), own.alias("tile"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"))
     asking = sized.where("minor").select(
-        "key", "id", "component", "odd", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"),
+        *carried, F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"),
         F.pmod(F.xxhash64(F.col("id") + 1), rows).cast("int").alias("row"))
-    limit = how.sketch_limit()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy()
-        ids, comp = group["id"].to_numpy(), group["component"].to_numpy()
-        odd = np.stack(group["odd"].to_numpy()).view(np.uint64) if len(group) else np.zeros((0, 1), np.uint64)
-        found = []
-        there = np.flatnonzero(~asks)
-        for i in np.flatnonzero(asks):
-            apart = np.bitwise_count(odd[there] ^ odd[i]).sum(axis=1)
-            hit = there[(apart <= limit) & (comp[there] != comp[i])]
-            found.append(np.stack([np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    limit, place = how.sketch_limit(), ["key", "tile", "row"]
 
-    pairs = all_of.unionByName(asking).groupBy("key", "tile", "row").applyInPandas(run, "a bigint, b bigint")
-    return pairs.distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, place):
+            asks = group.column("asks").to_numpy(zero_copy_only=False)
+            ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
+            odd, bands = (group.column(c).flatten().to_numpy().reshape(len(ids), -1) for c in ("odd", "bands"))
+            bands = bands[:, : int(np.argmax(bands[0] == group.column("key")[0].as_py()))]
+            found = []
+            there = np.flatnonzero(~asks)
+            for i in np.flatnonzero(asks):
+                near = there[comp[there] != comp[i]]
+                near = near[np.bitwise_count(odd[near] ^ odd[i]).sum(axis=1) <= limit]
+                # A pair that shares several bands counts in the first.
+                near = near[~(bands[near] == bands[i]).any(axis=1)]
+                found.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    dealt = all_of.unionByName(asking).repartition(*place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
@@ -178,3 +189,11 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     best = F.coalesce("_component", "doc_id")
     return signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
         "doc_id", "n_shingles", best.alias("component_id"), F.coalesce(best == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
+    """The rows of `docs` that near_duplicates keeps, with their columns; of repeated ids one row stays."""
+    found = near_duplicates(docs, how)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
