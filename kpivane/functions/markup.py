@@ -29,7 +29,6 @@ BOLD_RULES: tuple[tuple[str, str], ...] = (
 JOINTS = (" — ", " – ", " - ", ": ", ":  ", " / ", " ")
 MOST_PHRASES = 120
 NO_NAME = ("n/a", "na", "—", "-")
-REPEAT = 4
 
 
 def strip_invisible(text: Column) -> Column:
@@ -38,10 +37,8 @@ def strip_invisible(text: Column) -> Column:
 
 def repair_bold(text: Column) -> Column:
     """Undo bold around a single leading letter of a word, and drop escaped stars."""
-    single = F.aggregate(
-        F.sequence(F.lit(1), F.lit(REPEAT)), unix_lines(text),
-        lambda acc, _: F.regexp_replace(acc, r"\*\*([A-Za-z])\*\*(?=[a-z])", "$1"),
-    )
+    # A letter is freed when what follows it, once the lower-case letters after it are freed, is lower case.
+    single = F.regexp_replace(unix_lines(text), r"\*\*([A-Za-z])\*\*(?=(?:\*\*[a-z]\*\*)*+[a-z])", "$1")
     return F.regexp_replace(single, r"\\+\*{1,2}", "")
 
 
@@ -218,8 +215,10 @@ def layout_sections(text: Column) -> Column:
 def plain_text(text: Column) -> Column:
     """Text without markup and with single blanks, for telling wording from formatting."""
     start = unix_lines(F.coalesce(text, F.lit("")))
+    # Every pass that changes anything takes away a mark, so there are no more passes than marks.
+    passes = F.size(F.split(start, r"\*\*|(?i)<sub>"))
     open_ = F.aggregate(
-        F.sequence(F.lit(1), F.lit(REPEAT)), start,
+        F.sequence(F.lit(1), passes), start,
         lambda acc, _: replace_all(acc, [(r"(?is)<sub>\s*(.*?)\s*</?sub>", "$1"), (r"(?s)\*\*(.+?)\*\*", "$1")]),
     )
     return strip_space(F.regexp_replace(open_, r"\s+", " "))

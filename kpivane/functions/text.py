@@ -163,14 +163,16 @@ def first_words(text: Column, most: int) -> Column:
 # Colour marks of a summary line, and the one it gets when it has none.
 COLOUR_MARKS = ("/green", "/red")
 DEFAULT_MARK = "/red"
+PLAIN_WORDS, COLOURED_WORDS = 10, 30
 
 
-def pointers(items: Column, padding: str, count: int = 5, words: int = 10, coloured: bool = False) -> Column:
-    """Exactly `count` summary lines of at most `words` words; short lists are padded.
+def pointers(items: Column, padding: str, count: int = 5, words: int | None = None, coloured: bool = False) -> Column:
+    """Exactly `count` summary lines of at most `words` words (10, or 30 with colour); short lists are padded.
 
     A coloured line keeps its mark; one without gets the default mark, as does the padding.
     """
-    lines = F.filter(F.transform(items, lambda x: first_words(x, words)), lambda x: x != "")
+    most = words or (COLOURED_WORDS if coloured else PLAIN_WORDS)
+    lines = F.filter(F.transform(items, lambda x: first_words(x, most)), lambda x: x != "")
     filler = padding
     if coloured:
         def marked(line: Column) -> Column:

@@ -186,7 +186,7 @@ def driver_line(whys: DataFrame, keys: Sequence[str]) -> DataFrame:
     listed = first_labels(whys.select(*keys, shown.alias("__driver")), keys, "__driver", DRIVER_ITEMS, "__drivers")
     joined = F.array_join("__drivers", ", ")
     return listed.select(
-        *keys, F.least(F.col("__drivers_count"), F.lit(DRIVER_ITEMS)).alias("driver_count"),
+        *keys, F.col("__drivers_count").alias("driver_count"),
         F.when(F.length(joined) > DRIVER_CHARS, F.concat(F.left(joined, F.lit(DRIVER_CHARS - 1)), F.lit("…")))
         .otherwise(joined).alias("drivers"),
     )
@@ -200,18 +200,13 @@ def text_sizes(lines: DataFrame, keys: Sequence[str], line: str = "line") -> Dat
     )
 
 
-def pack(rows: DataFrame, keys: Sequence[str], item: str, out: str, limit: int, separator: str = ",") -> DataFrame:
-    """Join distinct items of each key, only where the result stays within `limit` characters.
+def joined_ids(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct signal ids of each key as one text, whatever its length: a view for readers of a few clusters.
 
-    Longer keys are absent from the result; their items remain whole in the long table.
+    Membership itself is the long table of `cluster_signals`.
     """
-    distinct = rows.select(*keys, item).distinct()
-    sizes = distinct.groupBy(*keys).agg(
-        (F.sum(F.length(item)) + (F.count(F.lit(1)) - 1) * len(separator)).alias("__chars")
-    )
-    small = sizes.where(F.col("__chars") <= limit).select(*keys)
-    return distinct.join(small, list(keys), "left_semi").groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list(item)), separator).alias(out)
+    return rows.select(*keys, "signal_id").distinct().groupBy(*keys).agg(
+        F.array_join(F.array_sort(F.collect_list("signal_id")), ",").alias("signal_ids")
     )
 
 
@@ -221,8 +216,11 @@ def cluster_lines(signals: DataFrame, whys: DataFrame) -> DataFrame:
     return dedupe_whys(whys).join(owner, "signal_id").withColumn("line", why_line())
 
 
-def standard_clusters(signals: DataFrame, whys: DataFrame, limit: int | None = None) -> DataFrame:
-    """One cluster per KPI and dimension; `kept` tells whether its WHY text passes the size gate."""
+def standard_clusters(signals: DataFrame, whys: DataFrame, limit: int | None = None, ids: bool = False) -> DataFrame:
+    """One cluster per KPI and dimension; `kept` tells whether its WHY text passes the size gate.
+
+    `ids` adds the joined signal ids, see `joined_ids`.
+    """
     most = text_limit(limit)
     keys = ["kpi_name", "dimension"]
     lines = cluster_lines(signals, whys).select(
@@ -230,15 +228,16 @@ def standard_clusters(signals: DataFrame, whys: DataFrame, limit: int | None = N
     )
     sizes = text_sizes(lines, keys)
     counts = signals.groupBy(*keys).agg(F.count_distinct("signal_id").alias("signal_count"))
-    ids = pack(signals, keys, "signal_id", "signal_ids", most)
     chars = F.coalesce("why_chars", F.lit(0))
+    if ids:
+        counts = counts.join(joined_ids(signals, keys), keys)
     return (
-        counts.join(joined_members(signals, keys), keys, "left").join(sizes, keys, "left").join(ids, keys, "left")
+        counts.join(joined_members(signals, keys), keys, "left").join(sizes, keys, "left")
         .select(
             stable_id(F.lit("standard"), F.col("kpi_name"), F.col("dimension")).alias("cluster_id"),
             F.lit("alpha").alias("cluster_type"), "kpi_name", F.col("dimension").alias("dimension_name"),
             F.coalesce("dimension_value", F.lit("")).alias("dimension_value"),
-            F.lit("Mixed").alias("period"), "signal_count", "signal_ids",
+            F.lit("Mixed").alias("period"), "signal_count", *(["signal_ids"] if ids else []),
             F.coalesce("why_count", F.lit(0)).alias("why_count"), chars.alias("why_chars"),
             (chars <= most).alias("kept"),
         )
@@ -284,35 +283,46 @@ def bucket_rows(signals: DataFrame, whys: DataFrame, dims: Sequence[str], batch:
 
 
 def dimensional_clusters(
-    signals: DataFrame, whys: DataFrame, dims: Sequence[str], limit: int | None = None, batch: Column | None = None
+    signals: DataFrame, whys: DataFrame, dims: Sequence[str], limit: int | None = None, batch: Column | None = None,
+    ids: bool = False,
 ) -> DataFrame:
-    """One cluster per slice and window, with packed ids and KPI names where they fit."""
+    """One cluster per slice and window; `ids` adds the joined signal ids, see `joined_ids`."""
     most = text_limit(limit)
+    # A line counts by its length and its hash, so its text is in no shuffle.
     rows = bucket_rows(signals, whys, dims, batch).select(
-        F.col("slice_dim").alias("dimension_name"), F.col("slice_value").alias("dimension_value"),
-        "period_start", "period_end", "signal_id", "why_id", "line", "signal_kpi",
-    )
-    sizes = rows.select(*BUCKET, "why_id", "line").distinct().groupBy(*BUCKET).agg(
-        F.count(F.lit(1)).alias("why_count"), (F.sum(F.length("line")) + F.count(F.lit(1)) - 1).alias("why_chars")
-    )
-    counts = rows.groupBy(*BUCKET).agg(F.count_distinct("signal_id").alias("signal_count"))
-    kpis = first_labels(rows, BUCKET, "signal_kpi", 700, "kpis").select(
-        *BUCKET, F.left(F.array_join("kpis", ", "), F.lit(2000)).alias("kpi_name")
+        F.col("slice_dim").alias("dimension_name"), F.col("slice_value").alias("dimension_value"), "period_start", "period_end",
+        "signal_id", "signal_kpi", "why_id", F.xxhash64("line").alias("__hash"), F.length("line").alias("__chars"),
+    ).distinct()
+    # A bucket's KPI names come from the catalogue, so their set is small.
+    found = rows.groupBy(*BUCKET).agg(
+        F.count_distinct("signal_id").alias("signal_count"), F.count(F.lit(1)).alias("why_count"),
+        (F.sum("__chars") + F.count(F.lit(1)) - 1).alias("why_chars"), F.array_sort(F.collect_set("signal_kpi")).alias("kpis"),
     )
-    ids = pack(rows, BUCKET, "signal_id", "signal_ids", most)
-    return (
-        counts.join(sizes, BUCKET).join(kpis, BUCKET, "left").join(ids, BUCKET, "left")
-        .select(
-            stable_id(F.lit("dimensional"), *[F.col(c) for c in BUCKET]).alias("cluster_id"),
-            F.lit("dimensional").alias("cluster_type"), F.coalesce("kpi_name", F.lit("—")).alias("kpi_name"),
-            "dimension_name", "dimension_value",
-            period_label(F.col("period_start"), F.col("period_end")).alias("period"),
-            "period_start", "period_end", "signal_count", "signal_ids", "why_count", "why_chars",
-            (F.col("why_chars") <= most).alias("kept"),
-        )
+    if ids:
+        found = found.join(joined_ids(rows, BUCKET), BUCKET)
+    names = F.left(F.array_join(F.slice("kpis", 1, 700), ", "), F.lit(2000))
+    return found.select(
+        stable_id(F.lit("dimensional"), *[F.col(c) for c in BUCKET]).alias("cluster_id"),
+        F.lit("dimensional").alias("cluster_type"), F.when(F.size("kpis") > 0, names).otherwise("—").alias("kpi_name"),
+        "dimension_name", "dimension_value",
+        period_label(F.col("period_start"), F.col("period_end")).alias("period"),
+        "period_start", "period_end", "signal_count", *(["signal_ids"] if ids else []), "why_count", "why_chars",
+        (F.col("why_chars") <= most).alias("kept"),
     )
 
 
+def cluster_signals(signals: DataFrame, whys: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Membership of every cluster of each type, one row per cluster and signal, without any limit."""
+    standard = signals.select(
+        stable_id(F.lit("standard"), F.col("kpi_name"), F.col("dimension")).alias("cluster_id"), F.lit("alpha").alias("cluster_type"), "signal_id")
+    dimensional = bucket_rows(signals, whys, dims).select(
+        stable_id(F.lit("dimensional"), F.col("slice_dim"), F.col("slice_value"), F.col("period_start"), F.col("period_end")).alias("cluster_id"),
+        F.lit("dimensional").alias("cluster_type"), "signal_id")
+    rollup = signals.where(clean("kpi_name") != "").select(
+        stable_id(F.lit("rollup"), F.lower(F.trim("kpi_name"))).alias("cluster_id"), F.lit("rollup").alias("cluster_type"), "signal_id")
+    return standard.unionByName(dimensional).unionByName(rollup).distinct()
+
+
 SIGNAL_FIELDS = ("signal_id", "kpi_name", "dimension", "dimension_value", "observed_value", "threshold_value",
                  "breach_delta", "signal_name", "feature_name", "feature_value", "current_kpi_value", "prev_kpi_value")
 WHY_FIELDS = ("signal_id", "kpi_name", "dimension_name", "dimension_value", "signal_name", "dep_kpi_name",
@@ -321,7 +331,7 @@ WHY_FIELDS = ("signal_id", "kpi_name", "dimension_name", "dimension_value", "sig
 
 def bucket_json(signals: DataFrame, whys: DataFrame, dims: Sequence[str], limit: int | None = None) -> DataFrame:
     """Kept buckets with their signals and WHY rows as JSON arrays. The gate bounds every array."""
-    header = dimensional_clusters(signals, whys, dims, limit).where("kept and signal_ids is not null")
+    header = dimensional_clusters(signals, whys, dims, limit).where("kept")
     allowed = header.select("cluster_id", *BUCKET)
     rows = bucket_rows(signals, whys, dims)
     keyed = rows.select(

@@ -32,12 +32,15 @@ def tag_groups(
     names = F.coalesce(F.when(F.trim("kpi") != "", F.col("kpi")), F.col("kpi_family")) \
         if "kpi_family" in insights.columns else F.col("kpi")
     keyed = insights.withColumn("__names", names)
-    tags = (
-        keyed.select("insight_id", F.explode(kpi_list("__names")).alias("map_kpi"))
-        .join(group_map(insights.sparkSession, groups), "map_kpi")
-        .groupBy("insight_id").agg(F.array_join(F.array_sort(F.collect_set("group_id")), ",").alias("wanted"))
-    )
-    joined = keyed.join(tags, "insight_id", "left")
+    # The map is configuration: each row looks its names up in a constant.
+    of_kpi: dict[str, list[str]] = {}
+    for group, kpis in groups.items():
+        for kpi in kpis:
+            of_kpi.setdefault(kpi.strip().lower(), []).append(group)
+    none = F.array().cast("array<string>")
+    known = F.create_map(*[c for k, g in of_kpi.items() for c in (F.lit(k), F.array(*map(F.lit, g)))]) if of_kpi else None
+    found = none if known is None else F.flatten(F.transform(kpi_list("__names"), lambda k: F.coalesce(known[k], none)))
+    joined = keyed.withColumn("wanted", F.nullif(F.array_join(F.array_sort(F.array_distinct(found)), ","), F.lit("")))
     stored = F.nullif(F.col("group_name"), F.lit(""))
     allowed = F.lit(True) if overwrite else stored.isNull()
     eligible = F.col("wanted").isNotNull() | F.lit(clear_unmapped)

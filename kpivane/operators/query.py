@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.periods import Window
 from .model import SELF, SELF_MEMBER, CatalogueError, Dimension, Part, Star, Value, is_self
 
-# A longer member list is joined instead of being spelled out in the filter.
-INLINE_MEMBERS = 200
-# With more keys the combinations approach the rows, and adding up by all keys first gains nothing.
-COMPACT_KEYS = 6
 ISO_DAY = re.compile(r"^\s*(\d{4}-\d{2}-\d{2})([T ].*)?$")
 
 HAVING: dict[str, Callable[[Column, float, float | None], Column]] = {
@@ -41,13 +37,18 @@ def as_day(text: str) -> date | None:
 
 
 def member_test(dimension: Dimension, values: Sequence[str]) -> Column:
-    """Membership under the dimension's own type; for days a range test that reaches the scan."""
+    """Membership under the dimension's own type, for lists of any length; unreadable days match nothing.
+
+    Days become range tests that reach the scan, one for each run of days that touch.
+    """
     if dimension.kind == "date":
-        days = [d for d in map(as_day, map(str, values)) if d is not None]
-        test = F.lit(False)
-        for day in days:
-            test = test | Window(day, day).covers(dimension.column())
-        return test
+        days = sorted({d for d in map(as_day, map(str, values)) if d is not None})
+        firsts = [d for i, d in enumerate(days) if i == 0 or d - days[i - 1] > timedelta(days=1)]
+        lasts = [d for i, d in enumerate(days) if i + 1 == len(days) or days[i + 1] - d > timedelta(days=1)]
+        tests = [Window(a, b).covers(dimension.column()) for a, b in zip(firsts, lasts, strict=True)] or [F.lit(False)]
+        while len(tests) > 1:  # a flat tree, however many runs there are
+            tests = [t[0] | t[1] if len(t) == 2 else t[0] for t in (tests[i : i + 2] for i in range(0, len(tests), 2))]
+        return tests[0]
     return dimension.column().isin([str(v) for v in values])
 
 
@@ -155,15 +156,11 @@ def dim_key(dimension: Dimension) -> Column:
 
 
 def keep_members(frame: DataFrame, dimension: Dimension, values: Sequence[str] | DataFrame) -> DataFrame:
-    """Keep the rows of some members: inline when few, by semi join when many or when given as data."""
+    """Keep the rows of some members: a test for a list, a semi join for members given as data."""
     if isinstance(values, DataFrame):
         wanted = values.select(F.col(values.columns[0]).alias("__member")).distinct()
         return frame.join(wanted, dim_key(dimension) == F.col("__member"), "left_semi")
-    if len(values) <= INLINE_MEMBERS:
-        return frame.where(member_test(dimension, values))
-    wanted = frame.sparkSession.createDataFrame([(str(v),) for v in set(values)], "__member string")
-    test = dim_key(dimension) == F.col("__member").cast("date" if dimension.kind == "date" else "string")
-    return frame.join(wanted, test, "left_semi")
+    return frame.where(member_test(dimension, values))
 
 
 def job_filters(star: Star, kpi: str, filters: dict[str, Sequence[str]]) -> dict[str, Sequence[str]]:
@@ -202,7 +199,7 @@ def group_values(
         for part in v.measure.parts():
             slots.setdefault((part, v.window), f"__p{len(slots)}")
     counted = {part.expr for part, _ in slots if part.kind == "distinct"}
-    compact = compact and len(counted) <= 1 and len(names) <= COMPACT_KEYS
+    compact = compact and len(counted) <= 1
 
     def row_value(part: Part, window: Window | None) -> Column:
         hit = None if window is None else window.covers(day)

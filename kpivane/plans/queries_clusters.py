@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clusters as cl
@@ -35,7 +35,7 @@ _LINES = f"{WHYS}, lines AS (SELECT *, {_LINE} AS line FROM why), owned AS (SELE
 def _standard(limit: int) -> str:
     return f"""{_LINES}, std AS (SELECT sha256(concat_ws('|', 'standard', s.kpi_name, s.dimension)) AS cluster_id, 'alpha' AS cluster_type, s.kpi_name,
   s.dimension AS dimension_name, left(s.dv, 4000) AS dimension_value, 'Mixed' AS period, s.n AS signal_count,
-  CASE WHEN length(s.ids) <= {limit} THEN s.ids END AS signal_ids, coalesce(w.n, 0) AS why_count, coalesce(w.chars, 0) AS why_chars, coalesce(w.chars, 0) <= {limit} AS kept
+  s.ids AS signal_ids, coalesce(w.n, 0) AS why_count, coalesce(w.chars, 0) AS why_chars, coalesce(w.chars, 0) <= {limit} AS kept
 FROM (SELECT kpi_name, dimension, count(*) AS n, string_agg(signal_id, ',' ORDER BY signal_id) AS ids,
     (SELECT string_agg(m, ', ' ORDER BY m) FROM (SELECT DISTINCT trim(s2.dimension_value) AS m FROM sig s2 WHERE s2.kpi_name = sig.kpi_name AND s2.dimension = sig.dimension)) AS dv
   FROM sig GROUP BY kpi_name, dimension) s
@@ -46,7 +46,7 @@ LEFT JOIN (SELECT ck, cd, count(*) AS n, length(string_agg(line, chr(10))) AS ch
 def cluster_standard(t: Tables) -> DataFrame:
     """One cluster per KPI and dimension."""
     signals = stored_signals(t)
-    return cl.standard_clusters(signals, stored_whys(t, signals))
+    return cl.standard_clusters(signals, stored_whys(t, signals), ids=True)
 
 
 @query("cluster_size_gate", f"""WITH {_standard(SMALL_GATE)} SELECT cluster_id, kpi_name, dimension_name, why_chars,
@@ -69,19 +69,37 @@ FROM owned WHERE lower(cd) IN ('priority', 'segment') GROUP BY cd, cv, period_st
 def cluster_dimensional(t: Tables) -> DataFrame:
     """One cluster per slice and window, for two allowed dimensions."""
     signals = stored_signals(t)
-    return cl.dimensional_clusters(signals, stored_whys(t, signals), ["Priority", " SEGMENT", "brand"])
+    return cl.dimensional_clusters(signals, stored_whys(t, signals), ["Priority", " SEGMENT", "brand"], ids=True)
+
+
+@query("cluster_signal_ids", f"""WITH {_LINES} SELECT DISTINCT sha256(concat_ws('|', 'standard', kpi_name, dimension)) AS cluster_id, 'alpha' AS cluster_type, signal_id FROM sig
+UNION ALL SELECT DISTINCT sha256(concat_ws('|', 'dimensional', cd, cv, CAST(period_start AS VARCHAR), CAST(period_end AS VARCHAR))), 'dimensional', signal_id
+FROM owned WHERE lower(cd) IN ('priority', 'segment')
+UNION ALL SELECT DISTINCT sha256(concat_ws('|', 'rollup', lower(trim(kpi_name)))), 'rollup', signal_id FROM sig""")
+def cluster_signal_ids(t: Tables) -> DataFrame:
+    """Every cluster's signals as a long table, for standard, dimensional and roll-up clusters."""
+    signals = stored_signals(t)
+    return cl.cluster_signals(signals, stored_whys(t, signals), ["Priority", " SEGMENT", "brand"])
 
 
 @query("cluster_json", f"""WITH {_LINES} SELECT sha256(concat_ws('|', 'dimensional', cd, cv, CAST(period_start AS VARCHAR), CAST(period_end AS VARCHAR))) AS cluster_id,
-  count(DISTINCT signal_id) AS signals, count(DISTINCT why_id) AS whys FROM owned WHERE lower(cd) = 'segment' GROUP BY cd, cv, period_start, period_end""")
+  string_agg(DISTINCT signal_id || ' ' || ck, ',' ORDER BY signal_id || ' ' || ck) AS signals,
+  string_agg(signal_id || ' ' || kpi_name || ' ' || dimension_name || ' ' || dimension_value || ' ' || coalesce(dep_kpi_name, '-'), ',' ORDER BY
+    signal_id || ' ' || kpi_name || ' ' || dimension_name || ' ' || dimension_value || ' ' || coalesce(dep_kpi_name, '-')) AS whys
+FROM owned WHERE lower(cd) = 'segment' GROUP BY cd, cv, period_start, period_end""")
 def cluster_json(t: Tables) -> DataFrame:
-    """JSON arrays of the kept slices, read back to count what they hold."""
+    """JSON arrays of the kept slices, read back and listed."""
     signals = stored_signals(t)
     packed = cl.bucket_json(signals, stored_whys(t, signals), ["segment"])
-    one = "array<struct<signal_id:string>>"
+    one = "array<struct<signal_id:string,kpi_name:string,dimension_name:string,dimension_value:string,dep_kpi_name:string>>"
+
+    def listed(column: str, *fields: str) -> Column:
+        items = F.transform(F.from_json(column, one), lambda x: F.concat_ws(" ", *[F.coalesce(x[f], F.lit("-")) for f in fields]))
+        return F.array_join(F.array_sort(items), ",")
+
     return packed.select(
-        "cluster_id", F.size(F.from_json("signals_json", one)).cast("bigint").alias("signals"),
-        F.size(F.from_json("why_json", one)).cast("bigint").alias("whys"))
+        "cluster_id", listed("signals_json", "signal_id", "kpi_name").alias("signals"),
+        listed("why_json", "signal_id", "kpi_name", "dimension_name", "dimension_value", "dep_kpi_name").alias("whys"))
 
 
 @query("cluster_rollup", f"""WITH {_LINES}, asked(kpi_name) AS (SELECT DISTINCT kpi_name FROM sig UNION ALL VALUES ('no_such_kpi')),

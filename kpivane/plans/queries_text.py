@@ -96,7 +96,7 @@ def humanize_documents(t: Tables) -> DataFrame:
 @query("bullet_normalize", r"""WITH parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\r\n¶•]'),
   lambda p: regexp_replace(regexp_replace(regexp_replace(p, '^\s+|\s+$', '', 'g'), '^[-*–—]\s*', ''), '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS x, text FROM documents)
 SELECT doc_id, array_to_string(list_transform(x[1:30], lambda p: '• ' || p), chr(10)) AS lines,
-  array_to_string(list_transform(list_concat(x, ['pad', 'pad', 'pad', 'pad', 'pad'])[1:5], lambda p: '• ' || p), chr(10)) AS five,
+  array_to_string(list_transform(list_concat(y, ['pad', 'pad', 'pad', 'pad', 'pad'])[1:5], lambda p: '• ' || p), chr(10)) AS five,
   array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:18], ' ') AS title FROM parts""")
 def bullet_normalize(t: Tables) -> DataFrame:
     """Bullet lines, exactly five of them with padding, and a title of at most 18 words."""
@@ -132,13 +132,18 @@ def period_mention(t: Tables) -> DataFrame:
 
 
 @query("summary_pointers", r"""WITH parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda p:
-  array_to_string(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')[1:10], ' ')), lambda p: p <> '') AS x FROM documents)
+  array_to_string(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')[1:10], ' ')), lambda p: p <> '') AS x,
+  list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda p: array_to_string(list_filter(regexp_split_to_array(
+  array_to_string(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')[1:20], ' ') || CASE WHEN doc_id % 2 = 0 THEN ' /green' ELSE '' END, '\s+'),
+  lambda w: w <> '')[1:30], ' ')), lambda p: p <> '') AS y FROM documents)
 SELECT doc_id, array_to_string(list_concat(x, ['none', 'none', 'none', 'none', 'none'])[1:5], chr(10)) AS plain,
-  array_to_string(list_transform(list_concat(x, ['none', 'none', 'none', 'none', 'none'])[1:5],
+  array_to_string(list_transform(list_concat(y, ['none', 'none', 'none', 'none', 'none'])[1:5],
     lambda p: CASE WHEN p LIKE '%/green%' OR p LIKE '%/red%' THEN p ELSE p || ' /red' END), chr(10)) AS coloured FROM parts""")
 def summary_pointers(t: Tables) -> DataFrame:
-    """Five short summary lines per text, plain and with a colour mark."""
+    """Five short summary lines per text, plain and with a colour mark (for even ids after up to 20 words)."""
     lines = F.split("text", "\n")
+    mark = F.when(F.col("doc_id") % 2 == 0, " /green").otherwise("")
+    late = F.transform(lines, lambda p: F.concat(tx.first_words(p, 20), mark))
     return t("documents").select(
         "doc_id", F.array_join(tx.pointers(lines, "none"), "\n").alias("plain"),
-        F.array_join(tx.pointers(lines, "none", coloured=True), "\n").alias("coloured"))
+        F.array_join(tx.pointers(late, "none", coloured=True), "\n").alias("coloured"))

@@ -48,8 +48,9 @@ def newest(frame: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """Stored and incoming rows with one row per key, the first by `order`."""
-    return newest(stored.unionByName(incoming, allowMissingColumns=True), keys, *order)
+    """Stored and incoming rows with one row per key, the first by `order`; on a tie the incoming row."""
+    both = stored.withColumn("__stored", F.lit(1)).unionByName(incoming.withColumn("__stored", F.lit(0)), allowMissingColumns=True)
+    return newest(both, keys, *order, F.col("__stored")).drop("__stored")
 
 
 def upsert_kpi_results(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -123,10 +124,11 @@ def latest_signals(signals: DataFrame) -> DataFrame:
 
 
 def latest_per_id(signals: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """The latest row of each signal id."""
+    """The latest row of each signal id; of rows of one time the first by all columns, so reruns agree."""
     if ids is not None:
         signals = signals.join(ids.select("signal_id").distinct(), "signal_id", "left_semi")
-    return newest(signals, ["signal_id"], F.desc("detected_at"))
+    rest = [F.col(c) for c, kind in signals.dtypes if c not in ("signal_id", "detected_at") and "map<" not in kind]
+    return newest(signals, ["signal_id"], F.desc("detected_at"), *rest)
 
 
 def signal_ids_of(signals: DataFrame, kpis: Sequence[str], unprocessed_only: bool = False) -> DataFrame:

@@ -36,6 +36,11 @@ def explain_new_signals(
     empty = spark.createDataFrame([], "signal_id string")
     empty.write.mode("ignore").parquet(f"{ledger_path}/batch={BEFORE_FIRST}")
 
+    def batches() -> int:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path).select("batch").distinct().count()
+
+    before = batches()
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         done = spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path).where(F.col("batch") < batch_id)
         fresh = pending(batch, done).dropDuplicates(["signal_id"]).persist()
@@ -49,4 +54,4 @@ def explain_new_signals(
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return len(query.recentProgress)
+    return batches() - before

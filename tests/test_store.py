@@ -75,10 +75,10 @@ def test_size_gate_and_long_clusters(spark):
         [(f"s{i:05d}", "k", "hot" if i % 3 else "cold", f"m{i:05d}") for i in range(3000)],
         "signal_id string, kpi_name string, dimension string, dimension_value string")
     frame = whys(spark, [why(i, f"s{i:05d}") for i in range(3000)])
-    got = {r.dimension_name: r for r in cl.standard_clusters(signals, frame, 10_000).collect()}
+    got = {r.dimension_name: r for r in cl.standard_clusters(signals, frame, 10_000, ids=True).collect()}
     assert got["hot"].signal_count == 2000 and got["hot"].why_count == 2000 and not got["hot"].kept
-    assert got["hot"].signal_ids is None and len(got["hot"].dimension_value) == 4000
-    assert got["cold"].signal_ids.count(",") == 999 if got["cold"].signal_ids else got["cold"].why_chars > 10_000
+    assert got["hot"].signal_ids.count(",") == 1999 and len(got["hot"].dimension_value) == 4000
+    assert got["cold"].signal_ids.count(",") == 999
     assert got["hot"].dimension_value.startswith("m00001, m00002, m00004")
 
 
