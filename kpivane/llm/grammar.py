@@ -55,7 +55,7 @@ def _round(seq: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
     # One pair per slot of a small table, the most frequent first: a look-up is one gather and one test.
     _, first = np.unique(_slot(chosen), return_index=True)
     chosen = chosen[np.sort(first)]
-    table, number = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint32)
+    table, number = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64), np.zeros(SLOTS, np.uint32)
     table[_slot(chosen)] = chosen
     number[_slot(chosen)] = base + np.arange(len(chosen), dtype=np.uint32)
     slot = _slot(pairs)
