@@ -27,7 +27,6 @@ BOLD_RULES: tuple[tuple[str, str], ...] = (
 
 # What may stand between a dimension's name and its member.
 JOINTS = (" — ", " – ", " - ", ": ", ":  ", " / ", " ")
-MOST_PHRASES = 120
 NO_NAME = ("n/a", "na", "—", "-")
 
 
@@ -94,8 +93,8 @@ def _members(value: Column) -> Column:
     )
 
 
-def slice_phrases(name: Column, value: Column) -> Column:
-    """Phrases that may name a slice in prose, longest first."""
+def slice_phrases(name: Column, value: Column, most: int | None = None) -> Column:
+    """Phrases that may name a slice in prose, longest first; `most` keeps only the longest ones."""
     def variants(member: Column) -> Column:
         forms = F.array(
             member, F.replace(member, F.lit("-"), F.lit(" ")), F.replace(member, F.lit("-"), F.lit(" – "))
@@ -119,7 +118,7 @@ def slice_phrases(name: Column, value: Column) -> Column:
     joined = F.when(spoken != "", F.flatten(F.transform(members, combos))).otherwise(F.array().cast("array<string>"))
     every = F.array_distinct(F.filter(F.concat(members, own, joined), lambda p: p.isNotNull()))
     ranked = F.array_sort(F.transform(every, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
-    return F.transform(F.slice(ranked, 1, MOST_PHRASES), lambda s: s["p"])
+    return F.transform(F.slice(ranked, 1, most) if most else ranked, lambda s: s["p"])
 
 
 def highlight(text: Column, name: Column, value: Column) -> Column:
@@ -129,11 +128,14 @@ def highlight(text: Column, name: Column, value: Column) -> Column:
         return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?<!(?<!\*)\*)"), quoted, F.lit(r"(?![\p{L}\p{N}])"))
 
     def wrap(acc: Column, phrase: Column) -> Column:
-        done = rewrite(acc, BOLD, lambda b: b, lambda p: F.regexp_replace(p, pattern(phrase), F.lit("**$0**")))
-        return F.when(F.contains(F.lower(acc), F.lower(phrase)), done).otherwise(acc)
+        return rewrite(acc, BOLD, lambda b: b, lambda p: F.regexp_replace(p, pattern(phrase), F.lit("**$0**")))
 
-    ready = repair_bold(strip_invisible(text))
-    return repair_bold(F.aggregate(slice_phrases(name, value), ready, wrap))
+    def wrapped(ready: Column) -> Column:
+        # Wrapping adds stars only, so a phrase that the text lacks at first never appears later.
+        present = bind(F.lower(ready), lambda low: F.filter(slice_phrases(name, value), lambda p: F.contains(low, F.lower(p))))
+        return F.aggregate(present, ready, wrap)
+
+    return repair_bold(bind(repair_bold(strip_invisible(text)), wrapped))
 
 
 def reformat_body(text: Column, name: Column, value: Column) -> Column:

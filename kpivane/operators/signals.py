@@ -183,14 +183,14 @@ class JobPlan:
 def plan_jobs(
     stars: Sequence[Star], jobs: Sequence[Job], defs: Mapping[str, SignalDef], default_window: Window
 ) -> list[JobPlan]:
-    """Active jobs with a known signal, grouped by what they can share."""
+    """Active jobs with a known signal and KPI, grouped by what they can share; `job_errors` names the others."""
     groups: dict[tuple, list[Job]] = {}
     owners = {k.name: star for star in stars for k in star.kpis}
     for job in jobs:
         if not job.is_active or not any(n in defs for n in canonical(job.signals)):
             continue
         if (star := owners.get(job.kpi_name)) is None:
-            raise CatalogueError(f"KPI '{job.kpi_name}' of job {job.job_id} is in no star")
+            continue
         own = job.period_start is not None and job.period_end is not None
         window = Window(job.period_start, job.period_end) if own else default_window
         filters = job_filters(star, job.kpi_name, dict(job.filters))
@@ -200,6 +200,18 @@ def plan_jobs(
     return [JobPlan(by_name[n], w, f, tuple(group)) for (n, w, f), group in groups.items()]
 
 
+def job_errors(spark: SparkSession, stars: Sequence[Star], jobs: Sequence[Job], defs: Sequence[SignalDef]) -> DataFrame:
+    """`job_id, kpi_name, error` of the active jobs that cannot run; they do not stop the others."""
+    known, names = {k.name for star in stars for k in star.kpis}, {d.signal_name for d in defs}
+    rows = []
+    for job in jobs:
+        if job.is_active and job.kpi_name not in known:
+            rows.append((job.job_id, job.kpi_name, f"KPI '{job.kpi_name}' is in no star"))
+        elif job.is_active and not any(n in names for n in canonical(job.signals)):
+            rows.append((job.job_id, job.kpi_name, "no signal of the job is defined"))
+    return inline_rows(spark, rows, "job_id int, kpi_name string, error string")
+
+
 def detect_jobs(
     spark: SparkSession,
     stars: Sequence[Star],
@@ -209,8 +221,9 @@ def detect_jobs(
     default_window: Window,
     detected_at: Column,
     benchmark: float | None = None,
+    top_n: bool = True,
 ) -> DataFrame:
-    """Signals of all active jobs.
+    """Signals of all active jobs; `top_n=False` leaves the definitions' row limits out.
 
     The number of aggregations follows the distinct settings of the jobs, not the jobs.
     """
@@ -220,14 +233,14 @@ def detect_jobs(
         raise CatalogueError("no active job has a known signal")
     out = None
     for plan in plans:
-        part = _detect_plan(spark, plan, tables, by_name, detected_at, benchmark)
+        part = _detect_plan(spark, plan, tables, by_name, detected_at, benchmark, top_n)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _detect_plan(
     spark: SparkSession, plan: JobPlan, tables: Callable[[str], DataFrame], by_name: Mapping[str, SignalDef],
-    detected_at: Column, benchmark: float | None,
+    detected_at: Column, benchmark: float | None, top_n: bool,
 ) -> DataFrame:
     rows = [
         (job.job_id, job.kpi_name, SELF if is_self(d) else d, name)
@@ -238,6 +251,9 @@ def _detect_plan(
     wanted = inline_rows(spark, rows, "job_id int, kpi_name string, dimension string, signal_name string")
     defs = signal_defs_frame(spark, [by_name[n] for n in sorted({r[3] for r in rows})])
     hits = detect(values, defs).join(wanted, ["kpi_name", "dimension", "signal_name"])
+    limits = [by_name[n].top_n for n in sorted({r[3] for r in rows}) if by_name[n].top_n]
+    if limits and top_n:
+        hits = worst_first(hits, max(limits), ("job_id", "kpi_name", "dimension", "signal_name"))
     return signal_rows(hits, F.lit(plan.window.start), F.lit(plan.window.end), detected_at)
 
 
@@ -255,7 +271,7 @@ def counts_by(signals: DataFrame, *columns: str) -> DataFrame:
     return signals.groupBy(*columns).agg(F.count(F.lit(1)).alias("signal_count"))
 
 
-def worst_first(signals: DataFrame, most: int) -> DataFrame:
+def worst_first(signals: DataFrame, most: int, group: Sequence[str] = ("kpi_name", "dimension", "signal_name")) -> DataFrame:
     """Keep the `top_n` worst rows of a signal: lowest for lt/lte, highest otherwise.
 
     Signals without `top_n` keep every row. `most` is the largest `top_n` in use: as a constant
@@ -264,7 +280,7 @@ def worst_first(signals: DataFrame, most: int) -> DataFrame:
     """
     worst = F.when(F.col("operator").isin("lt", "lte"), F.col("feature_value")).otherwise(-F.col("feature_value"))
     place = F.row_number().over(
-        W.partitionBy("kpi_name", "dimension", "signal_name").orderBy(worst, "dimension_value")
+        W.partitionBy(*group).orderBy(worst, "dimension_value")
     )
     capped = (
         signals.where("top_n is not null").withColumn("__place", place)

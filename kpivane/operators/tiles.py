@@ -51,18 +51,22 @@ def change_text(now: Column, before: Column, change: Column, unit: Column, grain
     )
 
 
-def _tile_rows(star: Star, kpis: Sequence[str], grain: str, prefix: str = "") -> Column:
+def _tile_rows(star: Star, kpis: Sequence[str], grain: str) -> Column:
+    return F.inline(F.array(*_tile_structs(star, kpis, grain)))
+
+
+def _tile_structs(star: Star, kpis: Sequence[str], grain: str, prefix: str = "", label: str | None = None) -> list[Column]:
     rows = []
     for name in kpis:
         kpi = star.kpi(name)
         now, before = F.col(f"{prefix}{name}__now"), F.col(f"{prefix}{name}__before")
         change, unit = tile_change(kpi, now, before)
         rows.append(F.struct(
-            F.lit(name).alias("kpi_name"), now.alias("value"), before.alias("previous_value"),
+            *([F.lit(label).alias("window")] if label is not None else []), F.lit(name).alias("kpi_name"), now.alias("value"), before.alias("previous_value"),
             change.alias("change"), unit.alias("change_unit"),
             change_text(now, before, change, unit, grain).alias("comparison_text"),
         ))
-    return F.inline(F.array(*rows))
+    return rows
 
 
 def _pair(star: Star, kpis: Sequence[str], window: Window, before: Window, prefix: str = "") -> list[Value]:
@@ -152,14 +156,9 @@ def tile_windows(
         v.aggregate(F.col(star.date_column))
         for label, (_, w) in windows.items() for v in _pair(star, kpis, w, priors[label], f"{label}__")
     ])
-    parts = [
-        wide.select(F.lit(label).alias("window"), _tile_rows(star, kpis, grain, f"{label}__"))
-        for label, (grain, _) in windows.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return wide.select(F.inline(F.array(*[
+        row for label, (grain, _) in windows.items() for row in _tile_structs(star, kpis, grain, f"{label}__", label)
+    ])))
 
 
 # Parent names that mean the whole portfolio.

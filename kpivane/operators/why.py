@@ -214,17 +214,15 @@ def consolidated(
         [Value(k, star.kpi(k).measure) for k in (kpi, *deps)],
         extra_keys=[own],
     )
-    drilled = wide.where("dimension <> 'SELF'").select(
-        F.col("dimension").alias("tag"), F.col("__k0").alias("signal_dim_value"),
-        "dimension_value", F.col(kpi).alias("kpi_value"),
-    )
-    if not deps:
-        return drilled.where("kpi_value is not null")
-    values = F.inline(F.array(*[F.struct(F.lit(d).alias("tag"), F.col(d).alias("kpi_value")) for d in deps]))
-    dependent = wide.where("dimension = 'SELF'").select(
-        F.col("__k0").alias("signal_dim_value"), F.col("__k0").alias("dimension_value"), values
-    )
-    return drilled.unionByName(dependent).where("kpi_value is not null")
+    def leg(tag: Column, member: Column, value: Column) -> Column:
+        return F.struct(tag.alias("tag"), member.alias("dimension_value"), value.cast("double").alias("kpi_value"))
+
+    # One pass over the aggregate: a row of another dimension is one leg, the own row one for each dependency.
+    own_row = F.array(*[leg(F.lit(d), F.col("__k0"), F.col(d)) for d in deps])
+    drilled = F.array(leg(F.col("dimension"), F.col("dimension_value"), F.col(kpi)))
+    legs = F.when(F.col("dimension") != "SELF", drilled)
+    return wide.select(F.col("__k0").alias("signal_dim_value"), F.inline(legs.otherwise(own_row) if deps else legs)).select(
+        "tag", "signal_dim_value", "dimension_value", "kpi_value").where("kpi_value is not null")
 
 
 def top_contributors(values: DataFrame, count: int = 3) -> DataFrame:

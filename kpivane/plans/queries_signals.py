@@ -310,11 +310,22 @@ def _all_jobs_sql() -> str:
 @query("signal_all_jobs", _all_jobs_sql())
 def signal_all_jobs(t: Tables) -> DataFrame:
     """Every active job of two stars: snapshot, acceleration, rank, z-score and series signals."""
-    found = sg.detect_jobs(t.spark, STARS, t, JOBS, DEFINITIONS, APRIL, F.lit(RUN_AT))
+    return _shown(sg.detect_jobs(t.spark, STARS, t, JOBS, DEFINITIONS, APRIL, F.lit(RUN_AT), top_n=False))
+
+
+def _shown(found: DataFrame) -> DataFrame:
     return found.select("job_id", "kpi_name", "dimension", "dimension_value", "signal_name", "feature_value",
                         "current_kpi_value", "breach_delta")
 
 
+@query("signal_run_top_n", f"""SELECT * EXCLUDE (rn) FROM (SELECT a.*, row_number() OVER (PARTITION BY job_id, kpi_name, dimension, signal_name
+  ORDER BY CASE WHEN signal_name = 'monthly_degrowth' THEN feature_value ELSE -feature_value END, dimension_value) AS rn FROM ({_all_jobs_sql()}) a)
+WHERE NOT (signal_name = 'monthly_growth' AND rn > 3) AND NOT (signal_name = 'monthly_degrowth' AND rn > 2)""")
+def signal_run_top_n(t: Tables) -> DataFrame:
+    """The same jobs with the row limits of their definitions, as a run applies them."""
+    return _shown(sg.detect_jobs(t.spark, STARS, t, JOBS, DEFINITIONS, APRIL, F.lit(RUN_AT)))
+
+
 _TOP = f"""WITH {SIGNALS}, p AS (SELECT *, row_number() OVER (PARTITION BY kpi_name, dimension, signal_name
   ORDER BY CASE WHEN operator IN ('lt', 'lte') THEN feature_value ELSE -feature_value END, dimension_value) AS rn FROM sig)
 SELECT {_S} FROM p WHERE top_n IS NULL OR rn <= top_n"""
@@ -357,7 +368,9 @@ def signal_history(t: Tables) -> DataFrame:
     grown = ft.add_series_features(monthly, {"feature_value": (ft.growth_pct, {})})
     series = ft.Series()
     values = grown.withColumns({
-        "prior_value": series.lag(F.col("kpi_value")), "feature_name": F.lit("mom_growth_pct"), "job_id": F.lit(9),
+        "prior_value": series.lag(F.col("kpi_value")), "job_id": F.lit(9),
+        # Not a literal: the join with the definitions keeps its key.
+        "feature_name": F.explode(F.array(F.lit("mom_growth_pct"))),
     })
     hits = sg.detect(values, cf.signal_defs_frame(t.spark, DEFINITIONS))
     end = F.last_day("period_start")

@@ -5,11 +5,14 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from kpivane.plans import catalogue
 from tests.support import DATA, differences, duck
 
 SF = os.environ.get("TEST_SF", "0.001")
 PATH = f"{DATA}/sf{SF}"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalogue.queries(), catalogue.sql()
+#: Queries whose conditions nothing in the smallest tables meets.
+MAY_BE_EMPTY = {"why_top_contributors"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +27,7 @@ def test_query(spark, con, name):
         assert frame.count() > 0
         return
     report = differences(frame, con, SQL[name])
-    assert report in (None, "no rows on either side"), report
+    assert report is None or (report == "no rows on either side" and name in MAY_BE_EMPTY), report
 
 
 def test_every_sql_has_a_query():

@@ -2,7 +2,7 @@
 
 import contextlib
 import io
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 
@@ -185,3 +185,11 @@ def test_steps_do_not_change_values(tables):
     assert rows(one) == rows(two) and one.count() > 30
     text = plan(one, "simple")
     assert text.index("Expand") < text.rindex("Exchange hashpartitioning")
+
+
+def test_long_member_lists_with_unreadable_days(spark, tables):
+    days = [str(date(1995, 1, 1) + timedelta(days=i)) for i in range(400)]
+    few = KpiQuery(ORDERS, tables).with_kpi("order_count").member("order_day", tuple(days[:3] + ["soon"])).to_df().first()
+    many = KpiQuery(ORDERS, tables).with_kpi("order_count").member("order_day", tuple(days + ["soon"])).to_df().first()
+    ranged = tables("orders").where("o_orderdate < date_add(date'1995-01-01', 400)").count()
+    assert many[0] == ranged and few[0] <= many[0]

@@ -1,5 +1,6 @@
 """Thresholds, jobs, WHY rows, the sweep and the whole run."""
 
+from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
@@ -8,7 +9,6 @@ from pyspark.sql import functions as F
 from kpivane.functions.periods import Window
 from kpivane.operators import signals as sg
 from kpivane.operators import why as wy
-from kpivane.operators.model import CatalogueError
 from kpivane.operators.signals import plan_jobs
 from kpivane.plans import run
 from kpivane.plans.queries_signals import BASE_JOBS, RUN_AT, SIGNAL_DIMS, SIGNAL_KPIS, stored_signals
@@ -59,11 +59,26 @@ def test_jobs_share_plans():
     assert [(p.star.name, [j.job_id for j in p.jobs]) for p in plans] == [
         ("orders_star", [1, 3, 6]), ("lines_star", [2]), ("lines_star", [5])]
     assert dict(plans[2].filters) == {"return_flag": ("A", "N")}
-    with pytest.raises(CatalogueError):
-        plan_jobs(STARS, [Job(9, "profit", ("brand",), ("band",))], defs, APRIL)
+    assert plan_jobs(STARS, [Job(9, "profit", ("brand",), ("band",))], defs, APRIL) == []
     assert plan_jobs(STARS, [Job(9, "revenue", ("brand",), ("no such signal",))], defs, APRIL) == []
 
 
+def test_jobs_that_cannot_run_are_reported(spark, tables):
+    bad = [Job(9, "profit", ("brand",), ("band",)), Job(10, "revenue", ("brand",), ("no such signal",))]
+    errors = {r.job_id: r.error for r in sg.job_errors(spark, STARS, [*JOBS, *bad], DEFINITIONS).collect()}
+    assert set(errors) == {9, 10} and "profit" in errors[9]
+    assert sg.job_errors(spark, STARS, JOBS, DEFINITIONS).count() == 0
+    every = sg.detect_jobs(spark, STARS, tables, [*JOBS, *bad], DEFINITIONS, APRIL, F.lit(datetime(2024, 5, 1)))
+    assert every.count() == sg.detect_jobs(spark, STARS, tables, JOBS, DEFINITIONS, APRIL, F.lit(datetime(2024, 5, 1))).count()
+
+
+def test_top_n_limits_a_run(spark, tables):
+    defs = [replace(d, top_n=1) for d in DEFINITIONS]
+    every, most = [sg.detect_jobs(spark, STARS, tables, JOBS, x, APRIL, F.lit(datetime(2024, 5, 1))) for x in (DEFINITIONS, defs)]
+    groups = every.select("job_id", "kpi_name", "dimension", "signal_name").distinct().count()
+    assert most.count() == groups < every.count()
+
+
 def test_job_without_dimensions_and_bad_period(spark):
     jobs = spark.createDataFrame(
         [(1, "k", [], ["week_spike", " week_spike", ""], '{"period": {"start": "soon"}, "a": "x", "b": ["y", "z"], "c": {"d": 1}}', True),

@@ -162,3 +162,12 @@ def test_pointers(spark):
     plain, marked = frame.select(tx.pointers(F.col("x"), "none", 3, 2), tx.pointers(F.col("x"), "none", 4, 3, True)).first()
     assert plain == ["one two", "up /green", "none"]
     assert marked == ["one two three /red", "up /green now", "none /red", "none /red"]
+
+
+def test_bold_repair_of_long_runs_and_coloured_lines(spark):
+    cases = {"**M****a****r****k****e****t****s**hare": "Marketshare", "**M****A**x": "**M**Ax", "**A**1": "**A**1", "**a** b": "**a** b"}
+    frame = spark.createDataFrame([(k,) for k in cases], "t string").select("t", mk.repair_bold(F.col("t")).alias("out"))
+    assert {r.t: r.out for r in frame.collect()} == cases
+    late = " ".join(f"w{i}" for i in range(14)) + " /green"
+    row = spark.createDataFrame([([late],)], "x array<string>").select(tx.pointers(F.col("x"), "none", 1, coloured=True)[0].alias("a"), tx.pointers(F.col("x"), "none", 1)[0].alias("b")).first()
+    assert row.a == late and row.b == " ".join(f"w{i}" for i in range(10))
