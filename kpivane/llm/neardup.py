@@ -29,6 +29,7 @@ from .graph import components
 from .words import mixed, odd_numbers, runs, shingle_sets, slices
 
 TILE = 1024
+SKETCHED = 256
 
 
 class Sketching(NamedTuple):
@@ -54,7 +55,12 @@ class Sketching(NamedTuple):
 
 
 def _sketches(sets: list[np.ndarray], how: Sketching) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (n x bands, int64) and odd sketches (n x bits / 64, int64)."""
+    """Band keys (n x bands, int64) and odd sketches (n x bits / 64, int64), some texts at a time."""
+    parts = [_sketch(sets[i : i + SKETCHED], how) for i in range(0, max(1, len(sets)), SKETCHED)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _sketch(sets: list[np.ndarray], how: Sketching) -> tuple[np.ndarray, np.ndarray]:
     banded = how.rows * how.bands
     samples = banded + how.samples
     factor, shift = (odd_numbers(seed, samples).astype(np.uint32) for seed in (31, 37))
@@ -144,6 +150,7 @@ def _across(shared: DataFrame, comps: DataFrame, classes: DataFrame, how: Sketch
             asks = group.column("asks").to_numpy(zero_copy_only=False)
             ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
             odd, bands = (group.column(c).flatten().to_numpy().reshape(len(ids), -1) for c in ("odd", "bands"))
+            odd = odd.view(np.uint64)  # the count of a signed number is that of its absolute value
             bands = bands[:, : int(np.argmax(bands[0] == group.column("key")[0].as_py()))]
             found = []
             there = np.flatnonzero(~asks)
@@ -197,3 +204,29 @@ def without_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFra
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
     return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE said AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles
+  FROM said
+), each AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS both_n, count(*) AS same
+  FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared WHERE 100 * same >= 75 * (both_n - same)
+  UNION ALL SELECT b, a FROM shared WHERE 100 * same >= 75 * (both_n - same)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, r.component_id, r.component_id = s.doc_id AS kept
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) r USING (doc_id)
+"""

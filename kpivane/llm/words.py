@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Words(NamedTuple):
@@ -32,6 +32,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         held += int(size)
     if begin < batch.num_rows:
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> Words:
