@@ -100,6 +100,8 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+SQL["op2_minhash_near_dedup"] = neardup.NEAR_DUPLICATES_SQL
+SQL["op7_vector_near_dedup"] = vectors.NEAR_VECTORS_SQL
 SQL["op10_chat_perspectives"] = chat.PERSPECTIVES_SQL
 SQL["op5_exact_top_k"] = """
 WITH sound AS (

@@ -188,3 +188,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE)
     every = named.unionByName(rest)
     return every.select("vec_id", F.col("_n").alias("n_links"), F.col("_c").alias("component_id"),
                         F.coalesce(F.col("_c") == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.93
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), counted AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT r.vec_id, coalesce(any_value(c.n), 0) AS n_links, min(r.other) AS component_id, min(r.other) = r.vec_id AS kept
+FROM reach r LEFT JOIN counted c ON c.a = r.vec_id GROUP BY r.vec_id
+"""
