@@ -3,8 +3,9 @@
 Built-in functions only. A naive Bayes classifier over hashed words, counted on labelled documents,
 gives each document posteriors over the domains. Rates (how often a document is to be seen) are the
 nonnegative solution of a least-squares problem: the expected tokens of each domain, the sum of
-rate x tokens x posterior, shall meet the domain's target. No rate is above MOST_EPOCHS, so a domain
-that the corpus hardly has stays below its target instead of repeating a few documents. Projected gradient steps in the metric of
+rate x tokens x posterior, shall meet the domain's target. A domain that has less than its share is
+seen as often as the first one, and no rate is above MOST_EPOCHS: a few documents are never repeated
+over and over, and no clean document is given up, to make up for a domain that the corpus hardly has. Projected gradient steps in the metric of
 the tokens make a rate depend on the posteriors alone, so each step is one aggregate over a table of
 posterior cells, and its outcome is one number per domain.
 """
@@ -43,13 +44,11 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, DOMAINS.index("toxic")).when(quality == 1, DOMAINS.index("good")).when(quality == 0, DOMAINS.index("low"))
 
 
-def _words(text: Column) -> Column:
-    """White-space separated words; none for a null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-
-
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS)).cast("int")
+def _buckets(docs: DataFrame, *keys: str) -> DataFrame:
+    """`keys` and `bucket`, the hash of each white-space separated word; a text without words has one null bucket."""
+    words = docs.select(*keys, F.explode_outer(F.split(F.trim(F.lower(F.coalesce("text", F.lit("")))), r"\s+")).alias("word"))
+    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
+    return words.select(*keys, F.when(F.col("word") != "", bucket).alias("bucket"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Classifier:
@@ -63,8 +62,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Classifi
         part = known.where(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         rows = part if rows is None else rows.unionByName(part)
     texts = with_texts(docs.select(F.col("doc_id").cast("bigint"), "text"), rows)
-    counts = texts.select("domain", F.explode(_words(F.col("text"))).alias("word")).groupBy("domain", _bucket(F.col("word")).alias("bucket")).agg(
-        F.count("*").alias("n")).collect()
+    counts = _buckets(texts, "domain").where("bucket is not null").groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()
     total = [0] * len(DOMAINS)
     cells = [[1.0] * BUCKETS for _ in DOMAINS]
     for r in counts:
@@ -74,31 +72,27 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Classifi
     return Classifier(prior, [[math.log(c / (total[k] + BUCKETS)) for c in cells[k]] for k in range(len(DOMAINS))])
 
 
-def _numbers(values: list[float]) -> Column:
-    """A constant array."""
-    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
-
-
-def _evidence(buckets: Column, row: list[float]) -> Column:
-    weights = _numbers(row)
-    return F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(weights, b))
-
-
-def posteriors(text: Column, model: Classifier) -> Column:
-    """Array of the domains' posteriors, rounded to cells.
+def rated(docs: DataFrame, model: Classifier) -> DataFrame:
+    """One row per row of `docs`: doc_id, which (hash of the text), tokens and p, the posteriors rounded to cells.
 
     The words' evidence is scaled to that of WEIGHED_WORDS words at most, so long texts stay soft. A
-    text without words has the priors.
+    text without words has the priors. Words meet the model's table (one row per bucket) where they
+    are; only a document's sums move.
     """
-    def spread(buckets: Column) -> Column:
-        weight = F.lit(float(WEIGHED_WORDS)) / F.greatest(F.lit(float(WEIGHED_WORDS)), F.size(buckets).cast("double"))
-        logs = F.array(*[F.lit(p) + weight * _evidence(buckets, row) for p, row in zip(model.prior, model.bucket, strict=True)])
-        top = F.array_max(logs)
-        likely = F.transform(logs, lambda x: F.exp(x - top))
-        return F.struct(likely.alias("p"), F.aggregate(likely, F.lit(0.0), lambda s, x: s + x).alias("sum"))
-
-    found = F.transform(F.array(F.transform(_words(text), _bucket)), spread)[0]
-    return F.coalesce(F.transform(found["p"], lambda x: F.round(x / found["sum"], DIGITS)), F.array(*[F.lit(0.0) for _ in DOMAINS]))
+    size = range(len(DOMAINS))
+    fields = ", ".join(["bucket int", *[f"w{k} double" for k in size]])
+    weights = docs.sparkSession.createDataFrame([(b, *[row[b] for row in model.bucket]) for b in range(BUCKETS)], fields)
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("which", F.xxhash64("text")).withColumn(
+        "_row", F.monotonically_increasing_id())
+    keys = ["doc_id", "which", "_row"]
+    summed = _buckets(rows, *keys).join(F.broadcast(weights), "bucket", "left").groupBy(*keys).agg(
+        F.count("bucket").alias("tokens"), *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in size])
+    weight = F.lit(float(WEIGHED_WORDS)) / F.greatest(F.lit(float(WEIGHED_WORDS)), F.col("tokens").cast("double"))
+    logs = summed.select("doc_id", "which", "tokens", *[(F.lit(model.prior[k]) + weight * F.col(f"s{k}")).alias(f"s{k}") for k in size])
+    top = F.greatest(*[F.col(f"s{k}") for k in size])
+    likely = logs.select("doc_id", "which", "tokens", *[F.exp(F.col(f"s{k}") - top).alias(f"e{k}") for k in size])
+    total = sum((F.col(f"e{k}") for k in size), F.lit(0.0))
+    return settled(likely.select("doc_id", "which", "tokens", F.array(*[F.round(F.col(f"e{k}") / total, DIGITS) for k in size]).alias("p")))
 
 
 def _rate(cell: Column, steps: list[list[float]]) -> Column:
@@ -121,7 +115,7 @@ def fit_rates(cells: DataFrame, target: Mapping[str, float], epochs: float, roun
                       *[F.coalesce(F.sum(F.col("tokens") * p[k] * p[k]), F.lit(0.0)).alias(f"m{k}") for k in size]).first()
     now, scale = [first[f"t{k}"] for k in size], [first[f"m{k}"] for k in size]
     anchor = epochs * now[0] / target[DOMAINS[0]]
-    wanted = [anchor * target[d] for d in DOMAINS]
+    wanted = [min(anchor * target[d], epochs * n) for d, n in zip(DOMAINS, now, strict=True)]
     steps: list[list[float]] = []
     for _ in range(rounds):
         if all(abs(n - w) <= tolerance * max(w, 1.0) for n, w in zip(now, wanted, strict=True)):
@@ -135,16 +129,16 @@ def fit_rates(cells: DataFrame, target: Mapping[str, float], epochs: float, roun
     return steps
 
 
-def _rates(rated: DataFrame, target: Mapping[str, float], epochs: float) -> DataFrame:
+def _rates(found: DataFrame, target: Mapping[str, float], epochs: float) -> DataFrame:
     """`cell` and `rate` of each posterior cell; rounding bounds their number (5,151 for three domains)."""
-    cells = settled(rated.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")))
+    cells = settled(found.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")))
     return F.broadcast(settled(cells.select(F.col("p").alias("cell"), _rate(F.col("p"), fit_rates(cells, target, epochs)).alias("rate"))))
 
 
-def _copies(doc_id: str, text_hash: Column, rate: str = "rate") -> Column:
+def _copies() -> Column:
     """The rate rounded up or down by a fixed draw of the document, so that sums meet the rates."""
-    draw = F.pmod(F.xxhash64(doc_id, text_hash), F.lit(1 << 20)) / float(1 << 20)
-    return F.floor(F.col(rate) + draw).cast("int")
+    draw = F.pmod(F.xxhash64("doc_id", "which"), F.lit(1 << 20)) / float(1 << 20)
+    return F.floor(F.col("rate") + draw).cast("int")
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, target: Mapping[str, float] = TARGET, epochs: float = EPOCHS) -> DataFrame:
@@ -155,22 +149,16 @@ def document_rates(docs: DataFrame, labels: DataFrame, target: Mapping[str, floa
     the priors as posteriors, and takes no part in the sums. Without labels all posteriors are equal.
     Other columns are ignored; no rows give no rows.
     """
-    model = train(docs, labels)
-    rated = settled(docs.select(
-        "doc_id", F.size(_words(F.col("text"))).cast("bigint").alias("tokens"), posteriors(F.col("text"), model).alias("p"),
-        F.xxhash64("text").alias("which")))
-    rates = _rates(rated, target, epochs)
-    return rated.join(rates, F.col("p") == F.col("cell")).select(
-        "doc_id", "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate",
-        _copies("doc_id", F.col("which")).alias("copies"))
+    found = rated(docs, train(docs, labels))
+    return found.join(_rates(found, target, epochs), F.col("p") == F.col("cell")).select(
+        "doc_id", "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", _copies().alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, target: Mapping[str, float] = TARGET, epochs: float = EPOCHS) -> DataFrame:
     """The rows of `docs`, each as often as `document_rates` says (not at all at 0 copies)."""
-    model = train(docs, labels)
-    celled = docs.withColumn("_p", posteriors(F.col("text"), model))
-    rated = settled(celled.select(F.size(_words(F.col("text"))).cast("bigint").alias("tokens"), F.col("_p").alias("p")))
-    often = celled.join(_rates(rated, target, epochs).select(F.col("cell").alias("_cell"), F.col("rate").alias("_rate")), F.col("_p") == F.col("_cell"))
-    times = _copies("doc_id", F.xxhash64("text"), "_rate")
-    return often.withColumn("_copies", times).where("_copies > 0").withColumn(
+    found = rated(docs, train(docs, labels))
+    often = found.join(_rates(found, target, epochs), F.col("p") == F.col("cell")).select(
+        F.col("doc_id").alias("_id"), F.col("which").alias("_which"), _copies().alias("_copies")).dropDuplicates(["_id", "_which"])
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_which"))
+    return docs.join(often.where("_copies > 0"), same).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
