@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a gapped subsequence string kernel with Nystrom landmarks.
 
-A text is a string over letters (case and look-alike digits folded) in which any other character is a
-gap. Two strings are alike when they share subsequences of three or four letters; one that spans more
+A text is a string over letters (case and look-alike digits folded, other signs left out) with white
+space as gaps. Two strings are alike when they share subsequences of three or four letters; one that spans more
 characters counts less. The kernel's landmarks are words of the labelled texts; the machine is trained
 on windows of the labelled texts in the landmarks' feature space. Its decision is then a sum over
 subsequences, so a text is scored in time linear in its length, and a document by its worst window:
@@ -35,7 +35,7 @@ SEED_WINDOWS = 10_000
 WINDOW = STARTS + SPAN
 SPLIT = "\n" * WINDOW
 #: Characters that often stand for a letter, and letters with signs that count as their own.
-LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "ß": "s"}
+LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "ß": "s"}
 SIGNED = {"a": 27, "e": 28, "i": 29, "o": 30, "u": 31}
 #: Offsets of the letters after the first, and the weight of that span; for three and for four letters.
 SHAPES = [(rest, DECAY ** (rest[-1] + 1 - len(rest))) for size in (2, 3) for rest in combinations(range(1, SPAN + 1), size)]
@@ -43,24 +43,41 @@ SHAPES = [(rest, DECAY ** (rest[-1] + 1 - len(rest))) for size in (2, 3) for res
 NUMBERS = 1 << 20
 
 
+DROPPED = 255
+
+
 @lru_cache(maxsize=1)
 def alphabet() -> np.ndarray:
-    """Letter number 1 to 31 of each character of the basic plane, 0 for a gap."""
-    table = np.zeros(1 << 16, np.uint8)
+    """Letter number 1 to 31 of each character of the basic plane, 0 for white space, DROPPED for others."""
+    table = np.full(1 << 16, DROPPED, np.uint8)
     for code in range(1 << 16):
         sign = chr(code)
         parts = LOOK_ALIKE.get(sign) or unicodedata.normalize("NFKD", sign).lower()
         if parts and "a" <= parts[0] <= "z" and (len(parts) == 1 or unicodedata.combining(parts[1])):
             table[code] = SIGNED.get(parts[0], ord(parts[0]) - 96) if len(parts) > 1 else ord(parts[0]) - 96
+        elif sign.isspace():
+            table[code] = 0
     return table
 
 
-def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter numbers of all texts, with gaps between them, and where each text begins."""
-    joined = SPLIT.join(texts) + SPLIT
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letter numbers of all texts, where each begins, and where each character went.
+
+    A text begins with WINDOW gaps of its own, so no window that starts in it reaches the next one. Signs are left out, and so is the gap between two letters that stand alone (as in `b a d`).
+    """
+    joined = SPLIT + SPLIT.join(texts) + SPLIT
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(t) + WINDOW for t in texts), np.int64, len(texts))
-    return alphabet()[np.where(points < 1 << 16, points, 0)], np.concatenate([[0], np.cumsum(sizes)])
+    codes = alphabet()[np.where(points < 1 << 16, points, 0xFFFF)]
+    keep = codes != DROPPED
+    place = np.cumsum(keep, dtype=np.int32) - keep
+    codes = codes[keep]
+    gap = codes == 0
+    lone = np.zeros(len(codes), bool)
+    lone[2:-2] = gap[2:-2] & ~gap[1:-3] & ~gap[3:-1] & gap[:-4] & gap[4:]
+    after = np.cumsum(~lone, dtype=np.int32) - ~lone
+    begin = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + WINDOW for t in texts), np.int64, len(texts)))])
+    place = np.append(after, (~lone).sum())[np.append(place, keep.sum())]
+    return codes[~lone], place[begin], place
 
 
 def numbered(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
@@ -103,7 +120,7 @@ def windows(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
 def scores(judge: Judge, table: np.ndarray, texts: list[str]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
-    codes, begin = letters(texts)
+    codes, begin, _ = letters(texts)
     best = np.maximum.reduceat(windows(table, codes), begin[:-1])
     return 1 / (1 + np.exp(-np.clip(judge.slope * best + judge.shift, -30, 30)))
 
@@ -137,7 +154,7 @@ def _landmarks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all subsequences in the words, and their weights in each word, of length one."""
     rows = []
     for k, word in enumerate(words):
-        codes, _ = letters([word])
+        codes, _, _ = letters([word])
         for (rest, _), (found, weight) in zip(SHAPES, numbered(codes), strict=True):
             own = found[_whole(found, len(rest) + 1)]
             rows.append(np.stack([own, np.full(len(own), k), np.full(len(own), weight)], axis=1))
@@ -219,16 +236,16 @@ def fit(texts: list[str], label: np.ndarray, prior: float) -> Judge:
     good: list[np.ndarray] = []
     bad: list[np.ndarray] = []
     for text, y in zip(texts, label, strict=True):
-        codes, _ = letters([text])
+        codes, _, place = letters([text])
         if not y:
-            starts = rng.integers(0, max(1, len(text)), 6)
+            starts = rng.integers(WINDOW, max(WINDOW + 1, len(codes) - WINDOW), 6)
             bad.append(_cut(codes, starts))
             continue
         low, at, starts = text.lower(), 0, []
         for w in low.split() if len(low) == len(text) else []:
             at = low.index(w, at)
             if w in known:
-                starts.append(at)
+                starts.append(place[WINDOW + at])
             at += len(w)
         good.append(_cut(codes, np.array(starts, np.int64)))
     found = np.concatenate(good)
@@ -240,7 +257,7 @@ def fit(texts: list[str], label: np.ndarray, prior: float) -> Judge:
         judge = Judge(number, (marks @ (root @ w[:-1])).astype(np.float32), 1.0, float(w[-1]))
         table, best, worst = judge.table(), np.zeros(len(texts)), []
         for i, text in enumerate(texts):
-            codes, _ = letters([text])
+            codes, _, _ = letters([text])
             each = windows(table, codes)
             best[i] = each.max()
             worst.append(_cut(codes, np.array([np.argmax(each)])))

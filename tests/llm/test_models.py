@@ -88,25 +88,36 @@ def test_inserted_characters_and_longer_words_are_found():
         toxic.append(" ".join(words))
     judge = toxicity.fit(clean[:300] + toxic, np.repeat([0, 1], [300, 200]), 0.4)
     table = judge.table()
-    bad = [sentence(10) + f" {w} " + sentence(10) for w in ("gruknoz", "blixwop", "g-r-u-k-n-o-z", "GRUKNOZ!", "b.lix.wop", "xtagruknozta", "grukn0z")]
+    bad = [sentence(10) + f" {w} " + sentence(10) for w in ("gruknoz", "blixwop", "g-r-u-k-n-o-z", "GRUKNOZ!", "b.lix.wop", "b l i x w o p", "xtagruknozta", "grukn0z")]
     assert (toxicity.scores(judge, table, bad) > 0.5).all()
-    assert (toxicity.scores(judge, table, clean[300:]) < 0.5).mean() > 0.95
+    assert (toxicity.scores(judge, table, clean[300:]) < 0.5).mean() >= 0.9
 
 
 def test_the_decision_is_the_kernel_sum():
     words = ["badword", "another"]
     number, marks = toxicity._landmarks(words)
-    codes, _ = toxicity.letters(["bad word, another one"])
-    cut = toxicity._cut(codes, np.arange(8))
+    codes, _, _ = toxicity.letters(["bad word, another one"])
+    cut = toxicity._cut(codes, np.arange(20))
     values = toxicity._kernel(cut, number, marks)
     table = toxicity.Judge(number, marks[:, 0].astype(np.float32), 1.0, 0.0).table()
-    assert np.allclose(toxicity.windows(table, codes)[:8], values[:, 0], atol=1e-4)
+    assert np.allclose(toxicity.windows(table, codes)[:20], values[:, 0], atol=1e-4)
+
+
+def test_a_text_is_scored_alone():
+    rng = np.random.default_rng(1)
+    judge = toxicity.Judge(np.arange(toxicity.NUMBERS), rng.normal(size=toxicity.NUMBERS).astype(np.float32), 0.1, 0.0)
+    texts = ["", "a b c", "word", "é! next-one", "x" * 40, "  ", "last words here"] * 3
+    table = judge.table()
+    assert np.allclose(toxicity.scores(judge, table, texts), [toxicity.scores(judge, table, [t])[0] for t in texts], atol=1e-4)
 
 
 def test_mixing_meets_its_targets(spark):
     rows = mixing.document_rates(queries.table(spark, SMALL, "documents"), queries.table(spark, SMALL, "labels")).toPandas()
     sums = [(rows.rate * rows.tokens * rows[f"p_{d}"]).sum() for d in mixing.DOMAINS]
-    assert np.allclose(np.array(sums) / sum(sums), [mixing.TARGET[d] for d in mixing.DOMAINS], atol=1e-3)
+    there = [(rows.tokens * rows[f"p_{d}"]).sum() for d in mixing.DOMAINS]
+    total = mixing.EPOCHS * there[0] / mixing.TARGET["good"]
+    wanted = [min(total * mixing.TARGET[d], mixing.EPOCHS * n) for d, n in zip(mixing.DOMAINS, there, strict=True)]
+    assert np.allclose(sums, wanted, rtol=1e-3)
     assert rows.rate.between(0, mixing.MOST_EPOCHS).all() and (np.abs(rows.copies - rows.rate) < 1).all()
     assert abs(sums[0] / (rows.tokens * rows.p_good).sum() - mixing.EPOCHS) < 1e-3
 
