@@ -1,7 +1,8 @@
 """Near-duplicate vectors: binary codes by iterative quantisation, multi-index tables, exact rerank.
 
-A rotation that balances the signs of the projected vectors is learned on a bounded sample. Codes are
-cut into segments; vectors of one label that agree in a segment meet in a table bucket and are
+Rotations that balance the signs of the projected vectors are learned on a bounded sample, as many as a
+pair at the threshold needs; misses are measured on pairs of the sample, whatever direction its vectors
+share. Codes are cut into segments, wider ones for larger labels; vectors of one label that agree in a segment meet in a table bucket and are
 compared by cosine in double precision. Buckets are cut into tiles, so a task holds two tiles at most,
 and a tile returns counts and a spanning set of links instead of all pairs. A pair that meets in
 several tables counts in the first.
@@ -9,14 +10,14 @@ several tables counts in the first.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stage import settled
@@ -26,41 +27,83 @@ from .words import runs
 SAMPLE = 10_000
 TILE = 2_048
 MISSED = 1e-3
+PROBES = 2_000
 
 
-class Rotation(NamedTuple):
-    """Projection of vectors of one dimension to `bits` signs."""
+def learn(sample: np.ndarray, bits: int, seed: int, rounds: int = 30) -> np.ndarray:
+    """Iterative quantisation (dims x bits): principal directions, then rotation and signs fitted to each other in turn.
 
-    centre: np.ndarray
-    matrix: np.ndarray
-
-
-def learn(sample: np.ndarray, bits: int, seed: int, rounds: int = 30) -> Rotation:
-    """Iterative quantisation: principal directions, then rotation and signs fitted to each other in turn."""
+    Nothing is subtracted from the vectors: only the angle of the vectors themselves is known for a pair at the threshold.
+    """
     rng = np.random.default_rng(seed)
-    size = sample.shape[1]
-    centre = sample.mean(axis=0) if len(sample) else np.zeros(size)
-    x = sample - centre
-    _, axes = np.linalg.eigh(x.T @ x + 1e-9 * np.eye(size))
+    _, axes = np.linalg.eigh(sample.T @ sample + 1e-9 * np.eye(sample.shape[1]))
     axes = axes[:, ::-1][:, :bits]
     turn, _ = np.linalg.qr(rng.normal(size=(bits, bits)))
-    projected = x @ axes
-    for _ in range(rounds if len(sample) else 0):
+    projected = sample @ axes
+    for _ in range(rounds):
         signs = np.where(projected @ turn > 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(signs.T @ projected)
         turn = right.T @ left.T
-    return Rotation(centre, axes @ turn)
+    return axes @ turn
+
 
+def unfitted(dims: int, bits: int, seed: int) -> np.ndarray:
+    """Random hyperplanes (dims x bits): any two vectors agree in a sign with the chance that their angle gives."""
+    return np.random.default_rng([seed, dims]).normal(size=(dims, bits))
 
-def segment_bits(per_label: int) -> int:
-    """Width of a table's key: about as many keys as a label has tiles of 64 vectors, from 8 to 16 bits."""
-    return min(16, max(8, round(math.log2(max(2, per_label / 64)))))
+
+def segment_bits(members: Column) -> Column:
+    """Width of the table keys of a label: about as many keys as it has tiles of 64 vectors, from 8 to 16 bits."""
+    return F.least(F.lit(16), F.greatest(F.lit(8), F.round(F.log2(F.greatest(F.lit(2.0), members / 64))).cast("int")))
 
 
 def table_count(width: int, cosine: float) -> int:
     """Tables needed so that a pair at the threshold shares none with a probability of at most MISSED."""
     agree = (1 - math.acos(cosine) / math.pi) ** width
-    return math.ceil(math.log(MISSED) / math.log(1 - agree))
+    return math.ceil(math.log(MISSED) / math.log(1 - agree)) if agree < 1 else 1
+
+
+def table_keys(unit: np.ndarray, matrices: list[np.ndarray], width: int) -> np.ndarray:
+    """(n x tables) segment values of unit vectors."""
+    out = []
+    for m in matrices:
+        signs = (unit @ m > 0).astype(np.int64)
+        out += [signs[:, i : i + width] @ (1 << np.arange(width)) for i in range(0, m.shape[1] - width + 1, width)]
+    return np.stack(out, axis=1)
+
+
+def threshold_pairs(x: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors to measure misses on: partners at the threshold in random directions and in those of
+    other vectors of the sample, and the sample's own pairs above the threshold."""
+    rng = np.random.default_rng(0)
+    x = x[:PROBES]
+
+    def partners(direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        across = direction - (direction * x).sum(axis=1, keepdims=True) * x
+        length = np.linalg.norm(across, axis=1, keepdims=True)
+        some = length[:, 0] > 1e-6
+        return x[some], cosine * x[some] + math.sqrt(1 - cosine * cosine) * across[some] / length[some]
+
+    a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
+    if len(a) > 10 * PROBES:
+        pick = rng.choice(len(a), 10 * PROBES, replace=False)
+        a, b = a[pick], b[pick]
+    return [partners(rng.normal(size=x.shape)), partners(x[rng.permutation(len(x))]), (x[a], x[b])]
+
+
+def matrices_for(x: np.ndarray, dims: int, width: int, cosine: float) -> list[np.ndarray]:
+    """Projections whose tables of `width` bits keep the misses at MISSED: fitted to the unit vectors `x`, and where
+    these miss more of the measured pairs (or there are no vectors), unfitted ones beside them, enough on their own."""
+    bits = min(64, dims)
+    count = math.ceil(table_count(width, cosine) / (bits // width))
+    own = [learn(x, bits, seed) for seed in range(count)] if len(x) else []
+
+    def missed(one: np.ndarray, two: np.ndarray) -> float:
+        return float((table_keys(one, own, width) != table_keys(two, own, width)).all(axis=1).mean()) if len(one) else 0.0
+
+    if not own or any(missed(*pair) > MISSED for pair in threshold_pairs(x, cosine)):
+        own += [unfitted(dims, bits, seed) for seed in range(count)]
+    return own
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -90,41 +133,42 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE)
     packed = parts.where(usable).mapInArrow(pack, f"vec_id bigint, label {label_type}, bytes binary")
     classes = settled(packed.groupBy("label", "bytes").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
     sizes = {r[0]: r[1] for r in classes.groupBy(F.length("bytes")).agg(F.count("*")).orderBy(F.desc("count(1)")).limit(64).collect()}
-    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    width = segment_bits(largest)
-    rotations: dict[int, list[Rotation]] = {}
+    counted_labels = classes.groupBy("label").agg(F.count("*").alias("_members"))
+    # Labels that need more than the least width: each has thousands of vectors, so they are few.
+    wide = settled(counted_labels.select("label", segment_bits(F.col("_members")).alias("_width")).where("_width > 8"))
+    widths = sorted({8, *[r[0] for r in wide.select("_width").distinct().collect()]})
+    projections: dict[tuple[int, int], list[np.ndarray]] = {}
     for size in sizes:
         dims = size // 4
         some = classes.where(F.length("bytes") == size).orderBy(F.xxhash64("id")).limit(sample).select("bytes").toArrow()["bytes"]
         x = np.frombuffer(b"".join(some.to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        bits = min(64, dims)
-        per = max(1, bits // width)
-        rotations[dims] = [learn(x, bits, seed) for seed in range(math.ceil(table_count(min(width, bits), cosine) / per))]
+        for width in {min(w, 64, dims) for w in widths}:
+            projections[dims, width] = matrices_for(x, dims, width, cosine)
 
-    def keys_of(x: np.ndarray) -> np.ndarray:
-        """(n x tables) segment values; dimensions too rare to have been seen use an unfitted rotation."""
+    def keys_of(x: np.ndarray, width: int) -> np.ndarray:
+        """Segment values of a label's vectors; dimensions too rare to have been seen have unfitted projections."""
         dims = x.shape[1]
-        bits = min(64, dims)
-        own = rotations.get(dims) or [learn(np.zeros((0, dims)), bits, s) for s in range(table_count(min(width, bits), cosine))]
+        width = min(width, 64, dims)
+        own = projections.get((dims, width)) or matrices_for(np.zeros((0, dims)), dims, width, cosine)
         unit = x.astype(np.float64)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        step, out = min(width, bits), []
-        for r in own:
-            signs = ((unit - r.centre) @ r.matrix > 0).astype(np.int64)
-            out += [signs[:, i : i + step] @ (1 << np.arange(step)) for i in range(0, bits - step + 1, step)]
-        return np.stack(out, axis=1)
+        return table_keys(unit, own, width)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = pc.binary_length(batch.column("bytes"))
-            for size in pc.unique(length).to_pylist():
-                some = batch.filter(pc.equal(length, size))
-                keys = keys_of(_matrix(some.column("bytes"))).astype(np.int32)
+            width = batch.column("width")
+            for size, bits in itertools.product(pc.unique(length).to_pylist(), pc.unique(width).to_pylist()):
+                some = batch.filter(pc.and_(pc.equal(length, size), pc.equal(width, bits))).drop_columns(["width"])
+                if not some.num_rows:
+                    continue
+                keys = keys_of(_matrix(some.column("bytes")), bits).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*some.columns, lists], names=[*some.schema.names, "keys"])
 
-    coded_classes = settled(classes.mapInArrow(coded, f"label {label_type}, bytes binary, id bigint, copies bigint, keys array<int>"))
+    sized = classes.join(F.broadcast(wide), "label", "left").select(*classes.columns, F.coalesce("_width", F.lit(8)).alias("width"))
+    coded_classes = settled(sized.mapInArrow(coded, f"label {label_type}, bytes binary, id bigint, copies bigint, keys array<int>"))
     bucket = ["label", "size", "nth", "key"]
     spread = coded_classes.select("label", F.length("bytes").alias("size"), "id", F.posexplode("keys").alias("nth", "key"))
     crowds = spread.groupBy(bucket).agg(F.count("*").alias("members")).where("members > 1")

@@ -1,6 +1,7 @@
 """Binary code search and vector near-duplicates."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kpivane.llm import hamming, queries, vectors
@@ -98,3 +99,28 @@ def test_the_query_finds_the_links(spark):
     links = ((x @ x.T >= 0.93) & (label[:, None] == label[None, :])).sum(axis=1) - 1
     got = {r.vec_id: r.n_links for r in queries.op7_vector_near_dedup(spark, path).collect()}
     assert all(got[i] <= n for i, n in zip(ids, links, strict=True)) and sum(got.values()) >= 0.9 * links.sum()
+
+
+@pytest.mark.parametrize("width", [8, 16])
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8])
+def test_a_shared_direction_loses_no_links(common, width):
+    """Vectors whose mean cosine is `common`; both kinds of width."""
+    rng = np.random.default_rng(3)
+    x = np.sqrt(1 - common) * rng.normal(size=(4_000, 64)) / 8 + np.sqrt(common) * np.eye(64)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    across = rng.normal(size=x.shape)
+    across -= (across * x).sum(axis=1, keepdims=True) * x
+    y = 0.931 * x + np.sqrt(1 - 0.931**2) * across / np.linalg.norm(across, axis=1, keepdims=True)
+    own = vectors.matrices_for(x, 64, width, 0.93)
+    missed = (vectors.table_keys(x, own, width) != vectors.table_keys(y, own, width)).all(axis=1)
+    assert missed.mean() <= 3 * vectors.MISSED
+
+
+def test_links_of_vectors_with_a_shared_direction(spark):
+    rng = np.random.default_rng(6)
+    base = 0.45 * rng.normal(size=(400, 64)) / 8 + 0.9 * np.eye(64)[0]
+    x = np.concatenate([base, base + 0.33 * rng.normal(size=base.shape) / 8])
+    rows = [(i, [float(c) for c in v.astype(np.float32)], i % 2) for i, v in enumerate(x)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()
+    wanted = sum(n for n, _ in brute(rows, 0.93).values())
+    assert wanted > 100 and sum(r.n_links for r in got) >= 0.998 * wanted
