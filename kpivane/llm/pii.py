@@ -1,6 +1,6 @@
 """Personal data: pattern spans, and terms that reveal the protected values by what they occur with.
 
-Built-in functions only. The patterns' matches are protected values. A word near a value reveals it
+Built-in functions only. The patterns' matches are protected values. A word beside a value reveals it
 when the corpus hardly has the word without the value: its disclosure is the pointwise mutual
 information of the two, as a share of the value's own information. Words above the threshold are
 spans of kind `term`, to be generalised beside the values themselves.
@@ -28,8 +28,8 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 WORD = r"\p{L}\p{N}"
 SPAN = "struct<kind:int,start:bigint,end:bigint>"
 
+#: Characters on each side of a value that tell one context of it from another.
 CONTEXT = 64
-LEAST_LETTERS = 4
 
 
 def _digits(value: Column) -> Column:
@@ -96,38 +96,61 @@ def span_list(spans: Column | str, kinds: tuple[str, ...]) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), rf"[^{WORD}]+"), lambda w: F.length(w) >= LEAST_LETTERS))
+    return F.array_distinct(F.filter(F.split(F.lower(text), rf"[^{WORD}]+"), lambda w: w != ""))
+
+
+def _near(text: Column, at: Column) -> Column:
+    """The text within CONTEXT of a span on both sides, without words that the window cuts."""
+    start = F.greatest(at["start"] - CONTEXT, F.lit(1)).cast("int")
+    # One character more on each side, where there is one, tells whether the window cuts a word.
+    left = F.substring(text, start, (at["start"] - start + 1).cast("int"))
+    right = F.substring(text, (at["end"] + 1).cast("int"), F.lit(CONTEXT + 1))
+    left = F.when(at["start"] > CONTEXT, F.regexp_replace(left, rf"^[{WORD}]+", "")).otherwise(left)
+    right = F.when(F.length(right) > CONTEXT, F.regexp_replace(right, rf"[{WORD}]+$", "")).otherwise(right)
+    return F.concat(left, F.lit(" "), right)
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, threshold: float, support: int) -> DataFrame:
-    """doc_id and `terms` (array): words near a document's protected values that reveal them.
+    """doc_id and `terms` (array): words of a document, wherever they stand, that reveal its protected values.
 
-    `found` has doc_id, text and spans of the documents with spans. A word counts once per document
-    that holds it, a value and word together once per distinct context, so copies add nothing; both
-    need `support` distinct contexts. Sums run over all documents.
+    `found` has doc_id, text and spans of the documents with spans. Documents count for a value and a
+    word wherever both stand in them. Value and word together need `support` different texts, or as many
+    contexts of the value with the word in it, so copies add nothing. Sums run over all documents.
     """
     text, at = F.col("text"), F.col("span")
     left = F.substring(text, F.greatest(at["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(at["start"], F.lit(CONTEXT)).cast("int"))
     right = F.substring(text, (at["end"] + 1).cast("int"), F.lit(CONTEXT))
-    near = F.concat(F.regexp_replace(left, rf"^[{WORD}]+", ""), F.lit(" "), F.regexp_replace(right, rf"[{WORD}]+$", ""))
     value = F.lower(F.substring(text, (at["start"] + 1).cast("int"), (at["end"] - at["start"]).cast("int")))
-    uses = found.select("doc_id", "text", F.explode("spans").alias("span")).select(
-        "doc_id", F.xxhash64(value).alias("value"), F.xxhash64(left, right).alias("place"), near.alias("near"))
-    uses = settled(uses.select("doc_id", "value", "place", F.explode(_words(F.col("near"))).alias("term")))
-    pairs = uses.groupBy("value", "term").agg(F.count_distinct("place").alias("together")).where(F.col("together") >= support)
-    values = uses.groupBy("value").agg(F.count_distinct("place").alias("value_uses"))
+    named = found.where(F.size("spans") > 0).withColumn("which", F.xxhash64("text"))
+    places = settled(named.select("which", "text", F.explode("spans").alias("span")).select(
+        "which", F.xxhash64(value).alias("value"), F.xxhash64(left, right).alias("place"), _near(text, at).alias("near")
+    ).dropDuplicates(["which", "value", "place"]))
+    copies = named.groupBy("which").agg(F.count("*").alias("copies"))
+    held = settled(places.select("which", "value").distinct().join(copies, "which"))
+    own = held.groupBy("value").agg(F.sum("copies").alias("value_docs"), F.count("*").alias("value_texts"))
+    contexts = places.groupBy("value").agg(F.count_distinct("place").alias("value_uses"))
+    # No other value can have a word together with it often enough.
+    often = settled(own.join(contexts, "value").where((F.col("value_texts") >= support) | (F.col("value_uses") >= support)))
+    asked = settled(held.join(often.select("value"), "value"))
+    texts = named.select("which", "text", "spans").dropDuplicates(["which"]).join(asked.select("which").distinct(), "which", "left_semi")
+    apart = _clean(F.col("text"), F.col("spans"), F.lit(" "))
+    words = texts.select("which", F.explode(_words(apart)).alias("term"))
+    uses = settled(words.join(asked, "which").select("which", "value", "term", "copies"))
+    both = uses.groupBy("value", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("both_docs"))
+    near = places.join(often.select("value"), "value").select("value", "place", F.explode(_words(F.col("near"))).alias("term")).groupBy(
+        "value", "term").agg(F.count_distinct("place").alias("places"))
+    pairs = both.join(near, ["value", "term"], "left").where((F.col("texts") >= support) | (F.col("places") >= support))
     known = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
     total = F.lit(docs.count())
     # A value's copies also hold the word: its documents are counted for both, so that copies cancel out.
-    both = uses.select("doc_id", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("both_docs"))
-    own = uses.select("doc_id", "value").distinct().groupBy("value").agg(F.count("*").alias("value_docs"))
     rated = (
-        pairs.join(both, ["value", "term"]).join(values, "value").join(own, "value").join(known, "term")
+        pairs.join(often, "value").join(known, "term")
         .withColumn("pmi", F.log(F.col("both_docs") * total / (F.col("value_docs") * F.col("term_docs"))))
         .withColumn("information", F.log(total / F.col("value_docs")))
     )
     bad = rated.where((F.col("information") > 0) & (F.col("pmi") >= threshold * F.col("information"))).select("value", "term")
-    return uses.join(bad, ["value", "term"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    terms = uses.join(bad, ["value", "term"]).select("which", "term").distinct()
+    return named.select("doc_id", "which").join(terms, "which").groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
@@ -156,14 +179,14 @@ def personal_data(docs: DataFrame, threshold: float = 0.8, support: int = 3) ->
         "doc_id", F.col("spans").alias("base"), F.coalesce("terms", none).alias("terms"))
 
 
-def _clean(text: Column, spans: Column) -> Column:
-    """The text with each span (in order of start; overlapping ones as one) replaced by its kind."""
+def _clean(text: Column, spans: Column, put: Column | None = None) -> Column:
+    """The text with each span (in order of start; overlapping ones as one) replaced by its kind, or by `put`."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")])
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def add(s: Column, p: Column) -> Column:
         piece = F.substring(text, (s["at"] + 1).cast("int"), (p["start"] - s["at"]).cast("int"))
-        fresh = F.struct(p["end"].alias("at"), F.concat(s["parts"], F.array(piece, F.get(names, p["kind"]))).alias("parts"))
+        fresh = F.struct(p["end"].alias("at"), F.concat(s["parts"], F.array(piece, F.get(names, p["kind"]) if put is None else put)).alias("parts"))
         longer = F.struct(F.greatest(s["at"], p["end"]).alias("at"), s["parts"].alias("parts"))
         return F.when(p["start"] >= s["at"], fresh).otherwise(longer)
 

@@ -90,3 +90,27 @@ def test_sanitised_texts(spark):
     assert "[EMAIL]" in first.text and "[TERM]" in first.text and "bob" not in first.text and "Zorblax" not in first.text and first.n_chars == len(first.text)
     assert next(r for r in rows if r.doc_id is None).text == "mail [EMAIL]"
     assert {r.doc_id: r.text for r in rows if r.doc_id in (20, 90, 91)} == {r.doc_id: r.text for r in docs.collect() if r.doc_id in (20, 90, 91)}
+
+
+def found_words(spark, rows):
+    rows = rows + [(1000 + i, f"other words {i} of texts") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    return {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.terms} for r in pii.personal_data(docs).collect()}
+
+
+def test_first_and_last_words_and_short_names(spark):
+    got = found_words(spark, [(i, f"Zorblax can {i} be reached at Kim 李明 bob@x.com now {i} Quibnar") for i in range(6)])
+    assert all({"Zorblax", "Quibnar", "Kim", "李明"} <= got[i] for i in range(6))
+
+
+def test_names_far_from_the_value(spark):
+    got = found_words(spark, [(i, f"Zorblax{' other words' * 20} {i}{' texts of' * 20} bob@x.com") for i in range(6)])
+    assert all(got[i] >= {"Zorblax"} and not got[i] & {"other", "words", "texts"} for i in range(6))
+
+
+def test_a_window_cuts_only_words_that_go_on(spark):
+    texts = ["Zorblax" + "." * (pii.CONTEXT - 7) + "b@x.c", "xx Zorblax" + "." * (pii.CONTEXT - 7) + "b@x.c", "aZorblax" + "." * (pii.CONTEXT - 7) + "b@x.c"]
+    frame = spark.createDataFrame([(t, t.index("b@")) for t in texts], "t string, a bigint").select(
+        pii._near(F.col("t"), F.struct(F.col("a").alias("start"), (F.col("a") + 5).alias("end"))).alias("near"))
+    assert ["Zorblax" in r.near for r in frame.collect()] == [True, True, False]
