@@ -3,11 +3,10 @@
 Built-in functions only. A naive Bayes classifier over hashed words, counted on labelled documents,
 gives each document posteriors over the domains. Rates (how often a document is to be seen) are the
 nonnegative solution of a least-squares problem: the expected tokens of each domain, the sum of
-rate x tokens x posterior, shall meet the domain's target. A domain that has less than its share is
-seen as often as the first one, and no rate is above MOST_EPOCHS: a few documents are never repeated
-over and over, and no clean document is given up, to make up for a domain that the corpus hardly has. Projected gradient steps in the metric of
-the tokens make a rate depend on the posteriors alone, so each step is one aggregate over a table of
-posterior cells, and its outcome is one number per domain.
+rate x tokens x posterior, shall meet the domain's target. No rate is above MOST_EPOCHS: a few
+documents are never repeated over and over, and targets that this bound makes unreachable are missed
+by the least squares possible. A rate depends on the posteriors alone, by one price per domain, so each
+step of the fit is one aggregate over a table of posterior cells.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ import math
 from collections.abc import Mapping
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,7 @@ BUCKETS = 4_096
 MOST_ROWS = 4_000
 WEIGHED_WORDS = 400
 DIGITS = 2
+SLACK = 1e-6
 
 
 class Classifier(NamedTuple):
@@ -95,38 +96,56 @@ def rated(docs: DataFrame, model: Classifier) -> DataFrame:
     return settled(likely.select("doc_id", "which", "tokens", F.array(*[F.round(F.col(f"e{k}") / total, DIGITS) for k in size]).alias("p")))
 
 
-def _rate(cell: Column, steps: list[list[float]]) -> Column:
-    """The rate of a posterior cell after the projected steps, starting from 1."""
-    if not steps:
-        return F.lit(1.0)
-    history = F.transform(F.split(F.lit(";".join(",".join(f"{x:.12g}" for x in s) for s in steps)), ";"),
-                          lambda s: F.split(s, ",").cast("array<double>"))
-    def step(r: Column, h: Column) -> Column:
-        move = sum((F.get(cell, F.lit(k)) * F.get(h, F.lit(k)) for k in range(len(DOMAINS))), F.lit(0.0))
-        return F.least(F.lit(MOST_EPOCHS), F.greatest(F.lit(0.0), r - move))
-    return F.aggregate(history, F.lit(1.0), step)
+def _rate(cell: Column, prices: list[float]) -> Column:
+    """The rate of a posterior cell: 1 less the prices of its domains, within the bounds."""
+    price = sum((F.get(cell, F.lit(k)) * p for k, p in enumerate(prices)), F.lit(0.0))
+    return F.least(F.lit(MOST_EPOCHS), F.greatest(F.lit(0.0), 1 - price))
 
 
-def fit_rates(cells: DataFrame, target: Mapping[str, float], epochs: float, rounds: int = 60, tolerance: float = 1e-4) -> list[list[float]]:
-    """Steps of projected gradient descent on cells (p, tokens); each round is one aggregate of a few sums."""
+def fit_rates(cells: DataFrame, target: Mapping[str, float], epochs: float, rounds: int = 100, tolerance: float = 1e-5) -> list[float]:
+    """The price of each domain at which the rates of the cells (p, tokens) meet the targets.
+
+    Of all bounded rates with the least squared misses (as shares of the targets) these change the tokens
+    least. The prices maximise the dual of that problem by Newton steps; each is one aggregate of a few sums.
+    """
     size = range(len(DOMAINS))
     p = [F.get("p", F.lit(k)) for k in size]
-    first = cells.agg(*[F.coalesce(F.sum(F.col("tokens") * p[k]), F.lit(0.0)).alias(f"t{k}") for k in size],
-                      *[F.coalesce(F.sum(F.col("tokens") * p[k] * p[k]), F.lit(0.0)).alias(f"m{k}") for k in size]).first()
-    now, scale = [first[f"t{k}"] for k in size], [first[f"m{k}"] for k in size]
-    anchor = epochs * now[0] / target[DOMAINS[0]]
-    wanted = [min(anchor * target[d], epochs * n) for d, n in zip(DOMAINS, now, strict=True)]
-    steps: list[list[float]] = []
+
+    def sums(prices: list[float]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected tokens of the domains, their slopes in the prices, and what the change of rates costs."""
+        rate, tokens = _rate(F.col("p"), prices), F.col("tokens")
+        free = F.when((rate > 0) & (rate < MOST_EPOCHS), tokens).otherwise(0.0)
+        got = cells.agg(*[F.sum(rate * tokens * p[k]) for k in size], *[F.sum(free * p[k] * p[j]) for k in size for j in size],
+                        F.sum(tokens * (rate - 1) * (rate - 1) / 2)).first()
+        values = np.array([float(x or 0.0) for x in got])
+        n = len(DOMAINS)
+        return values[:n], values[n:-1].reshape(n, n), float(values[-1])
+
+    now, slopes, cost = sums([0.0] * len(DOMAINS))
+    wanted = epochs * now[0] / target[DOMAINS[0]] * np.array([target[d] for d in DOMAINS])
+    # What a miss costs: so little slack that reachable targets are met.
+    slack = SLACK * np.maximum(wanted, 1.0)
+    prices, step = np.zeros(len(DOMAINS)), 1.0
+
+    def dual(at: np.ndarray, tokens: np.ndarray, change: float) -> float:
+        return change + at @ (tokens - wanted) - at @ (slack * at) / 2
+
+    value = dual(prices, now, cost)
     for _ in range(rounds):
-        if all(abs(n - w) <= tolerance * max(w, 1.0) for n, w in zip(now, wanted, strict=True)):
+        rise = now - wanted - slack * prices
+        if (np.abs(rise) <= tolerance * np.maximum(wanted, 1.0)).all():
             break
-        steps.append([(n - w) / (len(DOMAINS) * m) if m else 0.0 for n, w, m in zip(now, wanted, scale, strict=True)])
-        got = cells.withColumn("rate", _rate(F.col("p"), steps)).agg(
-            *[F.coalesce(F.sum(F.col("rate") * F.col("tokens") * p[k]), F.lit(0.0)).alias(f"t{k}") for k in size]).first()
-        before, now = now, [got[f"t{k}"] for k in size]
-        if all(abs(n - b) <= tolerance / 10 * max(b, 1.0) for n, b in zip(now, before, strict=True)):
+        way = np.linalg.solve(slopes + np.diag(slack), rise)
+        tried = prices + step * way
+        tokens, bent, change = sums(tried.tolist())
+        better = dual(tried, tokens, change)
+        if better >= value + 1e-4 * step * (rise @ way):
+            prices, now, slopes, value, step = tried, tokens, bent, better, 1.0
+        elif step < 1e-9:
             break
-    return steps
+        else:
+            step /= 4
+    return prices.tolist()
 
 
 def _rates(found: DataFrame, target: Mapping[str, float], epochs: float) -> DataFrame:

@@ -122,6 +122,27 @@ def test_mixing_meets_its_targets(spark):
     assert abs(sums[0] / (rows.tokens * rows.p_good).sum() - mixing.EPOCHS) < 1e-3
 
 
+def test_scarce_domains_meet_reachable_targets(spark):
+    """Low documents have to be seen more often than good ones; toxic ones cannot be seen often enough in the second case."""
+    for toxic, reachable in ((16.0, True), (2.0, False)):
+        rows = [([1.0, 0.0, 0.0], 900.0), ([0.9, 0.1, 0.0], 50.0), ([0.0, 1.0, 0.0], 36.0), ([0.0, 0.0, 1.0], toxic)]
+        cells = spark.createDataFrame(rows, "p array<double>, tokens double")
+        prices = mixing.fit_rates(cells, mixing.TARGET, mixing.EPOCHS)
+        got = cells.select("p", "tokens", mixing._rate(F.col("p"), prices).alias("rate")).collect()
+        sums = np.array([sum(r.rate * r.tokens * r.p[k] for r in got) for k in range(3)])
+        shares = sums / sums.sum()
+        if reachable:
+            assert np.allclose(shares, [mixing.TARGET[d] for d in mixing.DOMAINS], atol=1e-3)
+        else:
+            assert np.isclose(sums[2], mixing.MOST_EPOCHS * toxic, rtol=1e-3) and np.isclose(shares[1] / shares[0], 5 / 93, rtol=1e-2)
+
+
+def test_mixed_shares_are_the_targets(spark):
+    rows = mixing.document_rates(queries.table(spark, SMALL, "documents"), queries.table(spark, SMALL, "labels")).toPandas()
+    sums = np.array([(rows.rate * rows.tokens * rows[f"p_{d}"]).sum() for d in mixing.DOMAINS])
+    assert np.allclose(sums / sums.sum(), [mixing.TARGET[d] for d in mixing.DOMAINS], atol=1e-3)
+
+
 def test_mixing_edge_cases(spark):
     docs = edge_rows(spark).withColumn("rate", F.lit("clash")).withColumn("p", F.lit(1))
     labels = queries.table(spark, f"{DATA}/sf0.001", "labels")
