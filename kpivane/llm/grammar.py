@@ -22,11 +22,11 @@ from .words import binary_array, slices
 
 BLOCK_IDS = 1 << 19
 SLICE_BYTES = 12 << 20
-ROUNDS = 4
 RULES_A_ROUND = 4096
 LEAST = 4
 FIRST_RULE = 1 << 20
 SLOTS = 1 << 16
+COUNT_BITS = 20
 
 FILE_SCHEMA = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("block_start", T.LongType()),
@@ -44,7 +44,10 @@ def _round(seq: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
     """One round: the shorter sequence, its document ends, and the new rules; None if no pair repeats enough."""
     pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
     inside = ~last[:-1]
-    ordered = np.sort(pairs[inside])
+    # Only pairs whose slot of a count table is met often enough can repeat so; few others have to be sorted.
+    place = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+    met = np.bincount(place[inside], minlength=1 << COUNT_BITS) >= LEAST
+    ordered = np.sort(pairs[inside & met[place]])
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([starts, [len(ordered)]]))
     often = np.flatnonzero(counts >= LEAST)
@@ -52,7 +55,8 @@ def _round(seq: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np
         return None
     best = often[np.argsort(-counts[often], kind="stable")[:RULES_A_ROUND]]
     chosen = ordered[starts[best]]
-    # One pair per slot of a small table, the most frequent first: a look-up is one gather and one test.
+    # One pair per slot of a small table, the most frequent first: a look-up is one gather and one test. The others
+    # wait for the next round.
     _, first = np.unique(_slot(chosen), return_index=True)
     chosen = chosen[np.sort(first)]
     table, number = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64), np.zeros(SLOTS, np.uint32)
@@ -82,10 +86,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     seq, rules, base = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), FIRST_RULE
     if len(ids) and int(ids.max()) >= FIRST_RULE:
         raise ValueError(f"ids must be below {FIRST_RULE}")
-    for _ in range(ROUNDS):
-        step = _round(seq, last, base) if len(seq) > 1 else None
-        if step is None:
-            break
+    while len(seq) > 1 and (step := _round(seq, last, base)) is not None:
         seq, last, fresh = step
         rules = np.concatenate([rules, fresh])
         base += len(fresh)

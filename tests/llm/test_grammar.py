@@ -1,6 +1,8 @@
 """Grammar-compressed token files."""
 
 import zlib
+from collections import Counter
+from itertools import pairwise
 from uuid import uuid4
 
 import numpy as np
@@ -34,6 +36,19 @@ def test_repeats_are_compressed():
     assert len(packed["sequence"]) * 8 < len(ids) and (packed["rule_lengths"] >= 2).all()
 
 
+def test_no_pair_is_left_that_repeats_enough():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 1 << 16, 2_000)
+    ids = np.concatenate([np.tile(passage, 200), rng.zipf(1.3, 60_000) % 30_000]).astype(np.uint32)
+    bounds = np.array([*range(0, 400_001, 2_000), 430_000, 460_000])
+    packed = grammar.compress(ids, bounds)
+    ends = packed["places"].astype(int)
+    assert ends[200] == 200 and (packed["rule_lengths"] == 2_000).any()
+    pairs = Counter(p for a, b in zip(ends[:-1], ends[1:], strict=True) for p in pairwise(packed["sequence"][a:b].tolist()))
+    assert max(pairs.values()) < grammar.LEAST
+    assert np.array_equal(grammar.expand(packed["sequence"], packed["rules"], packed["rule_lengths"]), ids)
+
+
 def test_query_against_the_tokenizer(spark):
     path = f"{DATA}/sf0.001"
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op8_token_files(spark, path).collect()}
