@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stage import settled, stage_root
-from . import chat, grammar, hamming, mixing, neardup, packing, pii, quality, toxicity, vectors
+from . import chat, grammar, hamming, mixing, neardup, packing, pii, quality, spelling, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,6 +100,12 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of the frequent words of all documents."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 SQL["op2_minhash_near_dedup"] = neardup.NEAR_DUPLICATES_SQL
 SQL["op7_vector_near_dedup"] = vectors.NEAR_VECTORS_SQL
 SQL["op10_chat_perspectives"] = chat.PERSPECTIVES_SQL
