@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.stage import settled, stage_root
-from . import chat, grammar, hamming, mixing, neardup, packing, pii, quality, spelling, toxicity, vectors
+from . import centroids, chat, digests, grammar, hamming, mixing, neardup, packing, pii, quality, spelling, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,9 +106,22 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness."""
+    return digests.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 40 clusters after five rounds."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 SQL["op2_minhash_near_dedup"] = neardup.NEAR_DUPLICATES_SQL
 SQL["op7_vector_near_dedup"] = vectors.NEAR_VECTORS_SQL
 SQL["op10_chat_perspectives"] = chat.PERSPECTIVES_SQL
+SQL["op13_centroid_clusters"] = centroids.CLUSTERED_SQL
 SQL["op5_exact_top_k"] = """
 WITH sound AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS signs

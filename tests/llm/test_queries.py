@@ -16,7 +16,7 @@ def test_every_operator_is_registered_once():
     assert len(corpus_pipeline.STAGES) == 5
 
 
-@pytest.mark.parametrize(("name", "sf"), [("op2_minhash_near_dedup", "0.001"), ("op7_vector_near_dedup", "0.1")])
+@pytest.mark.parametrize(("name", "sf"), [("op2_minhash_near_dedup", "0.001"), ("op7_vector_near_dedup", "0.1"), ("op13_centroid_clusters", "0.1")])
 def test_against_sql(spark, name, sf):
     path = f"{DATA}/sf{sf}"
     assert differences(queries.QUERIES[name](spark, path), duck(path), queries.SQL[name]) is None
