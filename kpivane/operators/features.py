@@ -18,7 +18,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.numbers import finite, pct_change, percent_scale
 from ..functions.periods import Window, month_index, month_start, quarter_index
-from ..sources.stage import settled
 from .model import Star, Value
 from .query import KpiQuery, grouped_long
 
@@ -270,10 +269,12 @@ def kpi_series(
 
 # --- cross-section features -------------------------------------------------------------------
 
-# Steps per factor e, and steps between a group's lowest and highest value, of the rank buckets.
-LOG_STEPS = 2048
-LINEAR_STEPS = 2048
-LOG_OFFSET = 746
+# Values that a group may hold before its ranks are worked out in ranges, and ranges of a larger group
+# (a square: the range of a value is found among the coarse splitters, then among the fine ones).
+RANGE_VALUES = 8192
+COARSE = 16
+RANGES = COARSE * COARSE
+SPLIT_ACCURACY = 10_000
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -309,17 +310,13 @@ def add_rank(
     value: str = "kpi_value",
     ascending: bool = False,
     bounded: bool = False,
-    stored: bool = False,
 ) -> DataFrame:
     """Minimum rank and `rank / count * 100` among the members of a period.
 
-    `stored=True` says that the frame is a stored table. Otherwise the bucketed way, which reads
-    its input several times, writes it once first.
-
     NULL with fewer than two values. `bounded=True` is for groups known to be small and uses one
     window per group. Otherwise the rank is exact without bringing a group together: equal values
-    are counted first, values fall into buckets that keep their order, bucket totals give each
-    bucket's offset, and only a bucket is sorted in one task.
+    are counted first, the values of a large group fall into ranges between its own quantiles, range
+    totals give each range's offset, and only a range is sorted in one task.
     """
     v = F.col(value)
     if bounded:
@@ -330,7 +327,7 @@ def add_rank(
             "__n": F.count(v).over(group),
         })
     else:
-        ranked = _bucketed_rank(frame if stored else settled(frame), list(within), value, ascending)
+        ranked = _ranged_rank(frame, list(within), value, ascending)
     enough = F.col("__n") >= 2
     return ranked.withColumns({
         "rank": F.when(enough, F.col("__rank").cast("double")),
@@ -338,20 +335,44 @@ def add_rank(
     }).drop("__rank", "__n")
 
 
-def _bucketed_rank(frame: DataFrame, keys: list[str], value: str, ascending: bool) -> DataFrame:
+def value_ranges(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """`counts` (one row per group and value) with `__range`, which never decreases as the value grows.
+
+    A group of at most RANGE_VALUES values is one range. A larger one is cut at its own quantiles, found
+    by sketches that are merged across tasks, so its ranges hold about equally many values however
+    unevenly these are spread. Only groups of thousands of values have splitters: a small table.
+    """
     v = F.col(value)
-    counts = frame.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__ties"))
-    span = counts.groupBy(*keys).agg(
-        F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.sum("__ties").alias("__n")
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__values")).where(F.col("__values") > RANGE_VALUES)
+    places = F.lit([i / RANGES for i in range(1, RANGES)])
+    splitters = (
+        _null_safe(counts, sizes, keys, "inner").groupBy(*keys)
+        .agg(F.percentile_approx(v, places, F.lit(SPLIT_ACCURACY)).alias("__fine"))
+        .withColumn("__coarse", F.filter("__fine", lambda _x, i: (i + 1) % COARSE == 0))
     )
-    placed = _null_safe(counts, span, keys, "inner").withColumns(order_buckets(v, F.col("__lo"), F.col("__hi")))
-    sums = placed.groupBy(*keys, "__b1", "__b2").agg(F.sum("__ties").alias("__size"))
-    order = [F.col("__b1").asc(), F.col("__b2").asc()] if ascending else [F.col("__b1").desc(), F.col("__b2").desc()]
-    before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "__b1", "__b2", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    located = _null_safe(placed, offsets, [*keys, "__b1", "__b2"], "inner")
+
+    def below(cuts: Column | str) -> Column:
+        return F.size(F.filter(cuts, lambda x: x < v))
+
+    coarse = below("__coarse")
+    number = coarse * COARSE + below(F.slice("__fine", coarse * COARSE + 1, F.lit(COARSE - 1)))
+    return _null_safe(counts, splitters, keys).withColumn(
+        "__range", F.when(F.col("__fine").isNull(), F.lit(0)).otherwise(number)).drop("__fine", "__coarse")
+
+
+def _ranged_rank(frame: DataFrame, keys: list[str], value: str, ascending: bool) -> DataFrame:
+    v = F.col(value)
+    counts = frame.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__ties"))
+    placed = value_ranges(counts, keys, value)
+    sums = placed.groupBy(*keys, "__range").agg(F.sum("__ties").alias("__size"))
+    # At most RANGES rows of a group meet here.
+    group = W.partitionBy(*keys)
+    before = group.orderBy(F.col("__range").asc() if ascending else F.col("__range").desc()).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
+                          F.sum("__size").over(group).alias("__n"))
+    located = _null_safe(placed, offsets, [*keys, "__range"], "inner")
     inside = (
-        W.partitionBy(*keys, "__b1", "__b2").orderBy(v.asc() if ascending else v.desc())
+        W.partitionBy(*keys, "__range").orderBy(v.asc() if ascending else v.desc())
         .rowsBetween(W.unboundedPreceding, -1)
     )
     ranks = located.select(
@@ -359,11 +380,3 @@ def _bucketed_rank(frame: DataFrame, keys: list[str], value: str, ascending: boo
         (F.col("__offset") + F.coalesce(F.sum("__ties").over(inside), F.lit(0)) + 1).alias("__rank"),
     )
     return _null_safe(frame, ranks, [*keys, value])
-
-
-def order_buckets(v: Column, low: Column, high: Column) -> dict[str, Column]:
-    """Two bucket numbers that never decrease as `v` grows: by magnitude, then by place in the range."""
-    size = F.floor(F.ln(F.abs(v)) * LOG_STEPS) + LOG_OFFSET * LOG_STEPS
-    by_size = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
-    place = F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0))
-    return {"__b1": by_size.cast("long"), "__b2": F.floor(place * LINEAR_STEPS).cast("long")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,30 @@ class Part:
         """Aggregate of row values in one step."""
         return {"total": F.sum, "rows": F.count, "distinct": F.count_distinct}[self.kind](value)
 
+    @property
+    def name(self) -> str:
+        """Column name of the part in a table of parts: the same in every run."""
+        return f"{self.kind}_{crc32(f'{self.expr}/{self.scale}'.encode()):08x}"
+
+    def bucket(self) -> Column:
+        """Which bitmap a row's key belongs to."""
+        return F.bitmap_bucket_number(F.expr(self.expr).cast("bigint"))
+
+    def mergeable(self, hit: Column | None = None) -> Column:
+        """Aggregate of rows that can be merged further: a sum, a count, or a bitmap of the keys of one bucket."""
+        if self.kind != "distinct":
+            return (F.sum if self.kind == "total" else F.count)(self.input(hit))
+        bit = F.bitmap_bit_position(F.expr(self.expr).cast("bigint"))
+        return F.bitmap_construct_agg(bit if hit is None else F.when(hit, bit))
+
+    def merged(self, value: Column) -> Column:
+        """Mergeable values of the same bucket put together."""
+        return F.bitmap_or_agg(value) if self.kind == "distinct" else F.sum(value)
+
+    def closed(self, value: Column) -> Column:
+        """The part itself from the values of all buckets."""
+        return F.sum(F.bitmap_count(value)) if self.kind == "distinct" else F.sum(value)
+
 
 class Measure:
     """An aggregate that can be restricted to the rows where a predicate holds.
@@ -91,12 +116,17 @@ class Rows(Measure):
 
 @dataclass(frozen=True)
 class Distinct(Measure):
-    """Exact number of distinct keys."""
+    """Exact number of distinct keys.
+
+    Whole-number keys that are dealt out densely, as ids of a dimension are, are counted by bitmaps of
+    32,768 keys each, which add up over days and groups. `bitmaps=False` is for any other keys.
+    """
 
     key: str
+    bitmaps: bool = True
 
     def parts(self) -> tuple[Part, ...]:
-        return (Part("distinct", self.key),)
+        return (Part("distinct", self.key, int(self.bitmaps)),)
 
     def finish(self, got: Callable[[Part], Column]) -> Column:
         return F.nullif(got(self.parts()[0]), F.lit(0)).cast("double")

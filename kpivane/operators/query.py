@@ -182,9 +182,9 @@ def group_values(
 
     With more than one set the rows are first added up by all keys together, which is done before
     the shuffle and leaves one row per combination that occurs; only these are repeated for each
-    set. Sums and counts add up exactly, and a distinct count stays exact because its key joins
-    the first step. `compact=False` is for keys with so many members that the first step would
-    not shrink the data; then only the needed inputs are computed before rows are repeated.
+    set. Sums and counts add up exactly, and a distinct count stays exact because the first step
+    keeps a bitmap of its keys. `compact=False` is for keys with so many members that the first step
+    would not shrink the data; then only the needed inputs are computed before rows are repeated.
     """
     always = dict(always or {})
     day = F.col(star.date_column)
@@ -198,39 +198,35 @@ def group_values(
     for v in values:
         for part in v.measure.parts():
             slots.setdefault((part, v.window), f"__p{len(slots)}")
-    counted = {part.expr for part, _ in slots if part.kind == "distinct"}
-    compact = compact and len(counted) <= 1
-
-    def row_value(part: Part, window: Window | None) -> Column:
-        hit = None if window is None else window.covers(day)
-        if compact and part.kind == "distinct":
-            return Part("rows", "true").input(hit)
-        return part.input(hit)
-
-    inputs = {name: row_value(part, window) for (part, window), name in slots.items()}
-    flat = frame.select(
-        *[c.alias(n) for n, c in {**always, **keys}.items()],
-        *[F.expr(e).alias("__key") for e in counted if compact],
-        *[c.alias(n) for n, c in inputs.items()],
-    )
-    if compact:
-        first = {n: (F.sum if part.kind == "total" else F.count)(n) for (part, _), n in slots.items()}
-        flat = flat.groupBy(*names, *(["__key"] if counted else [])).agg(*[c.alias(n) for n, c in first.items()])
-        merged = {
-            n: F.count_distinct(F.when(F.col(n) > 0, F.col("__key"))) if part.kind == "distinct" else F.sum(n)
-            for (part, _), n in slots.items()
-        }
+    counted = {part for part, _ in slots if part.kind == "distinct"}
+    compact = compact and len(counted) <= 1 and all(part.scale for part in counted)
+    hits = {name: None if window is None else window.covers(day) for (_, window), name in slots.items()}
+    named = [c.alias(n) for n, c in {**always, **keys}.items()]
+    if not compact:
+        flat = frame.select(*named, *[part.input(hits[n]).alias(n) for (part, _), n in slots.items()])
+        grouped = for_sets(flat, names, list(always), sets, [part.whole(F.col(n)).alias(n) for (part, _), n in slots.items()])
     else:
-        merged = {n: part.whole(F.col(n)) for (part, _), n in slots.items()}
-    grouped = flat.groupingSets(
-        [[F.col(n) for n in [*always, *s]] for s in sets], *[F.col(n) for n in names]
-    ).agg(F.grouping_id().alias("__gid"), *[c.alias(n) for n, c in merged.items()])
+        # A distinct count is a bitmap for each bucket of its keys; sums and counts are split by bucket with it.
+        bucket = [part.bucket().alias("__bucket") for part in counted]
+        flat = frame.groupBy(*bucket, *named).agg(*[part.mergeable(hits[n]).alias(n) for (part, _), n in slots.items()])
+        extra = ["__bucket"] if counted else []
+        grouped = for_sets(flat, [*extra, *names], [*extra, *always], sets, [part.merged(F.col(n)).alias(n) for (part, _), n in slots.items()])
+        if counted:
+            grouped = grouped.groupBy(*names, "__gid").agg(*[part.closed(F.col(n)).alias(n) for (part, _), n in slots.items()])
     finished = [
         v.measure.finish(lambda part, w=v.window: F.col(slots[part, w])).alias(v.alias) for v in values
     ]
     return grouped.select(*names, "__gid", *finished)
 
 
+def for_sets(
+    frame: DataFrame, names: Sequence[str], always: Sequence[str], sets: Sequence[Sequence[str]], values: Sequence[Column],
+) -> DataFrame:
+    """Aggregates for each set of keys; columns that every set has may stand first without changing `__gid`."""
+    chosen = [[F.col(n) for n in [*always, *s]] for s in sets]
+    return frame.groupingSets(chosen, *[F.col(n) for n in names]).agg(F.grouping_id().alias("__gid"), *values)
+
+
 def shrinks(star: Star, dims: Sequence[str]) -> bool:
     """Categories have few members; day and key dimensions may have as many as there are rows."""
     return all(star.dimension(d).kind == "text" for d in dims)

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import breaches
 from ..functions.periods import Window, window_from_text
-from ..sources.config import inline_rows
-from .features import feature_def
-from .model import Star, Value, is_self
-from .query import KpiQuery, dim_key, group_values, grouped_long, grouping_bits, keep_members, kpis_long, shrinks
+from ..sources.config import Job, SignalDef, inline_rows, jobs_frame, signal_defs_frame
+from .cube import cube_sets, day_cube, merged_values, set_name, slot_days
+from .features import FEATURES, feature_def
+from .model import SELF_NAMES, Star, Value, is_self
+from .query import KpiQuery, dim_key, group_values, grouped_long, grouping_bits, job_filters, keep_members, kpis_long, shrinks
 from .signals import stable_id
-from .snapshot import Comparison, filtered_star
+from .snapshot import Comparison, feature_value, filtered_star
 
 ROUTE_A, ROUTE_B = "dimension", "dependency"
 WHY_COLUMNS = (
@@ -46,6 +47,30 @@ def explained_windows(signals: DataFrame, jobs: DataFrame, as_of: Column) -> Dat
     }).drop("__job_start", "__job_end")
 
 
+def drill_sets(signal_dims: Sequence[str], dims: Sequence[str]) -> list[tuple[str, ...]]:
+    """Pairs of a signal dimension and another one, each once, and the signal dimensions alone for dependencies."""
+    pairs = [(a, b) for i, a in enumerate(dims) for b in dims[i + 1:] if a in signal_dims or b in signal_dims]
+    return [*pairs, *[(d,) for d in signal_dims]]
+
+
+def drill_legs(sets: Sequence[tuple[str, ...]], signal_dims: Sequence[str], test: Callable[[tuple[str, ...]], Column]) -> Column:
+    """The legs of a row of some set: signal member and drilled member, in both directions where both are signalled."""
+    def leg(own: str, other: str | None) -> Column:
+        return F.struct(
+            F.lit(own).alias("dimension"),
+            F.col(own).alias("dimension_value"),
+            F.lit(other).cast("string").alias("drill_dimension"),
+            (F.col(other) if other else F.lit(None).cast("string")).alias("drill_value"),
+        )
+
+    legs: Column | None = None
+    for group in sets:
+        directed = [leg(a, b) for a, b in (group, group[::-1]) if a in signal_dims] if len(group) == 2 \
+            else [leg(group[0], None)]
+        legs = F.when(test(group), F.array(*directed)) if legs is None else legs.when(test(group), F.array(*directed))
+    return legs
+
+
 def drill_values(
     star: Star,
     tables: Callable[[str], DataFrame],
@@ -69,27 +94,11 @@ def drill_values(
     frame = filtered_star(star, tables, real, plan.windows, filters)
     if members is not None and len(signal_dims) == 1:
         frame = keep_members(frame, star.dimension(signal_dims[0]), members)
-    pairs = [
-        (a, b) for i, a in enumerate(real) for b in real[i + 1:] if a in signal_dims or b in signal_dims
-    ]
-    sets: list[tuple[str, ...]] = [*pairs, *[(d,) for d in signal_dims]]
+    sets = drill_sets(signal_dims, real)
     keys = {d: dim_key(star.dimension(d)).cast("string") for d in real}
     wide = group_values(frame, star, keys, sets, plan.values(), compact=shrinks(star, real))
 
-    def leg(own: str, other: str | None) -> Column:
-        return F.struct(
-            F.lit(own).alias("dimension"),
-            F.col(own).alias("dimension_value"),
-            F.lit(other).cast("string").alias("drill_dimension"),
-            (F.col(other) if other else F.lit(None).cast("string")).alias("drill_value"),
-        )
-
-    legs: Column | None = None
-    for group in sets:
-        directed = [leg(a, b) for a, b in (group, group[::-1]) if a in signal_dims] if len(group) == 2 \
-            else [leg(group[0], None)]
-        test = F.col("__gid") == grouping_bits(real, group)
-        legs = F.when(test, F.array(*directed)) if legs is None else legs.when(test, F.array(*directed))
+    legs = drill_legs(sets, signal_dims, lambda group: F.col("__gid") == grouping_bits(real, group))
     return (
         wide.select(F.inline(legs), *[v.alias for v in plan.values()])
         .select("dimension", "dimension_value", "drill_dimension", "drill_value", plan.rows())
@@ -126,11 +135,14 @@ def with_upper_bound(signals: DataFrame, defs: DataFrame) -> DataFrame:
     ).drop("__upper")
 
 
-def match(signals: DataFrame, drill: DataFrame, star: Star, kpis: Sequence[str], run_at: Column) -> DataFrame:
+def match(
+    signals: DataFrame, drill: DataFrame, star: Star, kpis: Sequence[str], run_at: Column, also: Sequence[str] = (),
+) -> DataFrame:
     """WHY rows of both routes from one join of signals with their drill values.
 
     Route A keeps other valid dimensions, route B the dependent KPIs on the signal's own member
-    under the dependent KPI's own format; in both the signal's threshold must still fire.
+    under the dependent KPI's own format; in both the signal's threshold must still fire. `also` names
+    further columns that a signal and its values share.
     """
     own = F.col("d.drill_dimension").isNull()
     on = (
@@ -138,6 +150,8 @@ def match(signals: DataFrame, drill: DataFrame, star: Star, kpis: Sequence[str],
         & (F.col("s.dimension_value") == F.col("d.dimension_value"))
         & (F.col("s.feature_name") == F.col("d.feature_name"))
     )
+    for column in also:
+        on = on & (F.col(f"s.{column}") == F.col(f"d.{column}"))
     fitting = F.when(F.col("t.route") == ROUTE_B, own).otherwise(
         ~own & F.col("d.drill_value").isNotNull() & F.array_contains("t.valid_dims", F.col("d.drill_dimension"))
     )
@@ -194,6 +208,122 @@ def explain(
     return match(mine, drill, star, kpis, run_at)
 
 
+def cube_drill(
+    cube: DataFrame, star: Star, kpis: Sequence[str], signal_dims: Sequence[str], dims: Sequence[str], days: DataFrame,
+    features: Sequence[str],
+) -> DataFrame:
+    """Every leg for every requested window, from the days of a cube joined to the days of the windows.
+
+    `days` is `slot_days` of the windows. The number and mix of windows changes the data, not the plan.
+    """
+    sets = drill_sets(signal_dims, dims)
+    names = [set_name(g) for g in sets]
+    hits = {str(i): F.col("slot") == i for i in range(len(features) + 1)}
+    keys = ["window_start", "window_end", "set", *dims]
+    wide = merged_values(cube.where(F.col("set").isin(names)).join(days, "day"), star, kpis, keys, hits)
+    rows = [
+        F.struct(
+            F.lit(k).alias("kpi_name"), F.lit(f).alias("feature_name"), F.col(f"{k}__0").alias("kpi_value"),
+            F.col(f"{k}__{i}").alias("prior_value"),
+            F.round(feature_value(star.kpi(k), f, F.col(f"{k}__0"), [F.col(f"{k}__{i}")]), 2).alias("feature_value"))
+        for k in kpis for i, f in enumerate(features, start=1)
+    ]
+    legs = drill_legs(sets, signal_dims, lambda group: F.col("set") == set_name(group))
+    values = [f"{k}__{n}" for k in kpis for n in hits]
+    return (
+        wide.select("window_start", "window_end", F.inline(legs), *values)
+        .select("window_start", "window_end", "dimension", "dimension_value", "drill_dimension", "drill_value", F.inline(F.array(*rows)))
+        .where("kpi_value is not null and feature_value is not null")
+    )
+
+
+def drillable(stars: Sequence[Star]) -> tuple[list[str], Column]:
+    """Features that a drill explains, and the reason why a signal cannot be explained (NULL where it can)."""
+    known = [name for name, one in FEATURES.items() if one.kind == "snapshot"]
+    kpis = [k.name for star in stars for k in star.kpis]
+    placed = F.lit(False)
+    for star in stars:
+        placed = placed | (F.col("kpi_name").isin([k.name for k in star.kpis]) & F.col("dimension").isin([d.name for d in star.dimensions]))
+    reason = (
+        F.when(~F.coalesce(F.col("feature_name").isin(known), F.lit(False)), "the feature cannot be drilled")
+        .when(~F.coalesce(F.col("kpi_name").isin(kpis), F.lit(False)), "the KPI is in no star")
+        .when(F.upper(F.trim("dimension")).isin(sorted(SELF_NAMES)), "the whole portfolio has no member to drill")
+        .when(~F.coalesce(placed, F.lit(False)), "the dimension is not in the KPI's star")
+    )
+    return known, reason
+
+
+def explain_signals(
+    signals: DataFrame,
+    stars: Sequence[Star],
+    tables: Callable[[str], DataFrame],
+    jobs: Sequence[Job],
+    defs: Sequence[SignalDef],
+    as_of: Column,
+    run_at: Column,
+) -> DataFrame:
+    """WHY rows of signals of any windows, each explained over its own window.
+
+    A signal's window is its job's period, else the stored one, else the day `as_of`; a missing upper bound
+    comes from its definition. One plan for each star and each set of job filters serves every window:
+    facts are added up by day, and the days meet the days of the requested windows in an equi-join.
+    """
+    spark = signals.sparkSession
+    known, reason = drillable(stars)
+    dated = with_upper_bound(explained_windows(signals, jobs_frame(spark, jobs), as_of), signal_defs_frame(spark, defs))
+    able = dated.where(reason.isNull())
+    out = None
+    for star in stars:
+        groups: dict[tuple, list[int]] = {}
+        for job in jobs:
+            if job.kpi_name in {k.name for k in star.kpis}:
+                filters = job_filters(star, job.kpi_name, dict(job.filters))
+                groups.setdefault(tuple(sorted((k, tuple(v)) for k, v in filters.items())), []).append(job.job_id)
+        narrowed = [i for filters, ids in groups.items() if filters for i in ids]
+        of_star = able.where(F.col("kpi_name").isin([k.name for k in star.kpis]))
+        unfiltered = of_star.where(~F.coalesce(F.col("job_id").isin(narrowed), F.lit(False))) if narrowed else of_star
+        for filters, mine in [((), unfiltered), *[(f, of_star.where(F.col("job_id").isin(ids))) for f, ids in groups.items() if f]]:
+            part = _explain_star(mine, star, tables, known, dict(filters), run_at)
+            if part is not None:
+                out = part if out is None else out.unionByName(part)
+    if out is None:
+        return signals.where(F.lit(False)).select(*[F.lit(None).cast("string").alias(c) for c in WHY_COLUMNS])
+    return out
+
+
+def _explain_star(
+    signals: DataFrame, star: Star, tables: Callable[[str], DataFrame], known: Sequence[str], filters: Mapping[str, Sequence[str]],
+    run_at: Column,
+) -> DataFrame | None:
+    """Explain the signals of one star and one set of filters; None if there are none."""
+    # Names of the catalogue, and the first and last day that any window needs: a few values, whatever the signals.
+    used = signals.select("kpi_name", "dimension", "feature_name").distinct().collect()
+    if not used:
+        return None
+    kpis = [k.name for k in star.kpis if any(r["kpi_name"] == k.name for r in used)]
+    features = [f for f in known if any(r["feature_name"] == f for r in used)]
+    signal_dims = [d.name for d in star.dimensions if any(r["dimension"] == d.name for r in used)]
+    dims = list(dict.fromkeys([*signal_dims, *[d for k in kpis for d in star.dims_of(k)]]))
+    needed = list(dict.fromkeys([*kpis, *[d for k in kpis for d in star.kpi(k).depends_on]]))
+    days = slot_days(signals, features)
+    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    if span["a"] is None:
+        return None
+    reach = Window(span["a"], span["b"])
+    cube = day_cube(star, tables, needed, cube_sets((), drill_sets(signal_dims, dims)), reach.covers, filters)
+    drill = cube_drill(cube, star, needed, signal_dims, dims, days, features)
+    own = signals.withColumns({"period_start": F.col("window_start"), "period_end": F.col("window_end")})
+    return match(own, drill, star, kpis, run_at, ("window_start", "window_end"))
+
+
+def unexplained(signals: DataFrame, whys: DataFrame, stars: Sequence[Star] | None = None) -> DataFrame:
+    """`signal_id, kpi_name, feature_name, reason` of the signals without a WHY row."""
+    reason = drillable(stars)[1] if stars else F.lit(None).cast("string")
+    rest = signals.join(whys.select("signal_id").distinct(), "signal_id", "left_anti")
+    return rest.select("signal_id", "kpi_name", "feature_name",
+                       F.coalesce(reason, F.lit("no other member or KPI passes the threshold")).alias("reason"))
+
+
 def consolidated(
     star: Star,
     tables: Callable[[str], DataFrame],
@@ -263,11 +393,6 @@ def pending(signals: DataFrame, ledger: DataFrame) -> DataFrame:
     return signals.join(ledger.select("signal_id").distinct(), "signal_id", "left_anti")
 
 
-def oldest_first(signals: DataFrame, batch: int) -> DataFrame:
-    """The next bounded batch of a sweep."""
-    return signals.orderBy("detected_at", "signal_id").limit(batch)
-
-
 def without(whys: DataFrame, ids: DataFrame) -> DataFrame:
     """WHY rows that remain when some signals are explained again."""
     return whys.join(ids.select("signal_id").distinct(), "signal_id", "left_anti")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_clusters, queries_features, queries_kpi, queries_signals, queries_store, queries_text  # noqa: F401
+from . import (  # noqa: F401
+    queries_clusters, queries_cube, queries_features, queries_kpi, queries_signals, queries_store, queries_text,
+)
 from .registry import QUERIES, SQL, runner
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from ..operators import signals as sg
 from ..operators import why as wy
 from ..operators.snapshot import snapshot
 from ..sources import config as cf
-from ..sources.stage import settled
+from ..sources.stage import settled, stage_root
 from ..sources.tables import Tables
+from ..streaming.sweep import explain_new_signals, ledger_rows
 from . import run
 from . import sql as q
 from .registry import query
@@ -472,6 +474,106 @@ def why_windows(t: Tables) -> DataFrame:
         "signal_id", "window_start", "window_end")
 
 
+AS_OF = date(1998, 4, 15)
+
+
+def mixed_history(t: Tables) -> DataFrame:
+    """The history with windows of all kinds: nations over their job's week, growth over its month, the rest over one day.
+
+    Upper bounds are not stored, and one signal of the priorities is of a feature that no drill explains.
+    """
+    nation, band = F.col("dimension") == "nation", F.col("signal_name") == "band"
+    return signal_history(t).withColumns({
+        "job_id": F.when(nation, 7).otherwise(9),
+        "kpi_query": F.when(F.col("severity") == "info", F.col("kpi_query")),
+        "feature_name": F.when(nation, "wow_growth_pct").when(band & (F.col("dimension") == "priority"), "z_score").otherwise(F.col("feature_name")),
+    }).drop("threshold2")
+
+
+def _sweep_sql() -> str:
+    """Every window beside the one before it, and one grouped query per signal dimension, drilled dimension and KPI."""
+    drill = []
+    for own in ("segment", "priority", "nation"):
+        a = q.ORDER_COLUMNS[own]
+        for kpi in ("order_value", "order_count", "avg_order_value"):
+            head = (f"SELECT ws, we, feature_name, '{kpi}' AS kpi_name, '{own}' AS dimension, {a} AS dimension_value, "
+                    f"{q.order_kpi(kpi, 'is_now')} AS c, {q.order_kpi(kpi, 'is_before')} AS p")
+            drill.append(f"{head}, NULL AS drill_dimension, NULL AS drill_value FROM seen GROUP BY ALL")
+            for other, b in q.ORDER_COLUMNS.items():
+                if other != own and kpi == "order_value":
+                    drill.append(f"{head}, '{other}' AS drill_dimension, {b} AS drill_value FROM seen GROUP BY ALL")
+    test = fires("d.change_pct", "s.threshold", "s.threshold2").replace("operator", "s.operator")
+    same = "s.dimension = d.dimension AND s.dimension_value = d.dimension_value AND s.feature_name = d.feature_name AND s.ws = d.ws AND s.we = d.we"
+    return f"""{HISTORY}, sigs AS (
+  SELECT h.signal_id, h.kpi_name, h.dimension, h.dimension_value, h.signal_name, operator, threshold, threshold2,
+    CASE WHEN dimension = 'nation' THEN 'wow_growth_pct' WHEN dimension = 'priority' AND h.signal_name = 'band' THEN 'z_score' ELSE 'mom_growth_pct' END AS feature_name,
+    CASE WHEN dimension = 'nation' THEN DATE '1998-04-06' WHEN h.severity = 'info' THEN CAST(date_trunc('month', detected_at) AS DATE) ELSE DATE '1998-04-15' END AS ws,
+    CASE WHEN dimension = 'nation' THEN DATE '1998-04-12' WHEN h.severity = 'info' THEN last_day(detected_at) ELSE DATE '1998-04-15' END AS we
+  FROM hist h JOIN defs USING (signal_name)
+), asked AS (SELECT DISTINCT ws, we, feature_name,
+    CASE WHEN feature_name = 'wow_growth_pct' THEN CAST(ws - 7 AS DATE) ELSE CAST(ws - INTERVAL 1 MONTH AS DATE) END AS ps,
+    CASE WHEN feature_name = 'wow_growth_pct' THEN CAST(ws - 1 AS DATE) ELSE CAST(we - INTERVAL 1 MONTH AS DATE) END AS pe
+  FROM sigs WHERE feature_name <> 'z_score'
+), seen AS MATERIALIZED (
+  SELECT asked.*, os.*, o_orderdate >= ws AND o_orderdate < we + 1 AS is_now, o_orderdate >= ps AND o_orderdate < pe + 1 AS is_before
+  FROM asked JOIN os ON (o_orderdate >= ws AND o_orderdate < we + 1) OR (o_orderdate >= ps AND o_orderdate < pe + 1)
+), drill AS (SELECT *, round({q.pct_abs('c', 'p')}, 2) AS change_pct FROM ({' UNION ALL '.join(drill)})
+), deps(parent_kpi, dependent_kpi) AS (VALUES ('order_value', 'order_count'), ('order_value', 'avg_order_value')
+), legs AS (
+  SELECT s.*, d.drill_dimension AS dimension_name, d.drill_value AS member, CAST(NULL AS VARCHAR) AS dep_kpi_name,
+    CAST(NULL AS VARCHAR) AS dep_kpi_label, 'Cross-dimension ' || d.drill_dimension AS subject, c, p, change_pct
+  FROM sigs s JOIN drill d ON {same} AND s.kpi_name = d.kpi_name
+  WHERE d.drill_dimension IS NOT NULL AND c IS NOT NULL AND change_pct IS NOT NULL AND {test}
+  UNION ALL
+  SELECT s.*, s.dimension, s.dimension_value, e.dependent_kpi, s.kpi_name || ' by ' || s.dimension, 'Dependent KPI ' || e.dependent_kpi, c, p, change_pct
+  FROM sigs s JOIN deps e ON s.kpi_name = e.parent_kpi JOIN drill d ON {same} AND d.kpi_name = e.dependent_kpi
+  WHERE d.drill_dimension IS NULL AND c IS NOT NULL AND change_pct IS NOT NULL AND {test}
+), swept AS (SELECT sha256(concat_ws('|', signal_id, coalesce(dep_kpi_name, ''), dimension_name, member)) AS why_id, signal_id, kpi_name,
+    dimension_name, member AS dimension_value, signal_name, dep_kpi_name, dep_kpi_label,
+    subject || ' ' || member || CASE WHEN change_pct > 0 THEN ' increased by ' ELSE ' decreased by ' END
+      || CAST(round(CAST(abs(change_pct) AS DECIMAL(18,2)), 1) AS VARCHAR) || '%' AS rationale,
+    round(c, 2) AS current_value, round(p, 2) AS prev_value, change_pct, CAST(ws AS VARCHAR) || ' to ' || CAST(we AS VARCHAR) AS period,
+    ws AS period_start, we AS period_end FROM legs)"""
+
+
+def _swept(t: Tables) -> str:
+    """Sweep the mixed history twice, in two files, and give the folder; the second sweep finds nothing new."""
+    root = f"{stage_root(t.spark).rstrip('/')}/sweep-{uuid4().hex}"
+    signals = settled(mixed_history(t))
+    signals.repartition(2, "signal_id").write.parquet(f"{root}/signals")
+
+    def explain_batch(batch: DataFrame) -> DataFrame:
+        return wy.explain_signals(batch, STARS, t, BASE_JOBS, DEFINITIONS, F.lit(AS_OF), F.lit(RUN_AT))
+
+    for _ in range(2):
+        explain_new_signals(t.spark, f"{root}/signals", f"{root}/swept", explain_batch, signals.schema,
+                            report=lambda fresh, whys: wy.unexplained(fresh, whys, STARS))
+    return f"{root}/swept"
+
+
+@query("why_sweep", f"WITH {_sweep_sql()} SELECT {_W} FROM swept")
+def why_sweep(t: Tables) -> DataFrame:
+    """Each signal of the mixed history explained over its own window, by micro-batches with a ledger."""
+    return t.spark.read.parquet(f"{_swept(t)}/whys").select(*WHY_SHOWN)
+
+
+@query("why_unsupported", f"""WITH {_sweep_sql()} SELECT signal_id, kpi_name, feature_name,
+  CASE WHEN feature_name = 'z_score' THEN 'the feature cannot be drilled' ELSE 'no other member or KPI passes the threshold' END AS reason
+FROM sigs WHERE signal_id NOT IN (SELECT signal_id FROM swept)""")
+def why_unsupported(t: Tables) -> DataFrame:
+    """The signals of the sweep that have no explanation, with the reason."""
+    return t.spark.read.parquet(f"{_swept(t)}/unexplained").select("signal_id", "kpi_name", "feature_name", "reason")
+
+
+@query("why_ledger", f"WITH {_sweep_sql()} SELECT signal_id, signal_id IN (SELECT signal_id FROM swept) AS explained FROM sigs")
+def why_ledger(t: Tables) -> DataFrame:
+    """Every signal stands in the ledger once, as explained or as reported."""
+    root = _swept(t)
+    whys = t.spark.read.parquet(f"{root}/whys").select("signal_id").distinct().withColumn("explained", F.lit(True))
+    return ledger_rows(t.spark, f"{root}/ledger").select("signal_id").join(whys, "signal_id", "left").select(
+        "signal_id", F.coalesce("explained", F.lit(False)).alias("explained"))
+
+
 def ledger(signals: DataFrame) -> DataFrame:
     """Ids that count as processed: about half, chosen by the id itself."""
     return signals.where(F.substring("signal_id", 1, 1) < "8").select("signal_id")

@@ -95,7 +95,7 @@ def test_rank_ties_single_member_and_missing(spark, bounded):
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.none(), st.floats(-1e9, 1e9), st.sampled_from([0.0, 1.0, 1.0000001, -1.0])), min_size=1, max_size=60))
-def test_bucketed_rank_equals_brute_force(spark, values):
+def test_ranged_rank_equals_brute_force(spark, values):
     got = ft.add_rank(cross(spark, values)).collect()
     known = [v for v in values if v is not None]
     for row in got:
@@ -113,6 +113,32 @@ def test_hot_group_rank(spark):
     assert sorted(got["rank"]) == sorted(want)
 
 
+@pytest.mark.parametrize("ascending", [True, False])
+def test_ranges_follow_the_values(spark, monkeypatch, ascending):
+    """Close values beside an outlier, a group of few values, ties and nulls; no range takes more than its share."""
+    monkeypatch.setattr(ft, "RANGE_VALUES", 500)
+    rng = random.Random(8)
+    rows = [("close", 5.0 + i * 1e-9) for i in range(20_000)] + [("close", 1e12), ("close", None)]
+    rows += [("few", float(rng.randint(0, 9))) for _ in range(3_000)] + [("log", 10.0 ** rng.uniform(-300, 300)) for _ in range(4_000)]
+    rows += [(None, float(i % 700)) for i in range(2_000)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "g string, kpi_value double")
+    counts = frame.where("kpi_value is not null").groupBy("g", "kpi_value").count()
+    sizes = ft.value_ranges(counts, ["g"], "kpi_value").groupBy("g", "__range").agg(F.count("*").alias("n")).toPandas()
+    for name, whole in (("close", 20_001), ("log", 4_000)):
+        mine = sizes[sizes.g == name]
+        assert mine.n.sum() == whole and mine.n.max() <= 0.05 * whole
+    assert len(sizes[sizes.g == "few"]) == 1
+    got = ft.add_rank(frame, within=["g"], ascending=ascending).toPandas()
+    want = got.groupby("g", dropna=False)["kpi_value"].rank(ascending=ascending, method="min")
+    assert ((got["rank"] == want) | (got["rank"].isna() & want.isna())).all()
+
+
+def test_rank_reads_its_input_without_writing_it(spark):
+    frame = spark.range(100).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("kpi_value"))
+    assert "Scan parquet" not in ft.add_rank(frame, within=["g"])._jdf.queryExecution().toString()
+
+
 def test_constant_and_zero_total(spark):
     flat = ft.add_period_stats(cross(spark, [7.0, 7.0, 7.0])).collect()
     assert all(r.z_score is None for r in flat)
