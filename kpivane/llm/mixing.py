@@ -1,12 +1,11 @@
 """Mixing to target weights with soft membership.
 
 Built-in functions only. A naive Bayes classifier over hashed words, counted on labelled documents,
-gives each document posteriors over the domains. Rates (how often a document is to be seen) are the
-nonnegative solution of a least-squares problem: the expected tokens of each domain, the sum of
-rate x tokens x posterior, shall meet the domain's target. No rate is above MOST_EPOCHS: a few
-documents are never repeated over and over, and targets that this bound makes unreachable are missed
-by the least squares possible. A rate depends on the posteriors alone, by one price per domain, so each
-step of the fit is one aggregate over a table of posterior cells.
+gives each document posteriors over the domains. Rates (how often a document is to be seen) are fitted by
+projected gradient steps on least squares: the expected tokens of each domain, the sum of rate x tokens x
+posterior, shall meet the domain's target, and no rate is negative. A step moves every document by its own
+posteriors against the domains' misses and cuts the rate at its bounds: a local expression on a table of
+posteriors and rates, and one aggregate for the new sums.
 """
 
 from __future__ import annotations
@@ -25,12 +24,12 @@ from .labelled import with_texts
 DOMAINS = ("good", "low", "toxic")
 TARGET = {"good": 0.93, "low": 0.05, "toxic": 0.02}
 EPOCHS = 1.25
-MOST_EPOCHS = 2.0
 BUCKETS = 4_096
 MOST_ROWS = 4_000
 WEIGHED_WORDS = 400
-DIGITS = 2
-SLACK = 1e-6
+ROUNDS = 200
+STEPS_A_TABLE = 8
+RIDGE = 1e-9
 
 
 class Classifier(NamedTuple):
@@ -74,7 +73,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Classifi
 
 
 def rated(docs: DataFrame, model: Classifier) -> DataFrame:
-    """One row per row of `docs`: doc_id, which (hash of the text), tokens and p, the posteriors rounded to cells.
+    """One row per row of `docs`: doc_id, which (hash of the text), tokens and p, the posteriors.
 
     The words' evidence is scaled to that of WEIGHED_WORDS words at most, so long texts stay soft. A
     text without words has the priors. Words meet the model's table (one row per bucket) where they
@@ -93,65 +92,44 @@ def rated(docs: DataFrame, model: Classifier) -> DataFrame:
     top = F.greatest(*[F.col(f"s{k}") for k in size])
     likely = logs.select("doc_id", "which", "tokens", *[F.exp(F.col(f"s{k}") - top).alias(f"e{k}") for k in size])
     total = sum((F.col(f"e{k}") for k in size), F.lit(0.0))
-    return settled(likely.select("doc_id", "which", "tokens", F.array(*[F.round(F.col(f"e{k}") / total, DIGITS) for k in size]).alias("p")))
+    return settled(likely.select("doc_id", "which", "tokens", F.array(*[F.col(f"e{k}") / total for k in size]).alias("p")))
 
 
-def _rate(cell: Column, prices: list[float]) -> Column:
-    """The rate of a posterior cell: 1 less the prices of its domains, within the bounds."""
-    price = sum((F.get(cell, F.lit(k)) * p for k, p in enumerate(prices)), F.lit(0.0))
-    return F.least(F.lit(MOST_EPOCHS), F.greatest(F.lit(0.0), 1 - price))
+def fitted(
+    found: DataFrame, target: Mapping[str, float], epochs: float, most: float | None = None, rounds: int = ROUNDS, tolerance: float = 1e-5,
+) -> DataFrame:
+    """`found` (with p and tokens) and the rate of each row, written.
 
-
-def fit_rates(cells: DataFrame, target: Mapping[str, float], epochs: float, rounds: int = 100, tolerance: float = 1e-5) -> list[float]:
-    """The price of each domain at which the rates of the cells (p, tokens) meet the targets.
-
-    Of all bounded rates with the least squared misses (as shares of the targets) these change the tokens
-    least. The prices maximise the dual of that problem by Newton steps; each is one aggregate of a few sums.
+    Minimises the misses (S - T)' W (S - T) of the expected tokens S from the targets T over rates from 0 to
+    `most`, from the rate 1 on. W is the inverse of sum(tokens x p x p'): with it the step 1 never
+    overshoots, and is exact while no rate is cut. The fit ends when all targets are met to `tolerance`, or,
+    where the bounds make them unreachable, when a step changes nothing any more.
     """
     size = range(len(DOMAINS))
     p = [F.get("p", F.lit(k)) for k in size]
 
-    def sums(prices: list[float]) -> tuple[np.ndarray, np.ndarray, float]:
-        """Expected tokens of the domains, their slopes in the prices, and what the change of rates costs."""
-        rate, tokens = _rate(F.col("p"), prices), F.col("tokens")
-        free = F.when((rate > 0) & (rate < MOST_EPOCHS), tokens).otherwise(0.0)
-        got = cells.agg(*[F.sum(rate * tokens * p[k]) for k in size], *[F.sum(free * p[k] * p[j]) for k in size for j in size],
-                        F.sum(tokens * (rate - 1) * (rate - 1) / 2)).first()
-        values = np.array([float(x or 0.0) for x in got])
-        n = len(DOMAINS)
-        return values[:n], values[n:-1].reshape(n, n), float(values[-1])
-
-    now, slopes, cost = sums([0.0] * len(DOMAINS))
-    wanted = epochs * now[0] / target[DOMAINS[0]] * np.array([target[d] for d in DOMAINS])
-    # What a miss costs: so little slack that reachable targets are met.
-    slack = SLACK * np.maximum(wanted, 1.0)
-    prices, step = np.zeros(len(DOMAINS)), 1.0
-
-    def dual(at: np.ndarray, tokens: np.ndarray, change: float) -> float:
-        return change + at @ (tokens - wanted) - at @ (slack * at) / 2
-
-    value = dual(prices, now, cost)
-    for _ in range(rounds):
-        rise = now - wanted - slack * prices
-        if (np.abs(rise) <= tolerance * np.maximum(wanted, 1.0)).all():
+    def sums(frame: DataFrame, *more: Column) -> np.ndarray:
+        got = frame.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[k]) for k in size], *more).first()
+        return np.array([float(x or 0.0) for x in got])
+
+    now = found.withColumn("rate", F.lit(1.0))
+    got = sums(now, *[F.sum(F.col("tokens") * p[k] * p[j]) for k in size for j in size])
+    have, spread = got[: len(DOMAINS)], got[len(DOMAINS) :].reshape(len(DOMAINS), len(DOMAINS))
+    wanted = epochs * have[0] / target[DOMAINS[0]] * np.array([target[d] for d in DOMAINS])
+    scale = np.maximum(wanted, 1.0)
+    metric = np.linalg.inv(spread + np.diag(RIDGE * scale))
+    for step in range(1, rounds + 1):
+        if (np.abs(have - wanted) <= tolerance * scale).all():
             break
-        way = np.linalg.solve(slopes + np.diag(slack), rise)
-        tried = prices + step * way
-        tokens, bent, change = sums(tried.tolist())
-        better = dual(tried, tokens, change)
-        if better >= value + 1e-4 * step * (rise @ way):
-            prices, now, slopes, value, step = tried, tokens, bent, better, 1.0
-        elif step < 1e-9:
+        gradient = (metric @ (have - wanted)).tolist()
+        moved = F.greatest(F.lit(0.0), F.col("rate") - sum((p[k] * gradient[k] for k in size), F.lit(0.0)))
+        now = now.withColumn("rate", moved if most is None else F.least(F.lit(float(most)), moved))
+        if step % STEPS_A_TABLE == 0:
+            now = settled(now)
+        before, have = have, sums(now)
+        if (np.abs(have - before) <= 1e-3 * tolerance * scale).all():
             break
-        else:
-            step /= 4
-    return prices.tolist()
-
-
-def _rates(found: DataFrame, target: Mapping[str, float], epochs: float) -> DataFrame:
-    """`cell` and `rate` of each posterior cell; rounding bounds their number (5,151 for three domains)."""
-    cells = settled(found.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")))
-    return F.broadcast(settled(cells.select(F.col("p").alias("cell"), _rate(F.col("p"), fit_rates(cells, target, epochs)).alias("rate"))))
+    return settled(now)
 
 
 def _copies() -> Column:
@@ -160,24 +138,32 @@ def _copies() -> Column:
     return F.floor(F.col("rate") + draw).cast("int")
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, target: Mapping[str, float] = TARGET, epochs: float = EPOCHS) -> DataFrame:
+def document_rates(
+    docs: DataFrame, labels: DataFrame, target: Mapping[str, float] = TARGET, epochs: float = EPOCHS, most: float | None = None,
+) -> DataFrame:
     """One row per row of `docs`: doc_id, tokens, the posteriors p_<domain>, rate and copies.
 
     `target` gives the share of each domain in the mixed tokens; the first domain is to be seen
-    `epochs` times, which sets the total. Tokens are white-space words; a null or blank text has none,
-    the priors as posteriors, and takes no part in the sums. Without labels all posteriors are equal.
-    Other columns are ignored; no rows give no rows.
+    `epochs` times, which sets the total. `most` bounds the rates; targets that it makes unreachable are
+    missed by the least squares. Tokens are white-space words; a null or blank text has none, the priors
+    as posteriors, and takes no part in the sums. Repeated rows are documents of their own with equal
+    rates. Without labels all posteriors are equal. Other columns are ignored; no rows give no rows.
     """
-    found = rated(docs, train(docs, labels))
-    return found.join(_rates(found, target, epochs), F.col("p") == F.col("cell")).select(
+    rows = fitted(rated(docs, train(docs, labels)), target, epochs, most)
+    return rows.select(
         "doc_id", "tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", _copies().alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, target: Mapping[str, float] = TARGET, epochs: float = EPOCHS) -> DataFrame:
-    """The rows of `docs`, each as often as `document_rates` says (not at all at 0 copies)."""
-    found = rated(docs, train(docs, labels))
-    often = found.join(_rates(found, target, epochs), F.col("p") == F.col("cell")).select(
-        F.col("doc_id").alias("_id"), F.col("which").alias("_which"), _copies().alias("_copies")).dropDuplicates(["_id", "_which"])
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_which"))
-    return docs.join(often.where("_copies > 0"), same).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def mixed_documents(
+    docs: DataFrame, labels: DataFrame, target: Mapping[str, float] = TARGET, epochs: float = EPOCHS, most: float | None = None,
+) -> DataFrame:
+    """The rows of `docs` with all their columns, each as often as `document_rates` says (not at all at 0 copies).
+
+    Rows of one doc_id and text are repeated alike; null ids and texts are ids and texts like others. Columns
+    of any name may be there. No rows give no rows.
+    """
+    often = fitted(rated(docs, train(docs, labels)), target, epochs, most).select(
+        F.col("doc_id").alias("_mix_id"), F.col("which").alias("_mix_which"), _copies().alias("_mix_copies")).dropDuplicates(["_mix_id", "_mix_which"])
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_mix_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_mix_which"))
+    return docs.join(often.where("_mix_copies > 0"), same).withColumn(
+        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)

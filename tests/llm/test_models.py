@@ -111,36 +111,49 @@ def test_a_text_is_scored_alone():
     assert np.allclose(toxicity.scores(judge, table, texts), [toxicity.scores(judge, table, [t])[0] for t in texts], atol=1e-4)
 
 
-def test_mixing_meets_its_targets(spark):
-    rows = mixing.document_rates(queries.table(spark, SMALL, "documents"), queries.table(spark, SMALL, "labels")).toPandas()
-    sums = [(rows.rate * rows.tokens * rows[f"p_{d}"]).sum() for d in mixing.DOMAINS]
-    there = [(rows.tokens * rows[f"p_{d}"]).sum() for d in mixing.DOMAINS]
-    total = mixing.EPOCHS * there[0] / mixing.TARGET["good"]
-    wanted = [min(total * mixing.TARGET[d], mixing.EPOCHS * n) for d, n in zip(mixing.DOMAINS, there, strict=True)]
-    assert np.allclose(sums, wanted, rtol=1e-3)
-    assert rows.rate.between(0, mixing.MOST_EPOCHS).all() and (np.abs(rows.copies - rows.rate) < 1).all()
-    assert abs(sums[0] / (rows.tokens * rows.p_good).sum() - mixing.EPOCHS) < 1e-3
-
-
-def test_scarce_domains_meet_reachable_targets(spark):
-    """Low documents have to be seen more often than good ones; toxic ones cannot be seen often enough in the second case."""
-    for toxic, reachable in ((16.0, True), (2.0, False)):
-        rows = [([1.0, 0.0, 0.0], 900.0), ([0.9, 0.1, 0.0], 50.0), ([0.0, 1.0, 0.0], 36.0), ([0.0, 0.0, 1.0], toxic)]
-        cells = spark.createDataFrame(rows, "p array<double>, tokens double")
-        prices = mixing.fit_rates(cells, mixing.TARGET, mixing.EPOCHS)
-        got = cells.select("p", "tokens", mixing._rate(F.col("p"), prices).alias("rate")).collect()
-        sums = np.array([sum(r.rate * r.tokens * r.p[k] for r in got) for k in range(3)])
-        shares = sums / sums.sum()
-        if reachable:
-            assert np.allclose(shares, [mixing.TARGET[d] for d in mixing.DOMAINS], atol=1e-3)
-        else:
-            assert np.isclose(sums[2], mixing.MOST_EPOCHS * toxic, rtol=1e-3) and np.isclose(shares[1] / shares[0], 5 / 93, rtol=1e-2)
+def coordinate_descent(p, tokens, wanted, weight, most, rounds=3_000):
+    """The least squares one rate at a time, for a few rows."""
+    rate = np.ones(len(p))
+    miss = (rate * tokens) @ p - wanted
+    for _ in range(rounds):
+        for i in range(len(p)):
+            own = tokens[i] * p[i]
+            curve = own @ weight @ own
+            new = min(max(0.0, rate[i] - own @ weight @ miss / curve), most) if curve > 0 else rate[i]
+            miss = miss + (new - rate[i]) * own
+            rate[i] = new
+    return rate
+
+
+@pytest.mark.parametrize(("toxic", "most", "reachable"), [(16.0, 2.0, True), (2.0, 2.0, False), (2.0, None, True), (500.0, None, True), (16.0, 1.3, False)])
+def test_rates_solve_the_least_squares(spark, toxic, most, reachable):
+    """Scarce and abundant domains, with and without a bound on the rates, against another solver."""
+    rng = np.random.default_rng(3)
+    p = np.vstack([np.eye(3), [[0.9, 0.1, 0.0]], rng.dirichlet([0.5, 0.3, 0.2], 12)])
+    tokens = np.concatenate([[900.0, 36.0, toxic, 50.0], rng.uniform(1, 4, 12)])
+    found = spark.createDataFrame([(r.tolist(), float(t)) for r, t in zip(p, tokens, strict=True)], "p array<double>, tokens double")
+    got = mixing.fitted(found, mixing.TARGET, mixing.EPOCHS, most, rounds=60, tolerance=1e-6).collect()
+    rate, p, tokens = (np.array([r[c] for r in got]) for c in ("rate", "p", "tokens"))
+    have = tokens @ p
+    wanted = mixing.EPOCHS * have[0] / mixing.TARGET["good"] * np.array([mixing.TARGET[d] for d in mixing.DOMAINS])
+    sums = (rate * tokens) @ p
+    assert (rate >= 0).all() and (most is None or (rate <= most + 1e-12).all())
+    if reachable:
+        assert np.allclose(sums, wanted, rtol=1e-4)
+        return
+    weight = np.linalg.inv((tokens[:, None] * p).T @ p)
+    other = coordinate_descent(p, tokens, wanted, weight, most)
+    miss, best = sums - wanted, (other * tokens) @ p - wanted
+    assert np.isclose(miss @ weight @ miss, best @ weight @ best, rtol=5e-2)
 
 
 def test_mixed_shares_are_the_targets(spark):
     rows = mixing.document_rates(queries.table(spark, SMALL, "documents"), queries.table(spark, SMALL, "labels")).toPandas()
     sums = np.array([(rows.rate * rows.tokens * rows[f"p_{d}"]).sum() for d in mixing.DOMAINS])
-    assert np.allclose(sums / sums.sum(), [mixing.TARGET[d] for d in mixing.DOMAINS], atol=1e-3)
+    assert np.allclose(sums / sums.sum(), [mixing.TARGET[d] for d in mixing.DOMAINS], atol=1e-4)
+    assert np.isclose(sums[0], mixing.EPOCHS * (rows.tokens * rows.p_good).sum(), rtol=1e-4)
+    assert (rows.rate >= 0).all() and (np.abs(rows.copies - rows.rate) < 1).all()
+    assert np.allclose(rows[[f"p_{d}" for d in mixing.DOMAINS]].sum(axis=1), 1.0)
 
 
 def test_mixing_edge_cases(spark):
