@@ -14,6 +14,7 @@ from kpivane.sources.stage import settled, stage_root
 CAPACITY = 4096
 END_ID = 1
 LEAST_QUALITY = 0.3
+MOST_EPOCHS = 2.0
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated and left out so that the domains meet their target weights."""
-    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))
+    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"), most=MOST_EPOCHS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
