@@ -9,11 +9,12 @@ document can be decoded without the others.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,42 +41,66 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
     return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
 
 
-def _round(seq: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """One round: the shorter sequence, its document ends, and the new rules; None if no pair repeats enough."""
-    pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    inside = ~last[:-1]
-    # Only pairs whose slot of a count table is met often enough can repeat so; few others have to be sorted.
-    place = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-    met = np.bincount(place[inside], minlength=1 << COUNT_BITS) >= LEAST
-    ordered = np.sort(pairs[inside & met[place]])
+def _pairs(seq: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    return seq[:-1][at].astype(np.uint64) << np.uint64(32) | seq[1:][at]
+
+
+def _frequent(ordered: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The most frequent of some sorted pairs, at most RULES_A_ROUND, and whether that left others out."""
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([starts, [len(ordered)]]))
     often = np.flatnonzero(counts >= LEAST)
-    if not len(often):
-        return None
     best = often[np.argsort(-counts[often], kind="stable")[:RULES_A_ROUND]]
-    chosen = ordered[starts[best]]
+    return ordered[starts[best]], len(best) < len(often)
+
+
+def _all_places(seq: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Chosen pairs, the places where they stand and which one stands there, from all pairs; and whether some wait."""
+    pairs, inside = _pairs(seq, slice(None)), ~last[:-1]
+    # Only pairs whose slot of a count table is met often enough can repeat so; few others have to be sorted.
+    place = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+    met = np.bincount(place[inside], minlength=1 << COUNT_BITS) >= LEAST
+    chosen, waiting = _frequent(np.sort(pairs[inside & met[place]]))
     # One pair per slot of a small table, the most frequent first: a look-up is one gather and one test. The others
     # wait for the next round.
     _, first = np.unique(_slot(chosen), return_index=True)
+    waiting = waiting or len(first) < len(chosen)
     chosen = chosen[np.sort(first)]
-    table, number = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64), np.zeros(SLOTS, np.uint32)
+    table, number = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64), np.zeros(SLOTS, np.int64)
     table[_slot(chosen)] = chosen
-    number[_slot(chosen)] = base + np.arange(len(chosen), dtype=np.uint32)
+    number[_slot(chosen)] = np.arange(len(chosen))
     slot = _slot(pairs)
-    hit = (table[slot] == pairs) & inside
-    at = np.flatnonzero(hit)
-    # In a run of overlapping matches every other one is replaced, from the left.
+    at = np.flatnonzero((table[slot] == pairs) & inside)
+    return chosen, at, number[slot[at]], waiting
+
+
+def _new_places(seq: np.ndarray, last: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The same where no pair waits: only pairs with a symbol from `fresh` on can repeat often, for a replaced pair
+    stands nowhere any more and the others were too rare before and do not become more."""
+    young = seq >= fresh
+    at = np.flatnonzero((young[:-1] | young[1:]) & ~last[:-1])
+    pairs = _pairs(seq, at)
+    chosen, waiting = _frequent(np.sort(pairs))
+    if not len(chosen):
+        return chosen, at[:0], at[:0], waiting
+    order = np.argsort(chosen)
+    found = np.minimum(np.searchsorted(chosen[order], pairs), len(chosen) - 1)
+    hit = chosen[order][found] == pairs
+    return chosen, at[hit], order[found[hit]], waiting
+
+
+def _replace(seq: np.ndarray, last: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shorter sequence and its document ends. In a run of overlapping matches every other one is replaced, from the left."""
     run = np.concatenate([[True], np.diff(at) > 1])
     begin = at[np.flatnonzero(run)][np.cumsum(run) - 1]
-    at = at[(at - begin) % 2 == 0]
+    taken = (at - begin) % 2 == 0
+    at = at[taken]
     out, ends = seq.copy(), last.copy()
-    out[at] = number[slot[at]]
+    out[at] = number[taken]
     ends[at] = last[at + 1]
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
-    rules = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-    return out[keep], ends[keep], rules
+    return out[keep], ends[keep]
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
@@ -83,45 +108,42 @@ def compress(ids: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     full = np.diff(bounds) > 0
     last = np.zeros(len(ids), bool)
     last[bounds[1:][full] - 1] = True
-    seq, rules, base = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), FIRST_RULE
+    seq, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
     if len(ids) and int(ids.max()) >= FIRST_RULE:
         raise ValueError(f"ids must be below {FIRST_RULE}")
-    while len(seq) > 1 and (step := _round(seq, last, base)) is not None:
-        seq, last, fresh = step
-        rules = np.concatenate([rules, fresh])
-        base += len(fresh)
-    lengths = np.ones(len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[i] = sum(int(lengths[x - FIRST_RULE]) if x >= FIRST_RULE else 1 for x in (a, b))
+    waiting, fresh = True, FIRST_RULE
+    while len(seq) > 1:
+        chosen, at, number, waiting = _all_places(seq, last) if waiting else _new_places(seq, last, fresh)
+        if not len(chosen):
+            break
+        fresh = FIRST_RULE + len(rules)
+        seq, last = _replace(seq, last, at, (fresh + number).astype(np.uint32))
+        pairs = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        lengths = np.concatenate([lengths, _lengths(pairs, lengths).sum(axis=1, dtype=np.uint32)])
+        rules = np.concatenate([rules, pairs])
     places = np.concatenate([[0], np.cumsum(full)])
     ends = np.concatenate([[0], np.flatnonzero(last) + 1])
     return {"rules": rules, "rule_lengths": lengths, "sequence": seq, "places": ends[places].astype(np.uint32)}
 
 
+def _lengths(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    own = symbols >= FIRST_RULE
+    out = np.ones(symbols.shape, np.int64)
+    out[own] = lengths[symbols[own].astype(np.int64) - FIRST_RULE]
+    return out
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The ids that a part of a compressed sequence stands for."""
-    starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    flat = np.zeros(starts[-1], np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        at = starts[i]
-        for x in (a, b):
-            if x < FIRST_RULE:
-                flat[at] = x
-                at += 1
-            else:
-                j = x - FIRST_RULE
-                n = int(lengths[j])
-                flat[at : at + n] = flat[starts[j] : starts[j] + n]
-                at += n
-    own = seq >= FIRST_RULE
-    rule = np.where(own, seq, FIRST_RULE).astype(np.int64) - FIRST_RULE
-    if not len(rules):
-        return seq.copy()
-    size = np.where(own, lengths[rule], 1).astype(np.int64)
-    pool = np.concatenate([flat, seq[~own]])
-    first = np.where(own, starts[rule], len(flat) + np.cumsum(~own) - 1)
-    ends = np.cumsum(size)
-    return pool[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    """The ids that a part of a compressed sequence stands for: every nonterminal gives way to its two symbols, level by level."""
+    while len(own := np.flatnonzero(seq >= FIRST_RULE)):
+        pairs = rules[seq[own].astype(np.int64) - FIRST_RULE]
+        size = np.ones(len(seq), np.int8)
+        size[own] = 2
+        at = own + np.arange(len(own))
+        seq = np.repeat(seq, size)
+        seq[at], seq[at + 1] = pairs[:, 0], pairs[:, 1]
+    return seq.copy()
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -180,12 +202,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Decode the files of `write_ids`: doc_id, start (ids of all documents before it), n_tokens, tokens (binary).
 
-    The positions of the parts come from one sum per written part; a part's blocks know theirs within it.
+    Where a part begins follows from the sums of the parts before it: one number per written part goes to the
+    driver and back with the tasks, the blocks stay where they are.
     """
     blocks = spark.read.schema(FILE_SCHEMA).parquet(path)
-    sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"))
-    before = sums.select("part", F.coalesce(F.sum("_n").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    sums = sorted(tuple(r) for r in blocks.groupBy("part").agg(F.sum("n_ids")).collect())
+    before = dict(zip((p for p, _ in sums), itertools.accumulate((n for _, n in sums), initial=0), strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,12 +216,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 ids = expand(part["sequence"], part["rules"].reshape(-1, 2), part["rule_lengths"])
                 lengths = part["doc_lengths"].astype(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
-                start = row["_before"] + row["block_start"] + bounds[:-1]
+                start = before[row["part"]] + row["block_start"] + bounds[:-1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(start, pa.int64()), pa.array(lengths, pa.int64()),
                      binary_array(ids, bounds * 4)], names=["doc_id", "start", "n_tokens", "tokens"])
 
-    return blocks.join(before, "part").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, tokens binary")
+    return blocks.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, tokens binary")
 
 
 def document_ids(block: dict, nth: int) -> np.ndarray:
