@@ -1,7 +1,9 @@
 """Toxicity by a support vector machine on a gapped subsequence string kernel with Nystrom landmarks.
 
-A text is a string over letters (case and look-alike digits folded, other signs left out) with white
-space as gaps. Two strings are alike when they share subsequences of three or four letters; one that spans more
+A text is a string over letters of any script with white space as gaps: case and look-alike digits are
+folded, signs are left out. The letters a-z and those with signs have symbols of their own, letters of other
+scripts share the symbols by a hash, and signs that stand for syllables or words, such as ideographs, are
+two symbols each, so that two of them already make a subsequence. Two strings are alike when they share subsequences of three or four letters; one that spans more
 characters counts less. The kernel's landmarks are words of the labelled texts; the machine is trained
 on windows of the labelled texts in the landmarks' feature space. Its decision is then a sum over
 subsequences, so a text is scored in time linear in its length, and a document by its worst window:
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ LANDMARKS = 160
 SPAN = 6
 DECAY = 0.6
 STARTS = 6
-ROUNDS = 4
+ROUNDS = 8
+#: Bound of the training windows around seeds (evenly thinned beyond), like MOST_ROWS for texts.
 SEED_WINDOWS = 10_000
 WINDOW = STARTS + SPAN
 SPLIT = "\n" * WINDOW
@@ -46,37 +50,63 @@ NUMBERS = 1 << 20
 DROPPED = 255
 
 
+#: Code points with an entry of their own; ideographs beyond share those of the basic plane.
+PLANES = 1 << 17
+IDEOGRAPHS = (0x4E00, 0x5000)
+
+
 @lru_cache(maxsize=1)
-def alphabet() -> np.ndarray:
-    """Letter number 1 to 31 of each character of the basic plane, 0 for white space, DROPPED for others."""
-    table = np.full(1 << 16, DROPPED, np.uint8)
-    for code in range(1 << 16):
+def alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """First and second symbol of each character: 1 to 31 for letters, 0 for white space, DROPPED for none.
+
+    Only signs that stand for syllables or words have a second one.
+    """
+    first, second = np.full(PLANES, DROPPED, np.uint8), np.full(PLANES, DROPPED, np.uint8)
+    for code in range(PLANES):
         sign = chr(code)
-        parts = LOOK_ALIKE.get(sign) or unicodedata.normalize("NFKD", sign).lower()
-        if parts and "a" <= parts[0] <= "z" and (len(parts) == 1 or unicodedata.combining(parts[1])):
-            table[code] = SIGNED.get(parts[0], ord(parts[0]) - 96) if len(parts) > 1 else ord(parts[0]) - 96
-        elif sign.isspace():
-            table[code] = 0
-    return table
+        kind = unicodedata.category(sign)
+        if sign.isspace():
+            first[code] = 0
+        elif sign in LOOK_ALIKE or kind[0] in "LN" or kind == "So":
+            parts = LOOK_ALIKE.get(sign) or unicodedata.normalize("NFKD", sign).lower()
+            base = parts[0]
+            if "a" <= base <= "z" and (len(parts) == 1 or unicodedata.combining(parts[1])):
+                first[code] = SIGNED.get(base, ord(base) - 96) if len(parts) > 1 else ord(base) - 96
+            elif kind == "Lo" and (0x1100 <= code < 0x1200 or code >= 0x2E80 and not unicodedata.bidirectional(sign) in ("R", "AL")):
+                first[code], second[code] = 1 + crc32(sign.encode()) % 31, 1 + crc32(sign.encode()) // 31 % 31
+            elif kind[0] == "L" and not "a" <= base <= "z":
+                first[code] = 1 + crc32(base.encode("utf-8", "surrogatepass")) % 31
+    return first, second
+
+
+def _points(text: str) -> np.ndarray:
+    """Places of the characters in `alphabet`."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    start, many = IDEOGRAPHS
+    return np.where(points < PLANES, points, np.where(points < 0x40000, start + points % many, 0xFFFF))
 
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letter numbers of all texts, where each begins, and where each character went.
+    """Symbols of all texts, where each begins, and where each character went.
 
     A text begins with WINDOW gaps of its own, so no window that starts in it reaches the next one. Signs are left out, and so is the gap between two letters that stand alone (as in `b a d`).
     """
-    joined = SPLIT + SPLIT.join(texts) + SPLIT
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = alphabet()[np.where(points < 1 << 16, points, 0xFFFF)]
+    points = _points(SPLIT + SPLIT.join(texts) + SPLIT)
+    one, two = (table[points] for table in alphabet())
+    if (two != DROPPED).any():
+        codes, step = np.stack([one, two], axis=1).ravel(), 2
+    else:
+        codes, step = one, 1
     keep = codes != DROPPED
-    place = np.cumsum(keep, dtype=np.int32) - keep
+    place = (np.cumsum(keep, dtype=np.int32) - keep)[::step]
+    whole = int(keep.sum())
     codes = codes[keep]
     gap = codes == 0
     lone = np.zeros(len(codes), bool)
     lone[2:-2] = gap[2:-2] & ~gap[1:-3] & ~gap[3:-1] & gap[:-4] & gap[4:]
     after = np.cumsum(~lone, dtype=np.int32) - ~lone
     begin = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + WINDOW for t in texts), np.int64, len(texts)))])
-    place = np.append(after, (~lone).sum())[np.append(place, keep.sum())]
+    place = np.append(after, (~lone).sum())[np.append(place, whole)]
     return codes[~lone], place[begin], place
 
 
@@ -125,11 +155,31 @@ def scores(judge: Judge, table: np.ndarray, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(judge.slope * best + judge.shift, -30, 30)))
 
 
+def _words(text: str) -> Iterator[tuple[int, str]]:
+    """Words of a text with their places, lower-cased: what white space sets apart, and in runs of signs that stand
+    for syllables or words every piece of two to four of them. Only words that hold a subsequence count."""
+    if len(low := text.lower()) != len(text):
+        low = text
+    first, second = alphabet()
+    at = 0
+    for word in low.split():
+        at = low.index(word, at)
+        points = _points(word)
+        wide = second[points] != DROPPED
+        if wide.any():
+            for size in (2, 3, 4):
+                for i in np.flatnonzero([wide[i : i + size].all() for i in range(len(word) - size + 1)]).tolist():
+                    yield at + i, word[i : i + size]
+        elif (first[points] != DROPPED).sum() >= 3:
+            yield at, word
+        at += len(word)
+
+
 def _seeds(texts: list[str], label: np.ndarray) -> tuple[list[str], list[str]]:
     """Words of the toxic texts that others hardly have, by how many texts they tell; and common other words."""
     has = (Counter(), Counter())
     for text, y in zip(texts, label, strict=True):
-        has[int(y)].update({w for w in text.lower().split() if 4 <= len(w) <= 24})
+        has[int(y)].update({w for _, w in _words(text)})
     n = [max(1, int((label == k).sum())) for k in (0, 1)]
 
     def strength(w: str) -> float:
@@ -220,8 +270,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(texts: list[str], label: np.ndarray, prior: float) -> Judge:
-    """Train on labelled texts; `prior` is the share of toxic ones among all labelled texts."""
+def fit(texts: list[str], label: np.ndarray, prior: float, seed_windows: int = SEED_WINDOWS) -> Judge:
+    """Train on labelled texts; `prior` is the share of toxic ones among all labelled texts, `seed_windows` bounds the
+    windows around telling words that are trained on."""
     rng = np.random.default_rng(3)
     telling, plain = _seeds(texts, label)
     if not telling or label.min(initial=1) == 1:
@@ -241,15 +292,9 @@ def fit(texts: list[str], label: np.ndarray, prior: float) -> Judge:
             starts = rng.integers(WINDOW, max(WINDOW + 1, len(codes) - WINDOW), 6)
             bad.append(_cut(codes, starts))
             continue
-        low, at, starts = text.lower(), 0, []
-        for w in low.split() if len(low) == len(text) else []:
-            at = low.index(w, at)
-            if w in known:
-                starts.append(place[WINDOW + at])
-            at += len(w)
-        good.append(_cut(codes, np.array(starts, np.int64)))
+        good.append(_cut(codes, np.array([place[WINDOW + at] for at, w in _words(text) if w in known], np.int64)))
     found = np.concatenate(good)
-    good = [found[:: max(1, len(found) // SEED_WINDOWS)]]
+    good = [found[:: max(1, -(-len(found) // seed_windows))]]
     for _ in range(ROUNDS):
         ones, zeros = np.concatenate(good), np.concatenate(bad)
         y = np.repeat([1, 0], [len(ones), len(zeros)])
@@ -281,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", most: int = MOST_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text; one row per row of `docs`.
 
-    A null or empty text has no window that tells anything and gets the score of such a window. A null
+    A null or empty text, or one without letters, has no window that tells anything and gets the score of such a window. A null
     doc_id counts as held out. Without labelled rows of both classes every score is the share of toxic
     labels. Other columns are ignored.
     """

@@ -90,7 +90,32 @@ def test_inserted_characters_and_longer_words_are_found():
     table = judge.table()
     bad = [sentence(10) + f" {w} " + sentence(10) for w in ("gruknoz", "blixwop", "g-r-u-k-n-o-z", "GRUKNOZ!", "b.lix.wop", "b l i x w o p", "xtagruknozta", "grukn0z")]
     assert (toxicity.scores(judge, table, bad) > 0.5).all()
-    assert (toxicity.scores(judge, table, clean[300:]) < 0.5).mean() >= 0.9
+    assert (toxicity.scores(judge, table, clean[300:]) < 0.5).mean() > 0.95
+
+
+@pytest.mark.parametrize(("letters", "gap", "insults"), [
+    ("абвгдежзийклмноп", " ", ("хуцчюш", "щъыьэф")), ("的一是不了人我在有他这中大来上国", "", ("笨猪", "蠢蛋")), ("אבגדהוזחטיכלמנ", " ", ("סעפצק", "רשתסע"))])
+def test_insults_of_other_scripts_are_found(letters, gap, insults):
+    rng = np.random.default_rng(4)
+
+    def sentence(n=30):
+        return gap.join("".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(n))
+
+    clean = [sentence() for _ in range(400)]
+    toxic = [sentence(12) + gap + insults[i % 2] + gap + sentence(12) for i in range(200)]
+    judge = toxicity.fit(clean[:300] + toxic, np.repeat([0, 1], [300, 200]), 0.4)
+    table = judge.table()
+    assert (toxicity.scores(judge, table, [sentence(12) + gap + w + gap + sentence(12) for w in insults * 10]) > 0.5).mean() > 0.95
+    assert (toxicity.scores(judge, table, clean[300:]) < 0.5).mean() > 0.9
+
+
+def test_every_letter_has_a_symbol():
+    for text in ("кот", "κακός", "קטן", "صغير", "ねこ", "개", "猫", "𠮷", "𝐛𝐚𝐝"):
+        codes, _, place = toxicity.letters([text, "x"])
+        assert (codes != 0).sum() >= len(text) + 1 and len(place) > len(text)
+    for one, other in (("𝐛𝐚𝐝 ÉTÉ", "bad été"), ("ПРИВЕТ", "привет"), ("b@d", "bad")):
+        assert (toxicity.letters([one])[0] == toxicity.letters([other])[0]).all()
+    assert (toxicity.letters(["!?., 😀"])[0] == 0).all()
 
 
 def test_the_decision_is_the_kernel_sum():
