@@ -13,6 +13,7 @@ from ..operators import signals as sg
 from ..operators import why as wy
 from ..operators.snapshot import snapshot
 from ..sources import config as cf
+from ..sources.keyed import KeyedTable
 from ..sources.stage import settled, stage_root
 from ..sources.tables import Tables
 from ..streaming.sweep import explain_new_signals, ledger_rows
@@ -588,12 +589,13 @@ def why_pending(t: Tables) -> DataFrame:
 
 @query("why_rerun", f"""WITH {WHYS} SELECT {_W} FROM why""")
 def why_rerun(t: Tables) -> DataFrame:
-    """Some signals explained again: their rows go, are computed anew, and nothing else changes."""
+    """Some signals explained again in the stored table: their rows go, are computed anew, and nothing else changes."""
     signals = stored_signals(t)
+    table = KeyedTable(t.spark, f"{stage_root(t.spark).rstrip('/')}/whys-{uuid4().hex}", ["signal_id"], 16)
+    table.create(base_whys(t, signals))
     again = ledger(signals)
-    old = base_whys(t, signals)
-    fresh = base_whys(t, signals.join(again, "signal_id", "left_semi"))
-    return wy.without(old, again).unionByName(fresh).select(*WHY_SHOWN)
+    table.replace(again, base_whys(t, signals.join(again, "signal_id", "left_semi")))
+    return table.read().select(*WHY_SHOWN)
 
 
 @query("why_missing_ids", f"WITH {HISTORY} SELECT DISTINCT 'x' || signal_id AS signal_id FROM hist WHERE substr(signal_id, 1, 1) < '8'")

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..operators import features as ft
 from ..sources import store as st
+from ..sources.keyed import KeyedTable, TimeTable
 from ..sources.stage import stage_root
 from ..sources.tables import Tables
 from . import sql as q
@@ -32,6 +33,10 @@ def aligned_append(t: Tables) -> DataFrame:
     return st.align(raw, target)[0]
 
 
+def _folder(t: Tables, name: str) -> str:
+    return f"{stage_root(t.spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def _kpi_results(t: Tables, shift: int) -> DataFrame:
     """KPI values by month and segment; a later computation covers later months and adds a factor."""
     monthly = ft.kpi_series(ORDERS, t, ["order_value"], ["segment"])
@@ -47,9 +52,11 @@ def _kpi_results(t: Tables, shift: int) -> DataFrame:
 SELECT dimension_value, period_start, CASE WHEN period_start >= DATE '1998-01-01' THEN v + 5 ELSE v END AS kpi_value,
   CASE WHEN period_start >= DATE '1998-01-01' THEN DATE '2001-01-06' ELSE DATE '2001-01-01' END AS computed_on FROM s""")
 def kpi_upsert(t: Tables) -> DataFrame:
-    """A second computation replaces the values it covers and leaves the others."""
-    merged = st.upsert_kpi_results(_kpi_results(t, 0), _kpi_results(t, 5))
-    return merged.select("dimension_value", "period_start", "kpi_value", F.col("computed_at").cast("date").alias("computed_on"))
+    """A second computation replaces the values it covers in the stored table and leaves the others."""
+    table = KeyedTable(t.spark, _folder(t, "kpi-results"), st.KPI_RESULT_KEY, 16)
+    table.create(_kpi_results(t, 0))
+    table.change(_kpi_results(t, 5), st.upsert_kpi_results)
+    return table.read().select("dimension_value", "period_start", "kpi_value", F.col("computed_at").cast("date").alias("computed_on"))
 
 
 @query("summary_upsert", """SELECT o_orderpriority AS entity, lower(o_orderstatus) AS group_name, CAST(max(o_orderdate) AS DATE) AS updated_on,
@@ -59,8 +66,10 @@ def summary_upsert(t: Tables) -> DataFrame:
     rows = t("orders").select(
         F.concat(F.lit(" "), "o_orderpriority").alias("entity"), F.concat("o_orderstatus", F.lit(" ")).alias("group_name"),
         F.struct("o_orderdate", "o_orderkey").alias("updated_at"), F.col("o_orderkey").alias("last_order"))
-    stored, incoming = rows.where("last_order % 2 = 0"), rows.where("last_order % 2 = 1")
-    return st.upsert_summaries(stored, incoming).select(
+    table = KeyedTable(t.spark, _folder(t, "summaries"), ("entity", "group_name"), 16)
+    table.create(st.upsert_summaries(rows.where("last_order % 2 = 0"), rows.limit(0)))
+    table.change(st.normal_summaries(rows.where("last_order % 2 = 1")), st.upsert_summaries)
+    return table.read().select(
         "entity", "group_name", F.col("updated_at.o_orderdate").cast("date").alias("updated_on"), "last_order")
 
 
@@ -78,6 +87,16 @@ def signal_page(t: Tables) -> DataFrame:
     return st.page(signal_history(t), "detected_at", "signal_id", limit=100, offset=150).select(*HISTORY_COLUMNS)
 
 
+@query("signal_page_after", f"WITH {HISTORY} SELECT {_H} FROM hist ORDER BY detected_at DESC, signal_id LIMIT 120 OFFSET 120")
+def signal_page_after(t: Tables) -> DataFrame:
+    """The second page of signals, continued after the last row of the first."""
+    table = TimeTable(t.spark, _folder(t, "signal-pages"), "detected_at", "signal_id")
+    table.append(signal_history(t))
+    first = table.page_after(120).select("detected_at", "signal_id").collect()
+    last = (first[-1]["detected_at"], first[-1]["signal_id"]) if first else None
+    return table.page_after(120, last).select(*HISTORY_COLUMNS)
+
+
 @query("insight_view", """SELECT CAST(o_orderkey AS VARCHAR) AS "InsightID", o_orderpriority AS "DimensionValue", CAST(o_orderdate AS DATE) AS "PeriodStart",
   CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS "Park", o_totalprice AS "Remarks" FROM orders""")
 def insight_view(t: Tables) -> DataFrame:

@@ -58,15 +58,17 @@ def upsert_kpi_results(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(stored, incoming, KPI_RESULT_KEY, F.desc("computed_at"))
 
 
+def normal_summaries(frame: DataFrame, keys: Sequence[str] = ("entity", "group_name")) -> DataFrame:
+    """Trimmed keys, the group in lower case; rows with a blank key are refused."""
+    out = frame.withColumns({k: F.lower(F.trim(k)) if k == "group_name" else F.trim(k) for k in keys})
+    for k in keys:
+        out = out.where(F.col(k) != "")
+    return out
+
+
 def upsert_summaries(stored: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("entity", "group_name")) -> DataFrame:
-    """Keyed summaries with trimmed keys, the group in lower case; rows with a blank key are refused."""
-    def normal(frame: DataFrame) -> DataFrame:
-        out = frame.withColumns({k: F.lower(F.trim(k)) if k == "group_name" else F.trim(k) for k in keys})
-        for k in keys:
-            out = out.where(F.col(k) != "")
-        return out
-
-    return upsert(normal(stored), normal(incoming), keys, F.desc("updated_at"))
+    """Keyed summaries under normal keys, the newest row of each."""
+    return upsert(normal_summaries(stored, keys), normal_summaries(incoming, keys), keys, F.desc("updated_at"))
 
 
 def current_period(spark: SparkSession, start: Column, end: Column, label: str | None, updated_at: Column) -> DataFrame:
