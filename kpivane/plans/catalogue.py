@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (  # noqa: F401
-    queries_clusters, queries_cube, queries_features, queries_kpi, queries_signals, queries_store, queries_text,
+    queries_clusters, queries_cube, queries_features, queries_kpi, queries_learned, queries_signals, queries_store, queries_text,
 )
 from .registry import QUERIES, SQL, runner
 
