@@ -133,9 +133,9 @@ def bullet_items(text: Column) -> Column:
     return F.filter(bare, lambda p: p != "")
 
 
-def bullets(text: Column, most: int = 30) -> Column:
-    """One `• ` line per item, NULL without any."""
-    items = F.slice(bullet_items(text), 1, most)
+def bullets(text: Column, most: int | None = None) -> Column:
+    """One `• ` line per item, or for the first `most`; NULL without any."""
+    items = bullet_items(text) if most is None else F.slice(bullet_items(text), 1, most)
     lines = F.array_join(F.transform(items, lambda p: F.concat(F.lit("• "), p)), "\n")
     return F.when(F.size(items) > 0, lines)
 
@@ -149,10 +149,10 @@ def fixed_bullets(text: Column, count: int, padding: Sequence[str]) -> Column:
     return F.when(F.size(items) > 0, F.array_join(lines, "\n")).otherwise("")
 
 
-def tags(text: Column, most: int = 3) -> Column:
-    """The first few tags of a comma- or semicolon-separated list."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[,;]"), strip_space)
-    return F.array_join(F.slice(F.filter(parts, lambda p: p != ""), 1, most), ", ")
+def tags(text: Column, most: int | None = None) -> Column:
+    """The tags of a comma- or semicolon-separated list, or the first `most`."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,;]"), strip_space), lambda p: p != "")
+    return F.array_join(parts if most is None else F.slice(parts, 1, most), ", ")
 
 
 def first_words(text: Column, most: int) -> Column:

@@ -21,9 +21,12 @@ from .signals import stable_id
 # Longest WHY text of a cluster, and the smallest limit that may be configured.
 TEXT_LIMIT = 200_000
 LOWEST_TEXT_LIMIT = 1024
+# What stored texts hold at most; operators keep everything unless a caller passes these.
 MEMBER_CHARS = 4000
 DRIVER_ITEMS = 120
 DRIVER_CHARS = 2000
+KPI_ITEMS, KPI_CHARS = 700, 2000
+CANONICAL_CHARS = 400
 SUMMARY_LABELS = 16
 PLACEHOLDERS = ("", "NA", "N/A", "NULL")
 PORTFOLIO_LABEL = "KPI Portfolio"
@@ -148,11 +151,17 @@ def why_payload(whys: DataFrame) -> DataFrame:
     return whys.select("why_id", "signal_id", "kpi_name", why_payload_line().alias("line"))
 
 
-def first_labels(rows: DataFrame, keys: Sequence[str], label: str, count: int, out: str, ignore_case: bool = False) -> DataFrame:
-    """The first `count` distinct labels of each key in order, as an array, with the total count."""
+def first_labels(rows: DataFrame, keys: Sequence[str], label: str, count: int | None, out: str, ignore_case: bool = False) -> DataFrame:
+    """The distinct labels of each key in order, or the first `count`, as an array, with the total count."""
     distinct = rows.where(F.col(label) != "").select(*keys, label).distinct()
     order = [F.lower(label), F.col(label)] if ignore_case else [F.col(label)]
     total = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{out}_count"))
+    if count is None:
+        def plain(label_: Column) -> Column:
+            return F.transform(F.array_sort(label_), lambda s: s["__l"])
+
+        each = F.struct(*([F.lower(label).alias("__o")] if ignore_case else []), F.col(label).alias("__l"))
+        return distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{out}_count"), plain(F.collect_list(each)).alias(out))
     place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     firsts = (
         distinct.withColumn("__p", place).where(F.col("__p") <= count).groupBy(*keys)
@@ -162,33 +171,33 @@ def first_labels(rows: DataFrame, keys: Sequence[str], label: str, count: int, o
     return total.join(firsts, list(keys))
 
 
-def joined_members(signals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct members, sorted and joined, cut to the stored length.
+def joined_members(signals: DataFrame, keys: Sequence[str], chars: int | None = None) -> DataFrame:
+    """Distinct members, sorted and joined, with their number; the text may be cut to `chars`.
 
-    A member takes at least three characters with its separator, so more than a third of the
-    length can never show.
+    A member takes at least three characters with its separator, so of a cut text more than a third
+    of the length can never show.
     """
     rows = signals.select(*keys, clean("dimension_value").alias("__m"))
-    most = MEMBER_CHARS // 3 + 2
-    return first_labels(rows, keys, "__m", most, "__members").select(
+    joined = F.array_join("__members", ", ")
+    return first_labels(rows, keys, "__m", None if chars is None else chars // 3 + 2, "__members").select(
         *keys, F.col("__members_count").alias("member_count"),
-        F.left(F.array_join("__members", ", "), F.lit(MEMBER_CHARS)).alias("dimension_value"),
+        (joined if chars is None else F.left(joined, F.lit(chars))).alias("dimension_value"),
     )
 
 
-def driver_line(whys: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct drivers of each cluster as one line, capped in items and characters."""
+def driver_line(whys: DataFrame, keys: Sequence[str], items: int | None = None, chars: int | None = None) -> DataFrame:
+    """Distinct drivers of each cluster as one line, with their number; the line may be cut to `items` and `chars`."""
     name, label = clean("dep_kpi_name"), clean("dep_kpi_label")
     shown = (
         F.when((name != "") & (label != "") & (name != label), F.concat(label, F.lit(" (id="), name, F.lit(")")))
         .when(label != "", label).otherwise(name)
     )
-    listed = first_labels(whys.select(*keys, shown.alias("__driver")), keys, "__driver", DRIVER_ITEMS, "__drivers")
+    listed = first_labels(whys.select(*keys, shown.alias("__driver")), keys, "__driver", items, "__drivers")
     joined = F.array_join("__drivers", ", ")
     return listed.select(
         *keys, F.col("__drivers_count").alias("driver_count"),
-        F.when(F.length(joined) > DRIVER_CHARS, F.concat(F.left(joined, F.lit(DRIVER_CHARS - 1)), F.lit("…")))
-        .otherwise(joined).alias("drivers"),
+        (joined if chars is None else F.when(F.length(joined) > chars, F.concat(F.left(joined, F.lit(chars - 1)), F.lit("…")))
+         .otherwise(joined)).alias("drivers"),
     )
 
 
@@ -216,10 +225,12 @@ def cluster_lines(signals: DataFrame, whys: DataFrame) -> DataFrame:
     return dedupe_whys(whys).join(owner, "signal_id").withColumn("line", why_line())
 
 
-def standard_clusters(signals: DataFrame, whys: DataFrame, limit: int | None = None, ids: bool = False) -> DataFrame:
+def standard_clusters(
+    signals: DataFrame, whys: DataFrame, limit: int | None = None, ids: bool = False, member_chars: int | None = None,
+) -> DataFrame:
     """One cluster per KPI and dimension; `kept` tells whether its WHY text passes the size gate.
 
-    `ids` adds the joined signal ids, see `joined_ids`.
+    `ids` adds the joined signal ids, see `joined_ids`; `member_chars` cuts the text of members, not their number.
     """
     most = text_limit(limit)
     keys = ["kpi_name", "dimension"]
@@ -232,7 +243,7 @@ def standard_clusters(signals: DataFrame, whys: DataFrame, limit: int | None = N
     if ids:
         counts = counts.join(joined_ids(signals, keys), keys)
     return (
-        counts.join(joined_members(signals, keys), keys, "left").join(sizes, keys, "left")
+        counts.join(joined_members(signals, keys, member_chars), keys, "left").join(sizes, keys, "left")
         .select(
             stable_id(F.lit("standard"), F.col("kpi_name"), F.col("dimension")).alias("cluster_id"),
             F.lit("alpha").alias("cluster_type"), "kpi_name", F.col("dimension").alias("dimension_name"),
@@ -254,13 +265,13 @@ def skip_report(clusters: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def canonical_member(bucket: Column, values: Column) -> Column:
+def canonical_member(bucket: Column, values: Column, chars: int | None = None) -> Column:
     """A single real member wins; then the bucket's own; then all real members joined."""
-    own = F.trim(F.coalesce(bucket, F.lit("")))
+    own, joined = F.trim(F.coalesce(bucket, F.lit(""))), F.array_join(F.array_sort(values), ", ")
     return (
         F.when(F.size(values) == 1, F.element_at(values, 1))
         .when(~F.upper(own).isin(*PLACEHOLDERS), own)
-        .when(F.size(values) > 1, F.left(F.array_join(F.array_sort(values), ", "), F.lit(400)))
+        .when(F.size(values) > 1, joined if chars is None else F.left(joined, F.lit(chars)))
         .otherwise(own)
     )
 
@@ -284,9 +295,12 @@ def bucket_rows(signals: DataFrame, whys: DataFrame, dims: Sequence[str], batch:
 
 def dimensional_clusters(
     signals: DataFrame, whys: DataFrame, dims: Sequence[str], limit: int | None = None, batch: Column | None = None,
-    ids: bool = False,
+    ids: bool = False, kpi_items: int | None = None, kpi_chars: int | None = None,
 ) -> DataFrame:
-    """One cluster per slice and window; `ids` adds the joined signal ids, see `joined_ids`."""
+    """One cluster per slice and window; `ids` adds the joined signal ids, see `joined_ids`.
+
+    `kpi_items` and `kpi_chars` cut the text of KPI names.
+    """
     most = text_limit(limit)
     # A line counts by its length and its hash, so its text is in no shuffle.
     rows = bucket_rows(signals, whys, dims, batch).select(
@@ -300,7 +314,9 @@ def dimensional_clusters(
     )
     if ids:
         found = found.join(joined_ids(rows, BUCKET), BUCKET)
-    names = F.left(F.array_join(F.slice("kpis", 1, 700), ", "), F.lit(2000))
+    names = F.array_join("kpis" if kpi_items is None else F.slice("kpis", 1, kpi_items), ", ")
+    if kpi_chars is not None:
+        names = F.left(names, F.lit(kpi_chars))
     return found.select(
         stable_id(F.lit("dimensional"), *[F.col(c) for c in BUCKET]).alias("cluster_id"),
         F.lit("dimensional").alias("cluster_type"), F.when(F.size("kpis") > 0, names).otherwise("—").alias("kpi_name"),

@@ -211,6 +211,8 @@ class Star:
     dimensions: tuple[Dimension, ...]
     kpis: tuple[Kpi, ...]
     links: dict[str, Link] = field(default_factory=dict)
+    #: KPIs that give the values of features read from a column, such as `discount_depth`.
+    sources: dict[str, str] = field(default_factory=dict)
 
     def kpi(self, name: str) -> Kpi:
         found = next((k for k in self.kpis if k.name.lower() == name.strip().lower()), None)

@@ -14,9 +14,9 @@ from ..sources.config import SIGNAL_ALIASES, Job, SignalDef, inline_rows, signal
 from ..sources.stage import settled
 from .features import (
     FEATURES, add_period_stats, add_rank, add_series_features, benchmark_variance, feature_def,
-    feature_key, kpi_series,
+    feature_key, kpi_series, pass_through,
 )
-from .model import SELF, CatalogueError, Star, is_self
+from .model import SELF, CatalogueError, Star, Value, is_self
 from .query import grouped_long, job_filters
 from .snapshot import Comparison, filtered_star
 
@@ -89,10 +89,13 @@ def feature_table(
     series = [f for f in wanted if feature_def(f).kind == "series"]
     cross = [f for f in wanted if feature_def(f).kind == "cross"]
     plan = Comparison(star, kpis, window, compared)
-    wide = grouped_long(filtered_star(star, tables, dims, plan.windows, filters), star, dims, plan.values())
+    read = star.sources.get("discount_depth") if "discount_depth" in cross else None
+    more = [Value(f"{read}__0", star.kpi(read).measure, window)] if read and read not in kpis else []
+    wide = grouped_long(filtered_star(star, tables, dims, plan.windows, filters), star, dims, [*plan.values(), *more])
     if cross or series:
         wide = settled(wide)
-    now = wide.select("dimension", "dimension_value", F.inline(F.array(*[
+    depth = [F.col(f"{read}__0").alias("discount_depth")] if read else []
+    now = wide.select("dimension", "dimension_value", *depth, F.inline(F.array(*[
         F.struct(F.lit(k).alias("kpi_name"), F.col(f"{k}__0").alias("kpi_value")) for k in kpis
     ]))).where("kpi_value is not null")
     parts = []
@@ -112,7 +115,7 @@ def feature_table(
 
 
 def cross_section(now: DataFrame, features: Sequence[str], benchmark: float | None = None) -> DataFrame:
-    """Features that compare the members of one window."""
+    """Features that compare the members of one window, or read a column of it."""
     keys = ("kpi_name", "dimension")
     frame = now
     value: dict[str, Column] = {}
@@ -123,6 +126,7 @@ def cross_section(now: DataFrame, features: Sequence[str], benchmark: float | No
         frame = add_period_stats(frame, within=keys)
         value |= {"z_score": F.col("z_score"), **{n: F.col("mix") for n in MIX_NAMES}}
     value["benchmark_variance"] = F.round(benchmark_variance(F.col("kpi_value"), benchmark), 2)
+    value["discount_depth"] = pass_through(frame, "discount_depth")
     value["self_kpi_value"] = F.round(F.when(F.col("dimension") == SELF, F.col("kpi_value")), 2)
     rows = F.array(*[
         F.struct(F.lit(f).alias("feature_name"), value.get(f, F.lit(None).cast("double")).alias("feature_value"))

@@ -46,7 +46,7 @@ LEFT JOIN (SELECT ck, cd, count(*) AS n, length(string_agg(line, chr(10))) AS ch
 def cluster_standard(t: Tables) -> DataFrame:
     """One cluster per KPI and dimension."""
     signals = stored_signals(t)
-    return cl.standard_clusters(signals, stored_whys(t, signals), ids=True)
+    return cl.standard_clusters(signals, stored_whys(t, signals), ids=True, member_chars=cl.MEMBER_CHARS)
 
 
 @query("cluster_size_gate", f"""WITH {_standard(SMALL_GATE)} SELECT cluster_id, kpi_name, dimension_name, why_chars,
@@ -69,7 +69,8 @@ FROM owned WHERE lower(cd) IN ('priority', 'segment') GROUP BY cd, cv, period_st
 def cluster_dimensional(t: Tables) -> DataFrame:
     """One cluster per slice and window, for two allowed dimensions."""
     signals = stored_signals(t)
-    return cl.dimensional_clusters(signals, stored_whys(t, signals), ["Priority", " SEGMENT", "brand"], ids=True)
+    return cl.dimensional_clusters(signals, stored_whys(t, signals), ["Priority", " SEGMENT", "brand"], ids=True,
+                                   kpi_items=cl.KPI_ITEMS, kpi_chars=cl.KPI_CHARS)
 
 
 @query("cluster_signal_ids", f"""WITH {_LINES} SELECT DISTINCT sha256(concat_ws('|', 'standard', kpi_name, dimension)) AS cluster_id, 'alpha' AS cluster_type, signal_id FROM sig
@@ -130,7 +131,7 @@ def cluster_drivers(t: Tables) -> DataFrame:
     signals = stored_signals(t)
     lines = cl.cluster_lines(signals, stored_whys(t, signals)).drop("kpi_name")
     keyed = lines.withColumnRenamed("cluster_kpi", "kpi_name").withColumnRenamed("cluster_dim", "dimension")
-    return cl.driver_line(keyed, ["kpi_name", "dimension"])
+    return cl.driver_line(keyed, ["kpi_name", "dimension"], cl.DRIVER_ITEMS, cl.DRIVER_CHARS)
 
 
 @query("cluster_slice_summary", f"""WITH {HISTORY}, lab AS (SELECT DISTINCT severity, dimension || ' — ' || dimension_value AS l FROM hist),
@@ -182,7 +183,7 @@ def cluster_members(t: Tables) -> DataFrame:
     """Canonical label per slice when the bucket's own value is a placeholder."""
     grouped = signal_history(t).where("dimension = 'nation'").groupBy("dimension_value").agg(
         F.count(F.lit(1)).alias("signal_count"), F.collect_set("signal_name").alias("names"))
-    return grouped.select("dimension_value", "signal_count", cl.canonical_member(F.lit("N/A"), F.col("names")).alias("canonical"))
+    return grouped.select("dimension_value", "signal_count", cl.canonical_member(F.lit("N/A"), F.col("names"), cl.CANONICAL_CHARS).alias("canonical"))
 
 
 # --- groups -----------------------------------------------------------------------------------

@@ -316,6 +316,16 @@ def signal_all_jobs(t: Tables) -> DataFrame:
     return _shown(sg.detect_jobs(t.spark, STARS, t, JOBS, DEFINITIONS, APRIL, F.lit(RUN_AT), top_n=False))
 
 
+@query("signal_discount_depth", f"""WITH {q.LS}, g AS ({q.by_each('ls', q.pick(q.LINE_COLUMNS, 'brand', 'return_flag'), f"{q.line_kpi('revenue')} AS c, {q.line_kpi('avg_discount')} AS v", q.ld(q.APRIL))})
+SELECT 20 AS job_id, 'revenue' AS kpi_name, dimension, dimension_value, 'deep_discount' AS signal_name, round(v, 2) AS feature_value, round(c, 2) AS current_kpi_value,
+  round(v - 0.05, 2) AS breach_delta FROM g WHERE v > 0.05""")
+def signal_discount_depth(t: Tables) -> DataFrame:
+    """A job on a feature that is read from another KPI of the star."""
+    deep = cf.SignalDef("deep_discount", "discount_depth", "gt", 0.05, None, "info")
+    jobs = [cf.Job(20, "revenue", ("brand", "return_flag"), ("deep_discount",))]
+    return _shown(sg.detect_jobs(t.spark, STARS, t, jobs, [deep], APRIL, F.lit(RUN_AT)))
+
+
 def _shown(found: DataFrame) -> DataFrame:
     return found.select("job_id", "kpi_name", "dimension", "dimension_value", "signal_name", "feature_value",
                         "current_kpi_value", "breach_delta")
@@ -371,9 +381,7 @@ def signal_history(t: Tables) -> DataFrame:
     grown = ft.add_series_features(monthly, {"feature_value": (ft.growth_pct, {})})
     series = ft.Series()
     values = grown.withColumns({
-        "prior_value": series.lag(F.col("kpi_value")), "job_id": F.lit(9),
-        # Not a literal: the join with the definitions keeps its key.
-        "feature_name": F.explode(F.array(F.lit("mom_growth_pct"))),
+        "prior_value": series.lag(F.col("kpi_value")), "job_id": F.lit(9), "feature_name": F.lit("mom_growth_pct"),
     })
     hits = sg.detect(values, cf.signal_defs_frame(t.spark, DEFINITIONS))
     end = F.last_day("period_start")

@@ -104,7 +104,7 @@ def bullet_normalize(t: Tables) -> DataFrame:
     items = tx.bullet_items(text)
     five = F.slice(F.concat(items, F.array_repeat(F.lit("pad"), 5)), 1, 5)
     return t("documents").select(
-        "doc_id", tx.bullets(text).alias("lines"),
+        "doc_id", tx.bullets(text, 30).alias("lines"),
         F.array_join(F.transform(five, lambda p: F.concat(F.lit("• "), p)), "\n").alias("five"),
         tx.first_words(text, 18).alias("title"))
 
@@ -116,7 +116,7 @@ def tag_cap(t: Tables) -> DataFrame:
     n, flag, status = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus")
     raw = F.when(n % 3 == 0, " ; ,").when(n % 3 == 1, F.concat(flag, F.lit(" ;"), status)).otherwise(
         F.concat(flag, F.lit(","), status, F.lit(",, third ; fourth, fifth")))
-    return t("lineitem").select("l_orderkey", "l_linenumber", tx.tags(raw).alias("tags"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", tx.tags(raw, 3).alias("tags"))
 
 
 @query("period_mention", """WITH m AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Sales rose on 1998-04-02' WHEN 1 THEN 'Sales rose' WHEN 2 THEN 'Sales rose.' ELSE ' ' END AS t,

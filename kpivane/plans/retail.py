@@ -43,7 +43,7 @@ ORDERS = Star(
 )
 
 LINES = Star(
-    name="lines_star", fact="lineitem", date_column="l_shipdate",
+    name="lines_star", fact="lineitem", date_column="l_shipdate", sources={"discount_depth": "avg_discount"},
     links={"part": PART, "supplier": SUPPLIER},
     dimensions=(
         Dimension("brand", "p_brand", ("part",)),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.periods import Window
-from ..operators.clusters import dimensional_clusters, rollup_clusters, standard_clusters
+from ..operators.clusters import MEMBER_CHARS, dimensional_clusters, rollup_clusters, standard_clusters
 from ..operators.features import feature_def
 from ..operators.model import Star, is_self
 from ..operators.signals import detect_jobs, plan_jobs
@@ -82,7 +82,7 @@ def run(
     kpis = signals.select("kpi_name").distinct()
     return Results(
         signals, whys,
-        store("standard", standard_clusters(signals, whys)),
+        store("standard", standard_clusters(signals, whys, member_chars=MEMBER_CHARS)),
         store("dimensional", dimensional_clusters(signals, whys, cluster_dims)),
         store("rollup", rollup_clusters(signals, whys, kpis, F.lit(window.start), F.lit(window.end))),
     )

@@ -130,7 +130,7 @@ def test_bullets_tags_words(apply):
     assert apply(tx.bullets, "a\nb\nc", 2) == "• a\n• b" and apply(tx.bullets, " \n") is None
     assert apply(tx.fixed_bullets, "1. call them", 3, ("pad",)) == "• call them\n• pad\n• pad"
     assert apply(tx.fixed_bullets, "", 3, ("pad",)) == ""
-    assert apply(tx.tags, "a; b,,c, d") == "a, b, c"
+    assert apply(tx.tags, "a; b,,c, d", 3) == "a, b, c" and apply(tx.tags, "a; b,,c, d") == "a, b, c, d"
     assert apply(tx.first_words, "  a  b\nc d", 3) == "a b c"
 
 
