@@ -33,7 +33,7 @@ LANDMARKS = 160
 SPAN = 6
 DECAY = 0.6
 STARTS = 6
-ROUNDS = 8
+ROUNDS = 6
 #: Bound of the training windows around seeds (evenly thinned beyond), like MOST_ROWS for texts.
 SEED_WINDOWS = 10_000
 WINDOW = STARTS + SPAN
@@ -155,31 +155,41 @@ def scores(judge: Judge, table: np.ndarray, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(judge.slope * best + judge.shift, -30, 30)))
 
 
-def _words(text: str) -> Iterator[tuple[int, str]]:
-    """Words of a text with their places, lower-cased: what white space sets apart, and in runs of signs that stand
-    for syllables or words every piece of two to four of them. Only words that hold a subsequence count."""
-    if len(low := text.lower()) != len(text):
-        low = text
-    first, second = alphabet()
-    at = 0
+def _lower(text: str) -> str:
+    """Lower case, where that leaves every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text
+
+
+def _placed_words(text: str, known: set[str]) -> list[int]:
+    """Places of the words in `known`."""
+    low, at, out = _lower(text), 0, []
     for word in low.split():
         at = low.index(word, at)
-        points = _points(word)
-        wide = second[points] != DROPPED
-        if wide.any():
-            for size in (2, 3, 4):
-                for i in np.flatnonzero([wide[i : i + size].all() for i in range(len(word) - size + 1)]).tolist():
-                    yield at + i, word[i : i + size]
-        elif (first[points] != DROPPED).sum() >= 3:
-            yield at, word
+        out += [at + i for i, piece in _pieces(word) if piece in known]
         at += len(word)
+    return out
+
+
+@lru_cache(maxsize=1 << 18)
+def _pieces(word: str) -> tuple[tuple[int, str], ...]:
+    """What a word counts as, with the place in it: itself, or every piece of two to four signs in runs of signs that
+    stand for syllables or words; nothing if it holds no subsequence."""
+    if max(word) < "\u1100":  # no such signs
+        return ((0, word),) if sum(c.isalnum() or c in LOOK_ALIKE for c in word) >= 3 else ()
+    first, second = alphabet()
+    points = _points(word)
+    wide = second[points] != DROPPED
+    if wide.any():
+        return tuple((i, word[i : i + n]) for n in (2, 3, 4) for i in range(len(word) - n + 1) if wide[i : i + n].all())
+    return ((0, word),) if (first[points] != DROPPED).sum() >= 3 else ()
 
 
 def _seeds(texts: list[str], label: np.ndarray) -> tuple[list[str], list[str]]:
     """Words of the toxic texts that others hardly have, by how many texts they tell; and common other words."""
     has = (Counter(), Counter())
     for text, y in zip(texts, label, strict=True):
-        has[int(y)].update({w for _, w in _words(text)})
+        has[int(y)].update({piece for word in set(_lower(text).split()) for _, piece in _pieces(word)})
     n = [max(1, int((label == k).sum())) for k in (0, 1)]
 
     def strength(w: str) -> float:
@@ -292,13 +302,17 @@ def fit(texts: list[str], label: np.ndarray, prior: float, seed_windows: int = S
             starts = rng.integers(WINDOW, max(WINDOW + 1, len(codes) - WINDOW), 6)
             bad.append(_cut(codes, starts))
             continue
-        good.append(_cut(codes, np.array([place[WINDOW + at] for at, w in _words(text) if w in known], np.int64)))
+        good.append(_cut(codes, np.array([place[WINDOW + at] for at in _placed_words(text, known)], np.int64)))
     found = np.concatenate(good)
-    good = [found[:: max(1, -(-len(found) // seed_windows))]]
+
+    def features(cut: np.ndarray) -> np.ndarray:
+        return (_kernel(cut, number, marks) @ root).astype(np.float32)
+
+    ones, zeros = [features(found[:: max(1, -(-len(found) // seed_windows))])], [features(np.concatenate(bad))]
     for _ in range(ROUNDS):
-        ones, zeros = np.concatenate(good), np.concatenate(bad)
-        y = np.repeat([1, 0], [len(ones), len(zeros)])
-        w = _machine(_kernel(np.concatenate([ones, zeros]), number, marks) @ root, y)
+        x = np.concatenate([*ones, *zeros])
+        y = np.repeat([1, 0], [sum(map(len, ones)), sum(map(len, zeros))])
+        w = _machine(x, y)
         judge = Judge(number, (marks @ (root @ w[:-1])).astype(np.float32), 1.0, float(w[-1]))
         table, best, worst = judge.table(), np.zeros(len(texts)), []
         for i, text in enumerate(texts):
@@ -307,8 +321,9 @@ def fit(texts: list[str], label: np.ndarray, prior: float, seed_windows: int = S
             best[i] = each.max()
             worst.append(_cut(codes, np.array([np.argmax(each)])))
         # Each text's worst window decides about it: those of the other texts are the hard cases.
-        bad += [worst[i] for i in np.flatnonzero(label == 0)]
-        good += [worst[i] for i in np.flatnonzero((label == 1) & (best + w[-1] > -0.5))]
+        hard = features(np.concatenate(worst))
+        zeros.append(hard[label == 0])
+        ones.append(hard[(label == 1) & (best + w[-1] > -0.5)])
     slope, shift = _logistic(best, label)
     share = np.clip(label.mean(), 1e-6, 1 - 1e-6)
     shift += np.log((prior + 1e-9) / (1 - prior + 1e-9)) - np.log(share / (1 - share))
