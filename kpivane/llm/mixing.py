@@ -103,7 +103,7 @@ def fitted(
     Minimises the misses (S - T)' W (S - T) of the expected tokens S from the targets T over rates from 0 to
     `most`, from the rate 1 on. W is the inverse of sum(tokens x p x p'): with it the step 1 never
     overshoots, and is exact while no rate is cut. The fit ends when all targets are met to `tolerance`, or,
-    where the bounds make them unreachable, when a step changes nothing any more.
+    where the bounds make them unreachable, when a step changes no sum by more than `tolerance` of its target.
     """
     size = range(len(DOMAINS))
     p = [F.get("p", F.lit(k)) for k in size]
@@ -127,7 +127,7 @@ def fitted(
         if step % STEPS_A_TABLE == 0:
             now = settled(now)
         before, have = have, sums(now)
-        if (np.abs(have - before) <= 1e-3 * tolerance * scale).all():
+        if (np.abs(have - before) <= tolerance * scale).all():
             break
     return settled(now)
 
