@@ -2,8 +2,9 @@
 
 A cube has one row for each day, set of dimensions, members and bucket of distinct keys. `set` names the
 dimensions of the row (`segment`, `priority,segment`, or nothing for the total), their columns hold the
-members as text and are NULL outside the set. The parts are exact sums, counts and bitmaps: they merge over
-days, so a window is a sum of days and a changed day is replaced alone.
+members as text and are NULL outside the set. The parts are exact sums, counts and the bits of 64 keys (a
+bucket), as a member has few of all keys on one day: they merge over days, so a window is a sum of days and a
+changed day is replaced alone.
 """
 
 from __future__ import annotations
@@ -62,11 +63,14 @@ def day_cube(
     counted = {p.expr: p for p in parts if p.kind == "distinct"}
     if len(counted) > 1 or any(not p.scale for p in counted.values()):
         raise ValueError("a cube holds distinct counts of one whole-number key")
-    bucket = next((p.bucket() for p in counted.values()), F.lit(0).cast("bigint"))
+    bucket = next((p.word() for p in counted.values()), F.lit(0).cast("bigint"))
     keys = [dim_key(star.dimension(d)).cast("string").alias(d) for d in real]
-    first = frame.groupBy(dated.cast("date").alias("day"), bucket.alias("bucket"), *keys).agg(*[p.mergeable().alias(p.name) for p in parts])
+    first = frame.groupBy(dated.cast("date").alias("day"), bucket.alias("bucket"), *keys).agg(*[p.worded().alias(p.name) for p in parts])
+    # Each row is repeated for every set in one task, so the tasks stay as many as the session asks for, however well
+    # the rows compress.
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["day", "bucket", *real]
-    grouped = for_sets(first, names, ["day", "bucket"], sets, [p.merged(F.col(p.name)).alias(p.name) for p in parts])
+    grouped = for_sets(first.repartition(tasks, "day", "bucket"), names, ["day", "bucket"], sets, [p.words_merged(F.col(p.name)).alias(p.name) for p in parts])
     label = F.create_map(*[F.lit(x) for s in sets for x in (grouping_bits(names, ["day", "bucket", *s]), set_name(s))])
     shown = grouped.withColumn("set", F.element_at(label, F.col("__gid").cast("int")))
     return shown.select("day", "set", "bucket", *real, *[p.name for p in parts])
@@ -88,10 +92,10 @@ def merged_values(cube: DataFrame, star: Star, kpis: Sequence[str], keys: Sequen
     slots = [(p, n) for p in parts for n in hits]
     plain = [(p, n) for p, n in slots if p.kind != "distinct"]
     if len(plain) == len(slots):
-        summed = cube.groupBy(*keys).agg(*[p.merged(value(p, hits[n])).alias(held(p, n)) for p, n in slots])
+        summed = cube.groupBy(*keys).agg(*[p.words_merged(value(p, hits[n])).alias(held(p, n)) for p, n in slots])
     else:
-        by_bucket = cube.groupBy(*keys, "bucket").agg(*[p.merged(value(p, hits[n])).alias(held(p, n)) for p, n in slots])
-        summed = by_bucket.groupBy(*keys).agg(*[p.closed(F.col(held(p, n))).alias(held(p, n)) for p, n in slots])
+        by_bucket = cube.groupBy(*keys, "bucket").agg(*[p.words_merged(value(p, hits[n])).alias(held(p, n)) for p, n in slots])
+        summed = by_bucket.groupBy(*keys).agg(*[p.words_closed(F.col(held(p, n))).alias(held(p, n)) for p, n in slots])
     finished = [star.kpi(k).measure.finish(lambda p, n=n: F.col(held(p, n))).alias(f"{k}__{n}") for k in kpis for n in hits]
     return summed.select(*keys, *finished)
 

@@ -67,6 +67,25 @@ class Part:
         """The part itself from the values of all buckets."""
         return F.sum(F.bitmap_count(value)) if self.kind == "distinct" else F.sum(value)
 
+    def word(self) -> Column:
+        """Which word of 64 keys a row's key belongs to."""
+        return F.shiftright(F.expr(self.expr).cast("bigint"), 6)
+
+    def worded(self) -> Column:
+        """`mergeable` with words in place of bitmaps: a number holds the keys of a word, so few keys take little room."""
+        if self.kind != "distinct":
+            return self.mergeable()
+        bit = F.expr(self.expr).cast("bigint").bitwiseAND(F.lit(63)).cast("int")
+        return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+
+    def words_merged(self, value: Column) -> Column:
+        """`worded` values of the same word put together."""
+        return F.bit_or(value) if self.kind == "distinct" else F.sum(value)
+
+    def words_closed(self, value: Column) -> Column:
+        """The part itself from the values of all words."""
+        return F.sum(F.bit_count(value)) if self.kind == "distinct" else F.sum(value)
+
 
 class Measure:
     """An aggregate that can be restricted to the rows where a predicate holds.

@@ -74,6 +74,17 @@ def test_cube_of_odd_rows(spark):
         cb.day_cube(STAR, facts(spark, ROWS), ["plain_keys"], [("c",)])
 
 
+def test_few_keys_of_many_take_little_room(spark):
+    rows = [(date(2024, 1, 1 + i % 20), (i * 2_654_435_761 + 63) % 5_000_000 - 9, "xyz"[i % 3], 1.0) for i in range(600)]
+    cube = cb.day_cube(STAR, facts(spark, rows), NAMES, cb.cube_sets(["c", "SELF"]))
+    assert "binary" not in {f.dataType.simpleString() for f in cube.schema}
+    assert "SortAggregate" not in cube._jdf.queryExecution().executedPlan().toString()
+    whole = cb.merged_values(cube, STAR, ["keys"], ["set", "c"], {"all": None, "first": F.col("day") == F.lit("2024-01-01").cast("date")})
+    keys = {(s, c): {r[1] for r in rows if c in (None, r[2])} for s, c in (("", None), ("c", "x"), ("c", "y"), ("c", "z"))}
+    first = {(s, c): {r[1] for r in rows if c in (None, r[2]) and r[0].day == 1} for s, c in keys}
+    assert {(r["set"], r["c"]): (r["keys__all"], r["keys__first"]) for r in whole.collect()} == {k: (len(keys[k]), len(first[k]) or None) for k in keys}
+
+
 def folders(path):
     return {name: sorted(os.listdir(f"{path}/{name}")) for name in os.listdir(path) if name.startswith("part=")}
 
