@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.periods import week_start
+from ..sources.stage import settled
 from .cube import cube_series, cube_sets, day_cube, members_of, merged_values, of_sets, set_name
 from .model import Star, is_self
 from .signals import stable_id
@@ -77,7 +78,8 @@ def fit_priors(
     A pair with fewer than three weeks, or without any spread, has no prior. `is_active` is for p-values up
     to `max_p_value`; `replace_version` retires the rows of other versions.
     """
-    found = lagged_moments(weekly_levels(cube, star, kpis, dims), kpis, lags).where("n > 2 and r is not null")
+    # The levels are few rows that meet themselves: written once, the facts are read once.
+    found = lagged_moments(settled(weekly_levels(cube, star, kpis, dims)), kpis, lags).where("n > 2 and r is not null")
     r, freedom = F.col("r"), (F.col("n") - 2)
     t = r * F.sqrt(freedom / F.greatest(1 - r * r, F.lit(1e-300)))
     tested = found.withColumn("p_value", F.round(two_sided_p(t, freedom), 6))
