@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import bind, replace_all, rewrite, strip_space, unix_lines
+from .text import bind, replace_all, replace_where, rewrite, strip_space, unix_lines
 
 # Patterns of the markup format.
 INVISIBLE = "[\ufeff\u200b\u200c\u200d\u2060]"
@@ -14,15 +14,16 @@ LINE_STAR = r"(?m)^\*(?!\*)\s*"
 BULLET_STAR = r"•\s*\*(?!\*)"
 
 # What is set in bold, in this order - ISO dates, points, percentages, money,
-# grouped numbers, decimals - and the removal of empty pairs.
-BOLD_RULES: tuple[tuple[str, str], ...] = (
-    (r"(?<!\*)(\b\d{4}-\d{2}-\d{2}\b)(?!\*)", "**$1**"),
-    (r"(?i)(?<!\*)(?<![\d.])([+-]?\d+(?:\.\d+)?)\s*(pp)\b", "**$1 $2**"),
-    (r"(?<!\*)([+-]?\d+(?:,\d{3})*(?:\.\d+)?%)(?!\*)", "**$1**"),
-    (r"(?<!\*)(\$\s*[+-]?\d+(?:,\d{3})*(?:\.\d+)?)(?!\*)", "**$1**"),
-    (r"(?<!\*)(?<![\d.])([+-]?\d{1,3}(?:,\d{3})+)(?!\*)", "**$1**"),
-    (r"(?<!\*)(?<![\d.])([+-]?\d+\.\d+)(?![\d%*])(?!\*)", "**$1**"),
-    (r"\*\*\s*\*\*", ""),
+# grouped numbers, decimals - and the removal of empty pairs. Each rule begins with the sign that every match
+# holds; the first test of a pattern is one character, as it is made at every place of a text.
+BOLD_RULES: tuple[tuple[str, str, str], ...] = (
+    ("-", r"(?=\d)(?<!\*)(\b\d{4}-\d{2}-\d{2}\b)(?!\*)", "**$1**"),
+    ("", r"(?i)(?=[+\-\d])(?<!\*)(?<![\d.])([+-]?\d+(?:\.\d+)?)\s*(pp)\b", "**$1 $2**"),
+    ("%", r"(?=[+\-\d])(?<!\*)([+-]?\d+(?:,\d{3})*(?:\.\d+)?%)(?!\*)", "**$1**"),
+    ("$", r"(?=\$)(?<!\*)(\$\s*[+-]?\d+(?:,\d{3})*(?:\.\d+)?)(?!\*)", "**$1**"),
+    (",", r"(?=[+\-\d])(?<!\*)(?<![\d.])([+-]?\d{1,3}(?:,\d{3})+)(?!\*)", "**$1**"),
+    (".", r"(?=[+\-\d])(?<!\*)(?<![\d.])([+-]?\d+\.\d+)(?![\d%*])(?!\*)", "**$1**"),
+    ("**", r"\*\*\s*\*\*", ""),
 )
 
 # What may stand between a dimension's name and its member.
@@ -31,14 +32,15 @@ NO_NAME = ("n/a", "na", "—", "-")
 
 
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, INVISIBLE, "")
+    # Each of them takes three bytes, so a text of one-byte characters has none.
+    return bind(text, lambda t: F.when(F.octet_length(t) > F.length(t), F.regexp_replace(t, INVISIBLE, "")).otherwise(t))
 
 
 def repair_bold(text: Column) -> Column:
     """Undo bold around a single leading letter of a word, and drop escaped stars."""
     # A letter is freed when what follows it, once the lower-case letters after it are freed, is lower case.
-    single = F.regexp_replace(unix_lines(text), r"\*\*([A-Za-z])\*\*(?=(?:\*\*[a-z]\*\*)*+[a-z])", "$1")
-    return F.regexp_replace(single, r"\\+\*{1,2}", "")
+    single = replace_where(unix_lines(text), "**", r"\*\*([A-Za-z])\*\*(?=(?:\*\*[a-z]\*\*)*+[a-z])", "$1")
+    return replace_where(single, "\\*", r"\\+\*{1,2}", "")
 
 
 def strip_title(text: Column) -> Column:
@@ -47,23 +49,34 @@ def strip_title(text: Column) -> Column:
     return strip_space(F.regexp_replace(bare, r"\s{2,}", " "))
 
 
+def _bullets(text: Column) -> Column:
+    """A star at the start of a line, or after a bullet, as a bullet."""
+    return bind(text, lambda t: F.when(F.contains(t, F.lit("*")), replace_all(t, [(LINE_STAR, "• "), (BULLET_STAR, "• ")])).otherwise(t))
+
+
 def normalize_bullets(text: Column) -> Column:
     """`•` for list lines, and no bold left for the next pass to trip over."""
     def marked(clean: Column) -> Column:
-        out = replace_all(clean, [(LINE_STAR, "• "), (BULLET_STAR, "• "), (r"(?m)^(•\s*)\*(?!\*)", "$1")])
-        out = F.replace(F.regexp_replace(out, r"\*\*([^*]+?)\*\*", "$1"), F.lit("**"), F.lit(""))
+        out = _bullets(clean)
+        out = F.when(F.contains(clean, F.lit("*")), F.replace(replace_where(
+            F.regexp_replace(out, r"(?m)^(•\s*)\*(?!\*)", "$1"), "**", r"\*\*([^*]+?)\*\*", "$1"), F.lit("**"), F.lit(""))).otherwise(clean)
         return F.when(F.trim(clean) == "", clean).otherwise(out)
 
     return bind(unix_lines(strip_invisible(text)), marked)
 
 
+def _in_bold(piece: Column) -> Column:
+    for sign, pattern, replacement in BOLD_RULES:
+        piece = replace_where(piece, sign, pattern, replacement) if sign else F.regexp_replace(piece, pattern, replacement)
+    return piece
+
+
 def bold_numbers(text: Column) -> Column:
     """Dates, numbers and amounts in bold; text that is bold already stays as it is."""
     def marked(clean: Column) -> Column:
-        ready = replace_all(repair_bold(clean), [(LINE_STAR, "• "), (BULLET_STAR, "• ")])
         done = rewrite(
-            ready, BOLD, lambda b: b,
-            lambda p: F.when(p.rlike(r"\d"), replace_all(p, BOLD_RULES)).otherwise(p),
+            _bullets(repair_bold(clean)), BOLD, lambda b: b,
+            lambda p: F.when(p.rlike(r"\d"), _in_bold(p)).otherwise(p),
         )
         return F.when(F.trim(clean) == "", clean).otherwise(done)
 
@@ -125,10 +138,12 @@ def highlight(text: Column, name: Column, value: Column) -> Column:
     """Slice phrases in bold, whole words only, outside what is bold already."""
     def pattern(phrase: Column) -> Column:
         quoted = F.regexp_replace(phrase, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-        return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?<!(?<!\*)\*)"), quoted, F.lit(r"(?![\p{L}\p{N}])"))
+        # The phrase is looked for first: what stands before it is tested only where it stands.
+        return F.concat(F.lit("(?iu)(?="), quoted, F.lit(r")(?<![\p{L}\p{N}])(?<!(?<!\*)\*)"), quoted, F.lit(r"(?![\p{L}\p{N}])"))
 
     def wrap(acc: Column, phrase: Column) -> Column:
-        return rewrite(acc, BOLD, lambda b: b, lambda p: F.regexp_replace(p, pattern(phrase), F.lit("**$0**")))
+        return bind(pattern(phrase), lambda whole: rewrite(
+            acc, BOLD, lambda b: b, lambda p: F.regexp_replace(p, whole, F.lit("**$0**"))))
 
     def wrapped(ready: Column) -> Column:
         # Wrapping adds stars only, so a phrase that the text lacks at first never appears later.
@@ -168,8 +183,8 @@ def _title_line(line: Column) -> Column:
 
 def _section_row(line: Column) -> Column:
     """Kind of a trimmed line (bullet, header, paragraph) and how it is shown."""
-    bullet, dashed = line.startswith("•"), line.rlike(r"^[\-*]\s+\S")
-    wrapped, bold = line.rlike(WRAPPED_HEADER), line.rlike(BOLD_LINE)
+    bullet, dashed = line.startswith("•"), F.left(line, F.lit(1)).isin("-", "*") & line.rlike(r"^[\-*]\s+\S")
+    wrapped, bold = line.startswith("<") & line.rlike(WRAPPED_HEADER), line.startswith("**") & line.rlike(BOLD_LINE)
 
     def header(shown: Column) -> Column:
         return F.struct(F.lit("h").alias("kind"), F.concat(F.lit("<sub>"), shown, F.lit("<sub>")).alias("body"))
@@ -216,14 +231,27 @@ def layout_sections(text: Column) -> Column:
 
 def plain_text(text: Column) -> Column:
     """Text without markup and with single blanks, for telling wording from formatting."""
-    start = unix_lines(F.coalesce(text, F.lit("")))
-    # Every pass that changes anything takes away a mark, so there are no more passes than marks.
-    passes = F.size(F.split(start, r"\*\*|(?i)<sub>"))
-    open_ = F.aggregate(
-        F.sequence(F.lit(1), passes), start,
-        lambda acc, _: replace_all(acc, [(r"(?is)<sub>\s*(.*?)\s*</?sub>", "$1"), (r"(?s)\*\*(.+?)\*\*", "$1")]),
-    )
-    return strip_space(F.regexp_replace(open_, r"\s+", " "))
+    def has_marks(t: Column) -> Column:
+        return F.contains(t, F.lit("**")) | (F.contains(t, F.lit("<")) & t.rlike("(?i)<sub>"))
+
+    def state(t: Column, was: Column | None = None) -> Column:
+        return F.struct(t.alias("text"), (has_marks(t) if was is None else has_marks(t) & (t != was)).alias("more"))
+
+    def once(t: Column) -> Column:
+        return replace_where(replace_where(t, "<", r"(?is)<sub>\s*(.*?)\s*</?sub>", "$1"), "**", r"(?s)\*\*(.+?)\*\*", "$1")
+
+    def opened(start: Column) -> Column:
+        # Every pass that changes anything takes away a mark, so there are no more passes than marks; a pass that
+        # changes nothing, or leaves no mark, is the last.
+        passes = F.size(F.split(start, r"\*\*|(?i)<sub>"))
+        done = F.aggregate(
+            F.sequence(F.lit(1), passes), state(start),
+            lambda acc, _: F.when(acc["more"], bind(once(acc["text"]), lambda t: state(t, acc["text"]))).otherwise(acc),
+            lambda acc: acc["text"])
+        return F.when(has_marks(start), done).otherwise(start)
+
+    # A single blank stays as it is.
+    return strip_space(F.regexp_replace(bind(unix_lines(F.coalesce(text, F.lit(""))), opened), r"\s{2,}|[^\S ]", " "))
 
 
 def plain_sections(text: Column) -> Column:

@@ -171,3 +171,20 @@ def test_bold_repair_of_long_runs_and_coloured_lines(spark):
     late = " ".join(f"w{i}" for i in range(14)) + " /green"
     row = spark.createDataFrame([([late],)], "x array<string>").select(tx.pointers(F.col("x"), "none", 1, coloured=True)[0].alias("a"), tx.pointers(F.col("x"), "none", 1)[0].alias("b")).first()
     assert row.a == late and row.b == " ".join(f"w{i}" for i in range(10))
+
+
+def test_markup_of_many_marks_ends_early(spark):
+    from time import monotonic
+    many = spark.createDataFrame([(1, "**a** " * 60_000), (2, "<sub> " * 9 + "x"), (3, "** \t b **"), (4, "a \n b  c\td"), (5, None), (6, "**a")], "i int, t string")
+    begun = monotonic()
+    got = {r.i: r.p for r in many.select("i", mk.plain_text(F.col("t")).alias("p")).collect()}
+    assert monotonic() - begun < 20
+    assert got == {1: "a " * 59_999 + "a", 2: "<sub> x", 3: "b", 4: "a b c d", 5: "", 6: "**a"}
+
+
+def test_bold_rules_alone_and_by_sign(spark):
+    texts = {"on 2024-01-05": "on **2024-01-05**", "by 3 pp": "by **3 pp**", "by 3PP": "by **3 PP**", "up 7%": "up **7%**", "at $ 5": "at **$ 5**",
+             "1,250 of": "**1,250** of", "x 0.5": "x **0.5**", "12 of 7": "12 of 7"}
+    assert all(not sign or sign.replace("**", "*") in pattern for sign, pattern, _ in mk.BOLD_RULES)
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.b for r in frame.select("t", mk.bold_numbers(F.col("t")).alias("b")).collect()} == texts
