@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import encoder, with_end
+from .tokens import encoder, gathered, with_end
 from .words import binary_array, slices
 
 BLOCK_IDS = 1 << 19
@@ -26,7 +26,7 @@ SLICE_BYTES = 12 << 20
 RULES_A_ROUND = 4096
 LEAST = 4
 FIRST_RULE = 1 << 20
-SLOTS = 1 << 16
+SLOT_BITS = 16
 COUNT_BITS = 20
 
 FILE_SCHEMA = T.StructType([
@@ -37,8 +37,13 @@ FILE_SCHEMA = T.StructType([
 ])
 
 
+def _hashed(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """The first `bits` bits of a hash of each pair."""
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+
+
 def _slot(pairs: np.ndarray) -> np.ndarray:
-    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+    return _hashed(pairs, SLOT_BITS)
 
 
 def _pairs(seq: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
@@ -57,19 +62,20 @@ def _frequent(ordered: np.ndarray) -> tuple[np.ndarray, bool]:
 def _all_places(seq: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """Chosen pairs, the places where they stand and which one stands there, from all pairs; and whether some wait."""
     pairs, inside = _pairs(seq, slice(None)), ~last[:-1]
-    # Only pairs whose slot of a count table is met often enough can repeat so; few others have to be sorted.
-    place = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-    met = np.bincount(place[inside], minlength=1 << COUNT_BITS) >= LEAST
-    chosen, waiting = _frequent(np.sort(pairs[inside & met[place]]))
+    # Only pairs whose slot of a count table is met often enough can repeat so; few others have to be sorted. Pairs over
+    # the end of a document are counted as well: they can only let more through.
+    place = _hashed(pairs, COUNT_BITS)
+    met = np.bincount(place, minlength=1 << COUNT_BITS) >= LEAST
+    chosen, waiting = _frequent(np.sort(pairs[met[place] & inside]))
     # One pair per slot of a small table, the most frequent first: a look-up is one gather and one test. The others
     # wait for the next round.
     _, first = np.unique(_slot(chosen), return_index=True)
     waiting = waiting or len(first) < len(chosen)
     chosen = chosen[np.sort(first)]
-    table, number = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64), np.zeros(SLOTS, np.int64)
+    table, number = np.full(1 << SLOT_BITS, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << SLOT_BITS, np.int64)
     table[_slot(chosen)] = chosen
     number[_slot(chosen)] = np.arange(len(chosen))
-    slot = _slot(pairs)
+    slot = place >> (COUNT_BITS - SLOT_BITS)
     at = np.flatnonzero((table[slot] == pairs) & inside)
     return chosen, at, number[slot[at]], waiting
 
@@ -135,7 +141,24 @@ def _lengths(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The ids that a part of a compressed sequence stands for: every nonterminal gives way to its two symbols, level by level."""
+    """The ids that a part of a compressed sequence stands for."""
+    own = seq >= FIRST_RULE
+    if not own.any():
+        return seq.copy()
+    rule = seq[own].astype(np.int64) - FIRST_RULE
+    count = np.ones(len(seq), np.int64)
+    count[own] = lengths[rule]
+    held = int(lengths.sum(dtype=np.int64))
+    if held > count.sum():
+        return _by_levels(seq, rules)
+    # Where all rules together stand for fewer ids than the sequence, each is expanded once.
+    first = held + np.arange(len(seq))
+    first[own] = (np.cumsum(lengths, dtype=np.int64) - lengths)[rule]
+    return gathered(np.concatenate([_by_levels(rules.ravel(), rules), seq]), first, count)[0]
+
+
+def _by_levels(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """The same: every nonterminal gives way to its two symbols, level by level."""
     while len(own := np.flatnonzero(seq >= FIRST_RULE)):
         pairs = rules[seq[own].astype(np.int64) - FIRST_RULE]
         size = np.ones(len(seq), np.int8)

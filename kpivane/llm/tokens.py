@@ -2,13 +2,17 @@
 
 The tokenizer splits at white space and encodes each word on its own, so a text's ids are the ids of
 its words one after the other. Words repeat, so each task keeps a bounded table of words already
-encoded; what it holds changes only the speed.
+encoded; what it holds changes only the speed. Unknown words are encoded many to a call, with a sign
+between them whose id shows where each ends.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +20,28 @@ import pyarrow.compute as pc
 
 from .words import split_words
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 REMEMBERED = 1_000_000
+WORDS_A_CALL = 32
+SIGNS = "^~|"
+#: Words in which lower case is one character for one and nothing combines.
+LATIN = "^[!-~À-ÿ]+$"
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = "^[a-zß-öø-ÿ]+$"
+ENDED = "[a-zß-öø-ÿ][!-&(-/:-@\\[-`{-~]+$"
+TAIL = "(?P<tail>[!-&(-/:-@\\[-`{-~]+)$"
+
+
+def gathered(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ids[first[i] : first[i] + count[i]] one after the other, and where each ends."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    take = np.arange(total, dtype=kind)
+    take += np.repeat((first - (ends - count)).astype(kind), count)
+    return ids[take], ends
 
 
 class WordEncoder:
@@ -24,18 +49,58 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = pa.array([], pa.string())
         self.ids = np.zeros(0, np.uint32)
         self.bounds = np.zeros(1, np.int64)
-        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32) for c in ",."}
+        single = [(s, i[0]) for s in SIGNS if len(i := self.tokenizer.encode(s, add_special_tokens=False).ids) == 1]
+        self.sign, self.sign_id = single[0] if single else (None, None)
+        # Words of lower-case letters alone need no rules, only their bytes and the model; kept to if the letters show so.
+        self.quick = Tokenizer(self.tokenizer.model)
+        self.quick.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters = "".join(c for c in map(chr, range(256)) if re.match(LETTERS, c))
+        shown = " ".join([letters, letters[::-1], *letters, *SIGNS])
+        same = self.quick.encode(shown, add_special_tokens=False).ids == self.tokenizer.encode(shown, add_special_tokens=False).ids
+        if not same or any("<|" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
+            self.quick = self.tokenizer
+
+    def _encoded(self, words: pa.Array, tokenizer: Tokenizer | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        found = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _joined(self, words: pa.Array, tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without the sign and without special tokens, many to a call."""
+        bounds = np.append(np.arange(0, len(words), WORDS_A_CALL), len(words))
+        calls = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words), f" {self.sign} ")
+        ids, _ = self._encoded(pc.binary_join_element_wise(calls, self.sign, " "), tokenizer)
+        signs = np.flatnonzero(ids == self.sign_id)
+        if len(signs) != len(words):
+            return self._encoded(words)
+        return np.delete(ids, signs), np.diff(signs, prepend=-1) - 1
 
     def _learn(self, words: pa.Array) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for one in found for i in one), np.uint32, int(lengths.sum()))
+        """Hold the ids of new words, in their order."""
+        kinds = {"apart": np.ones(len(words), bool)}
+        if self.sign:
+            letters = pc.match_substring_regex(words, LETTERS).to_numpy(zero_copy_only=False)
+            apart = pc.or_(pc.match_substring(words, "<|"), pc.match_substring(words, self.sign)).to_numpy(zero_copy_only=False)
+            kinds = {"letters": letters, "other": ~(letters | apart), "apart": apart}
+        parts = []
+        for kind, chosen in kinds.items():
+            if chosen.any():
+                some = words.filter(pa.array(chosen))
+                found = self._encoded(some) if kind == "apart" else self._joined(some, self.quick if kind == "letters" else self.tokenizer)
+                parts.append((np.flatnonzero(chosen), *found))
+        places, ids, lengths = (np.concatenate(p) for p in zip(*parts, strict=True))
+        if len(parts) > 1:
+            order = np.argsort(places)
+            first, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+            ids, _ = gathered(ids, first, lengths)
         self.words = pa.concat_arrays([self.words, words])
         self.ids = np.concatenate([self.ids, ids])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
@@ -59,31 +124,30 @@ class WordEncoder:
         if not len(words.codes):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         known = words.vocabulary
-        # Lower case and a split-off last comma or full stop are the tokenizer's own rules; applied
+        # Lower case and splitting off what follows the last letter are the tokenizer's own rules; applied
         # beforehand where they cannot touch anything else, they leave fewer distinct words.
-        plain = pc.and_(pc.string_is_ascii(known), pc.invert(pc.match_substring(known, "<|")))
-        known = pc.if_else(plain, pc.ascii_lower(known), known)
-        ended = pc.and_(plain, pc.match_substring_regex(known, "[a-z][,.]$"))
-        mark = pc.if_else(ended, pc.utf8_slice_codeunits(known, -1), "").to_numpy(zero_copy_only=False)
-        stems = pc.if_else(ended, pc.utf8_slice_codeunits(known, 0, -1), known).dictionary_encode()
+        plain = pc.and_(pc.match_substring_regex(known, LATIN), pc.invert(pc.match_substring(known, "<|")))
+        known = pc.if_else(plain, pc.utf8_lower(known), known)
+        ended = pc.and_(plain, pc.match_substring_regex(known, ENDED))
+        stems = pc.if_else(ended, pc.utf8_rtrim(known, characters=PUNCTUATION), known)
+        tails = pc.struct_field(pc.extract_regex(known.filter(ended), TAIL), "tail").dictionary_encode()
+        stems = stems.dictionary_encode()
         held = self._places(stems.dictionary)[stems.indices.to_numpy(zero_copy_only=False)]
-        ids, first, count = self.ids, self.bounds[held], self.bounds[held + 1] - self.bounds[held]
-        for sign, extra in self.marks.items():
-            chosen = np.flatnonzero(mark == sign)
-            if len(chosen):
-                total = count[chosen]
-                begins = np.concatenate([[0], np.cumsum(total + len(extra))])
-                joined = np.empty(begins[-1], np.uint32)
-                inside = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-                joined[np.repeat(begins[:-1], total) + inside] = ids[np.repeat(first[chosen], total) + inside]
-                for i, one in enumerate(extra):
-                    joined[begins[:-1] + total + i] = one
-                first[chosen], count[chosen] = len(ids) + begins[:-1], total + len(extra)
-                ids = np.concatenate([ids, joined])
-        lengths = count[words.codes]
-        ends = np.cumsum(lengths)
-        take = np.repeat(first[words.codes] - (ends - lengths), lengths) + np.arange(ends[-1])
-        return ids[take], np.concatenate([[0], ends])[words.bounds]
+        first, count = self.bounds[held], self.bounds[held + 1] - self.bounds[held]
+        if len(tails):
+            tail = np.full(len(known), -1)
+            tail[ended.to_numpy(zero_copy_only=False)] = tails.indices.to_numpy(zero_copy_only=False)
+            more, lengths = self._encoded(tails.dictionary)
+            lengths = np.append(lengths, 0)
+            begins = len(self.ids) + np.cumsum(lengths) - lengths
+            pieces = np.stack([count, lengths[tail]], axis=1)
+            ids, ends = gathered(np.concatenate([self.ids, more]), np.stack([first, begins[tail]], axis=1).ravel(), pieces.ravel())
+            count = pieces.sum(axis=1)
+            first = ends[1::2] - count
+        else:
+            ids = self.ids
+        ids, ends = gathered(ids, first[words.codes], count[words.codes])
+        return ids, np.concatenate([[0], ends])[words.bounds]
 
 
 @lru_cache(maxsize=4)

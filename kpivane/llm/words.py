@@ -40,10 +40,12 @@ def split_words(texts: pa.Array) -> Words:
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     flat = pc.list_flatten(lists)
-    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    kept = np.concatenate([[0], np.cumsum(full)])
-    bounds = np.concatenate([[0], kept[ends]]).astype(np.int64) if len(ends) else np.zeros(1, np.int64)
-    coded = flat.filter(pa.array(full)).dictionary_encode()
+    bounds = np.concatenate([[0], ends])
+    full = pc.greater(pc.binary_length(flat), 0)
+    if not pc.all(full).as_py():
+        bounds = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[bounds]
+        flat = flat.filter(full)
+    coded = flat.dictionary_encode()
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds, coded.dictionary)
 
 

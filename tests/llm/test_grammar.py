@@ -36,6 +36,19 @@ def test_repeats_are_compressed():
     assert len(packed["sequence"]) * 8 < len(ids) and (packed["rule_lengths"] >= 2).all()
 
 
+def test_rules_are_expanded_once_where_they_are_fewer_than_the_ids(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = (rng.zipf(1.2, 50_000) % 3_000).astype(np.uint32)
+    packed = grammar.compress(ids, np.array([0, len(ids)]))
+    assert packed["rule_lengths"].sum() < len(ids)
+    seen, by_levels = [], grammar._by_levels
+    monkeypatch.setattr(grammar, "_by_levels", lambda seq, rules: seen.append(len(seq)) or by_levels(seq, rules))
+    assert np.array_equal(grammar.expand(packed["sequence"], packed["rules"], packed["rule_lengths"]), ids)
+    assert seen == [2 * len(packed["rules"])]
+    some = packed["sequence"][:3]
+    assert np.array_equal(grammar.expand(some, packed["rules"], packed["rule_lengths"]), ids[: len(grammar._by_levels(some, packed["rules"]))])
+
+
 def test_no_pair_is_left_that_repeats_enough():
     rng = np.random.default_rng(2)
     passage = rng.integers(0, 1 << 16, 2_000)
