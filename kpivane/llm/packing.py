@@ -23,7 +23,7 @@ from .words import binary_array, slices
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, tokens binary"
 RANK_BLOCK = 500_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -31,7 +31,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
 
     One row per piece with `tokens`, its ids as little-endian unsigned 32-bit numbers. A null or empty
     text is one piece holding `end_id` alone; a null doc_id stays null; repeated rows each give pieces.
-    Other columns are ignored. Texts are handled a few megabytes at a time.
+    Other columns are ignored. Texts are handled two megabytes at a time: a task holds
+    many times their size in words and ids.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)

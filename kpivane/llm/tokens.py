@@ -25,6 +25,7 @@ if TYPE_CHECKING:
 
 REMEMBERED = 1_000_000
 WORDS_A_CALL = 32
+CALLS_AT_ONCE = 256
 SIGNS = "^~|"
 #: Words in which lower case is one character for one and nothing combines.
 LATIN = "^[!-~À-ÿ]+$"
@@ -69,9 +70,14 @@ class WordEncoder:
 
     def _encoded(self, words: pa.Array, tokenizer: Tokenizer | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has."""
-        found = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+        batch = (tokenizer or self.tokenizer).encode_batch_fast
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        # The tokenizer's results are many times larger than the ids, so only those of some calls are held.
+        for i in range(0, len(words), CALLS_AT_ONCE):
+            found = [e.ids for e in batch(words.slice(i, CALLS_AT_ONCE).to_pylist(), add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _joined(self, words: pa.Array, tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """The same for words without the sign and without special tokens, many to a call."""
@@ -109,13 +115,15 @@ class WordEncoder:
         """Where each word's ids are held, encoding the unknown ones."""
         if len(self.words) > REMEMBERED:
             self.words, self.ids, self.bounds = self.words.slice(0, 0), self.ids[:0], self.bounds[:1]
-        held = pc.index_in(words, value_set=self.words)
-        unknown = pc.is_null(held)
-        fresh = unknown.to_numpy(zero_copy_only=False)
-        places = pc.fill_null(held, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # Looked up from the side of the held words: the lookup table then holds the words of these texts alone.
+        met = pc.fill_null(pc.index_in(self.words, value_set=words), -1).to_numpy(zero_copy_only=False)
+        held = np.flatnonzero(met >= 0)
+        places = np.full(len(words), -1)
+        places[met[held]] = held
+        fresh = places < 0
         if fresh.any():
             places[fresh] = len(self.words) + np.arange(fresh.sum())
-            self._learn(words.filter(unknown))
+            self._learn(words.filter(pa.array(fresh)))
         return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 """Token pieces and best-fit packing."""
 
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -30,6 +31,31 @@ def test_words_give_the_ids_of_the_whole_text():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == reference(text, 0)[:-1].tolist()
 
 
+class Task:
+    """Stands for a table and hands out the function that its tasks would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_a_task_holds_a_bounded_part_of_its_batch(spark):
+    texts = ["the cat and a dog of the house, " * 500] * 600
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], names=["doc_id", "text"])
+    run = packing.token_pieces(Task(), FILE, 4096, 1)
+    encoder(FILE).encode(pa.array(texts[:1]))
+    tracemalloc.start()
+    try:
+        pieces = sum(part.num_rows for part in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pieces == 600 * -(-len(reference(texts[0], 1)) // 4096)
+    assert peak < 48 << 20
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=30), min_size=1, max_size=5))
 def test_words_give_the_ids_of_any_text(texts):

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from kpivane.llm import queries
-from kpivane.llm.tokens import WORDS_A_CALL, WordEncoder, gathered
+from kpivane.llm.tokens import CALLS_AT_ONCE, WORDS_A_CALL, WordEncoder, gathered
 
 FILE = queries.tokenizer_file()
 
@@ -56,6 +56,32 @@ def test_unknown_words_go_to_the_tokenizer_many_to_a_call():
         assert sum(c.calls for c in counting) <= len(texts) // WORDS_A_CALL + 2
 
 
+def test_results_of_few_calls_are_held_at_once():
+    class Largest(Counting):
+        def encode_batch_fast(self, texts, **options):
+            self.calls = max(self.calls, len(texts))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    new = [f"{n:x}" for n in range(1 << 20, (1 << 20) + 40 * CALLS_AT_ONCE * WORDS_A_CALL // 16)]
+    for texts in (new, [f"<|{w}" for w in new[: 3 * CALLS_AT_ONCE]]):
+        words = WordEncoder(FILE)
+        wanted = whole(words, texts)
+        largest = words.tokenizer, words.quick = Largest(words.tokenizer), Largest(words.quick)
+        assert by_words(words, texts) == wanted
+        assert 0 < max(c.calls for c in largest) <= CALLS_AT_ONCE
+
+
+def test_held_and_new_words_together():
+    rng = random.Random(9)
+    known = ["".join(rng.choices("abcdef", k=rng.randint(1, 3))) for _ in range(3_000)]
+    words = WordEncoder(FILE)
+    for i in range(0, len(known), 250):
+        texts = [" ".join(known[i : i + 250]), " ".join(known[: i : 7]), ""]
+        assert by_words(words, texts) == whole(words, texts)
+    held = words.words.to_pylist()
+    assert len(held) == len(set(held)) == len(set(known))
+
+
 def test_case_and_what_follows_the_last_letter_make_no_new_words():
     words = WordEncoder(FILE)
     texts = ["wort Wort WORT. wort!!! wort$$$ wort-*", "été ÉTÉ Été, été###"]
